@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, near_duplicates
+from gleanery.llm import decontaminate, language_id, near_duplicates, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,5 +50,17 @@ r(n, c) USING KEY (n) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, min(r.c
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, r.c AS component_id, s.doc_id = r.c AS kept FROM s JOIN r ON r.n = s.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", language_id.is_held_out(F.col("doc_id"), 5, 0))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL}
