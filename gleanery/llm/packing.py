@@ -25,8 +25,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 END = 50256
 
 PACKED = (
-    "matrix binary, n_rows int, row_length int, tokens_per_row array<int>, cumulative_lengths array<array<int>>, position_resets array<array<int>>, "
-    "doc_ids array<array<bigint>>, parts array<array<int>>, part_counts array<array<int>>"
+    "matrix binary, n_rows int, row_length int, n_tokens bigint, cumulative_lengths array<int>, position_resets array<int>, "
+    "segment_starts array<int>, segment_lengths array<int>, doc_ids array<bigint>, parts array<int>, part_counts array<int>"
 )
 
 
@@ -113,39 +113,49 @@ def packed_rows(parts: list[tuple[int | None, int, int, np.ndarray]], row: int,
     for at in range(0, len(filled), rows):
         chosen = [[parts[i] for i in r] for r in filled[at : at + rows]]
         matrix = np.full((len(chosen), row), END, "<u2")
-        ends = [np.cumsum([0] + [len(p[3]) for p in r]).tolist() for r in chosen]
+        ends, starts = [0], []
         for y, r in enumerate(chosen):
-            matrix[y, : ends[y][-1]] = np.concatenate([p[3] for p in r])
+            x = 0
+            for _, _, _, ids in r:
+                matrix[y, x : x + len(ids)] = ids
+                starts.append(y * row + x)
+                x += len(ids)
+                ends.append(y * row + x)
+            if x < row:
+                ends.append((y + 1) * row)
+        every = [p for r in chosen for p in r]
         yield {
             "matrix": matrix.tobytes(),
             "n_rows": len(chosen),
             "row_length": row,
-            "tokens_per_row": [e[-1] for e in ends],
+            "n_tokens": sum(len(p[3]) for p in every),
             "cumulative_lengths": ends,
-            "position_resets": [e[:-1] + [e[-1]] * (e[-1] < row) for e in ends],
-            "doc_ids": [[p[0] for p in r] for r in chosen],
-            "parts": [[p[1] for p in r] for r in chosen],
-            "part_counts": [[p[2] for p in r] for r in chosen],
+            "position_resets": ends[:-1],
+            "segment_starts": starts,
+            "segment_lengths": [len(p[3]) for p in every],
+            "doc_ids": [p[0] for p in every],
+            "parts": [p[1] for p in every],
+            "part_counts": [p[2] for p in every],
         }
 
 
 def pack(docs: DataFrame, path: str, pattern: str, row: int = ROW, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Packed matrices of the ids of docs (doc_id, text); further columns are ignored.
 
-    One row of the result is a matrix: ``matrix``, n_rows x row_length unsigned 16-bit ids, little-endian; for each of
-    its rows the number of ids that are not filling, the cumulative lengths of its segments from 0 on (so that
-    attention stays inside a segment), the places where positions start again at 0 (the start of each segment, and of
-    the filling), and doc_id, part and number of parts of each segment. A document is its ids and END. One longer than
-    a row is cut into parts of ``row`` ids and a rest: joined by part, they are the document. Null and empty texts have
-    no ids and no segment. Repeated rows and null ids are segments like others. An empty table gives no matrix.
+    One row of the result is a matrix: ``matrix``, n_rows x row_length unsigned 16-bit ids, little-endian. All places
+    are those of the matrix read row by row. cumulative_lengths bound the segments from 0 on, what fills up a row being
+    a segment of its own, so that attention stays inside a segment; position_resets are the places where positions
+    start again at 0. Of the segments that hold ids, in order, come segment_starts, segment_lengths, doc_ids, parts and
+    part_counts; n_tokens counts their ids. A document is its ids and END. One longer than a row is cut into parts of
+    ``row`` ids and a rest: joined by part, they are the document. Null and empty texts have no ids and no segment.
+    Repeated rows and null ids are segments like others. An empty table gives no matrix.
     """
     if row > 1 << 15 or block < row:
         raise ValueError("a row holds at most 32768 ids, and a block a row or more")
+    places = ("cumulative_lengths", "position_resets", "segment_starts", "segment_lengths")
     schema = pa.schema(
-        [("matrix", pa.binary()), ("n_rows", pa.int32()), ("row_length", pa.int32()), ("tokens_per_row", pa.list_(pa.int32()))]
-        + [(n, pa.list_(pa.list_(pa.int32()))) for n in ("cumulative_lengths", "position_resets")]
-        + [("doc_ids", pa.list_(pa.list_(pa.int64())))]
-        + [(n, pa.list_(pa.list_(pa.int32()))) for n in ("parts", "part_counts")]
+        [("matrix", pa.binary()), ("n_rows", pa.int32()), ("row_length", pa.int32()), ("n_tokens", pa.int64()), *((n, pa.list_(pa.int32())) for n in places)]
+        + [("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("part_counts", pa.list_(pa.int32()))]
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +183,8 @@ def unpacked(matrices: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.to_pylist():
-                ids = np.frombuffer(m["matrix"], "<u2").reshape(m["n_rows"], m["row_length"])
-                cut = [(d, p, n, ids[y, a:b].tolist()) for y in range(m["n_rows"]) for d, p, n, a, b in zip(m["doc_ids"][y], m["parts"][y], m["part_counts"][y], m["cumulative_lengths"][y], m["cumulative_lengths"][y][1:])]
+                ids = np.frombuffer(m["matrix"], "<u2")
+                cut = [(d, p, n, ids[a : a + size].tolist()) for d, p, n, a, size in zip(m["doc_ids"], m["parts"], m["part_counts"], m["segment_starts"], m["segment_lengths"], strict=True)]
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("doc_id", "part", "part_count", "ids"), zip(*cut), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))})
 
     return matrices.mapInArrow(task, "doc_id long, part int, part_count int, ids array<int>")

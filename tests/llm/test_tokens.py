@@ -89,9 +89,10 @@ def test_pack_round_trip(spark):
         assert sorted(parts) == list(range(parts[0][0]))
         assert sum((parts[k][1] for k in sorted(parts)), []) == [*ids.tolist(), packing.END]
     for m in packed.collect():
-        ids = np.frombuffer(m["matrix"], "<u2").reshape(m["n_rows"], m["row_length"])
-        for y in range(m["n_rows"]):
-            ends = m["cumulative_lengths"][y]
-            assert ends[-1] == m["tokens_per_row"][y] <= 64 and (ids[y, ends[-1]:] == packing.END).all()
-            assert m["position_resets"][y][: len(ends) - 1] == ends[:-1]
+        ids, ends = np.frombuffer(m["matrix"], "<u2"), m["cumulative_lengths"]
+        assert len(ids) == m["n_rows"] * 64 == ends[-1] and ends[0] == 0 and ends == sorted(set(ends))
+        assert set(range(0, len(ids), 64)) <= set(ends)  # no segment goes on in the next row
+        assert m["position_resets"] == ends[:-1] and set(m["segment_starts"]) <= set(m["position_resets"])
+        filling = set(range(len(ids))) - {p for a, n in zip(m["segment_starts"], m["segment_lengths"], strict=True) for p in range(a, a + n)}
+        assert m["n_tokens"] == len(ids) - len(filling) and all(ids[p] == packing.END for p in filling)
     assert packing.pack(rows.limit(0), path, public_tokenizers.PATTERN).count() == 0
