@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, fingerprint, language_id, near_duplicates, packing, token_count, toxicity
+from gleanery.llm import decontaminate, fingerprint, language_id, mixing, near_duplicates, packing, token_count, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,5 +88,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op9_pack": op9_pack}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_tokens"), "mix_epoch", "mix_block", "mix_position", "mix_weight")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op9_pack": op9_pack, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL}
