@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def families():
-    from gleanery.plans import retrieval_queries, text_queries, url_queries
+    from gleanery.plans import graph_queries, ingest_queries, retrieval_queries, text_queries, trust_queries, url_queries
 
-    return [m.FAMILY for m in (text_queries, url_queries, retrieval_queries)]
+    return [m.FAMILY for m in (text_queries, url_queries, retrieval_queries, graph_queries, trust_queries, ingest_queries)]
 
 
 def queries() -> dict:
