@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def families():
-    from gleanery.plans import analytics_queries, evaluation_queries, graph_queries, ingest_queries, retrieval_queries, text_queries, trust_queries, url_queries
+    from gleanery.plans import analytics_queries, evaluation_queries, graph_queries, ingest_queries, retrieval_queries, source_queries, text_queries, trust_queries, url_queries
 
-    return [m.FAMILY for m in (text_queries, url_queries, retrieval_queries, graph_queries, trust_queries, ingest_queries, evaluation_queries, analytics_queries)]
+    return [m.FAMILY for m in (text_queries, url_queries, retrieval_queries, graph_queries, trust_queries, ingest_queries, evaluation_queries, analytics_queries, source_queries)]
 
 
 def queries() -> dict:
