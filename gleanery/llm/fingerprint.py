@@ -25,7 +25,8 @@ _MASK = (1 << (4 * DIGITS)) - 1
 
 
 def gamma_table(spark: SparkSession) -> DataFrame:
-    """One row: the mid-quantiles of Gamma(2, 1), found by bisection of 1 - (1 + x) exp(-x), and their logarithms."""
+    """Two equal rows, for even and odd words: mid-quantiles of Gamma(2, 1), by bisection of 1 - (1 + x) exp(-x), and
+    their logarithms."""
     n = 1 << TABLE_BITS
     half = lambda s: (s["lo"] + s["hi"]) / 2
     below = lambda s: 1 - (1 + half(s)) * F.exp(-half(s)) < (F.col("id") + 0.5) / n
@@ -33,29 +34,28 @@ def gamma_table(spark: SparkSession) -> DataFrame:
     step = lambda s, _: F.struct(F.when(below(s), half(s)).otherwise(s["lo"]).alias("lo"), F.when(below(s), s["hi"]).otherwise(half(s)).alias("hi"))
     x = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, half)
     listed = spark.range(0, n, 1, 1).select(x.alias("x")).agg(F.sort_array(F.collect_list("x")).alias("r"))
-    return listed.select("r", F.transform("r", lambda x: F.ln(x)).alias("ln_c"))
+    return listed.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"), "r", F.transform("r", lambda x: F.ln(x)).alias("ln_c"))
 
 
 def sampled(weighted: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """Adds ``samples`` (array of numbers below 2 ** (4 * DIGITS)) to each group of ``keys``: weighted has a column h,
     the hash of a term (null: the group has none), and w, its weight. A group without terms has the largest number."""
-    table = gamma_table(weighted.sparkSession)
-    r_of, ln_c_of = table.select("r").scalar(), table.select("ln_c").scalar()  # arrays of 2**TABLE_BITS numbers
+    table = F.broadcast(gamma_table(weighted.sparkSession))  # two rows of 2**TABLE_BITS numbers
     places = (1 << TABLE_BITS) - 1
 
-    def value(k: int) -> Column:
+    def value(k: int) -> str:
         """The word's value, in fixed point and moved to be positive, above the bits that name the sample."""
-        drawn = F.xxhash64("h", F.lit(k))
-        r = F.get(r_of, drawn.bitwiseAND(places).cast("int"))
-        ln_c = F.get(ln_c_of, F.shiftright(drawn, TABLE_BITS).bitwiseAND(places).cast("int"))
-        b = F.shiftrightunsigned(drawn, 44) / F.lit(float(1 << 20))
-        t = F.floor(F.col("ln_w") / r + b)
-        low = ln_c - r * (t - b) - r
-        name = F.shiftright(drawn, 2 * TABLE_BITS).bitwiseXOR(t * 40503).bitwiseAND(_MASK)
-        return F.shiftleft(((low + 96) * float(1 << 31)).cast("long"), 4 * DIGITS).bitwiseOR(name)
-
-    lows = weighted.select(*keys, "h", F.ln("w").alias("ln_w")).groupBy(*keys).agg(*[F.min(value(k)).alias(f"s{k}") for k in range(samples)])
-    return lows.select(*keys, F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(_MASK), F.lit(_MASK)) for k in range(samples)]).alias("samples"))
+        drawn = f"xxhash64(h, {k})"
+        r = f"get(r, int({drawn} & {places}))"
+        ln_c = f"get(ln_c, int(shiftright({drawn}, {TABLE_BITS}) & {places}))"
+        b = f"(shiftrightunsigned({drawn}, 44) / {float(1 << 20)}D)"
+        t = f"floor(ln_w / {r} + {b})"
+        name = f"((shiftright({drawn}, {2 * TABLE_BITS}) ^ ({t} * 40503)) & {_MASK})"
+        return f"min(shiftleft(bigint(({ln_c} - {r} * ({t} - {b} + 1) + 96) * {float(1 << 31)}D), {4 * DIGITS}) | {name}) AS s{k}"
+
+    looked_up = weighted.select(*keys, "h", F.ln("w").alias("ln_w"), F.col("h").bitwiseAND(1).cast("int").alias("odd")).join(table, "odd", "left")
+    lows = looked_up.groupBy(*keys).agg(*[F.expr(value(k)) for k in range(samples)])
+    return lows.select(*keys, F.expr(f"array({', '.join(f'coalesce(s{k} & {_MASK}, {_MASK}L)' for k in range(samples))})").alias("samples"))
 
 
 def as_text(samples: Column) -> Column:
