@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("conv_id").orderBy("turn")
-_BEFORE = _BY.rowsBetween(Window.unboundedPreceding, -1)
+
+def _in_order() -> Window:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def _before() -> Window:
+    return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
@@ -16,20 +21,20 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
 
 def latest_before(value: Column, holds: Column) -> Column:
     """The latest value of an earlier turn for which something holds."""
-    return F.last(F.when(holds, value), ignorenulls=True).over(_BEFORE)
+    return F.last(F.when(holds, value), ignorenulls=True).over(_before())
 
 
 def sticky(turns: DataFrame, entity: Column) -> DataFrame:
     """Adds entity, the turn's own or, for a user's turn without one, the latest one a user has named before."""
     named = turns.withColumn("own", F.when(F.col("role") == "user", entity))
-    return named.withColumn("entity", F.coalesce("own", F.when(F.col("role") == "user", F.last("own", ignorenulls=True).over(_BEFORE)))).drop("own")
+    return named.withColumn("entity", F.coalesce("own", F.when(F.col("role") == "user", F.last("own", ignorenulls=True).over(_before())))).drop("own")
 
 
 def followups(turns: DataFrame, intent: Column, elliptical: Column) -> DataFrame:
     """Users' turns with followup_confidence: .1 for the first turn, .9 if it is elliptical, .8 if its intent is the one
     before, .3 otherwise; followup from .75 on."""
     asked = turns.where(F.col("role") == "user").withColumn("intent", intent)
-    before = F.lag("intent").over(_BY)
+    before = F.lag("intent").over(_in_order())
     sure = F.when(before.isNull(), 0.1).when(elliptical, 0.9).when(F.col("intent") == before, 0.8).otherwise(0.3)
     scored = asked.withColumn("followup_confidence", sure)
     return scored.withColumn("followup", F.col("followup_confidence") >= 0.75)
