@@ -125,21 +125,24 @@ def mixture(docs: DataFrame, budget: int | None = None, repetition: float = 4.0,
     tokens and go with the documents at their places; sources without tokens are not drawn. Repeated rows go together.
     An empty table gives no rows.
     """
-    docs = docs.drop("mix_epoch", "mix_block", "mix_position", "mix_weight")
+    docs = docs.drop("mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_key", "mix_plan", "mix_source")
+    own = docs.columns
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.xxhash64("doc_id", "text")
     sized = scratch.keep(docs.select("source", key.alias("key"), tokens(F.col("text")).alias("n_tokens")), "sized")
     plan = scratch.keep(source_plan(sized, budget, repetition, entropy), "plan")
     cuts = epoch_cuts(sized, plan, seed)
-    told = scratch.keep(plan.select(F.col("source").alias("_source"), "weight", "epochs", "whole").join(_bounded(cuts), _same("_source", "source"), "left").drop("source"), "told")
+    told = plan.select(F.col("source").alias("mix_source"), "weight", "epochs", "whole").join(_bounded(cuts), _same("mix_source", "source"), "left")
+    told = scratch.keep(told.select("mix_source", F.struct("weight", "epochs", "whole", "cut").alias("mix_plan")), "told")
     scratch.drop("sized")
-    in_last = F.coalesce(place(F.col("_key"), F.col("whole"), seed) <= F.col("cut"), F.lit(False))
-    copies = F.col("whole") + in_last.cast("long")
-    met = docs.withColumn("_key", key).join(_bounded(told), _same("source", "_source"))
+    of = F.col("mix_plan")
+    in_last = F.coalesce(place(F.col("mix_key"), of["whole"], seed) <= of["cut"], F.lit(False))
+    copies = of["whole"] + in_last.cast("long")
+    met = docs.withColumn("mix_key", key).join(_bounded(told), _same("source", "mix_source"))
     met = met.where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    at = place(F.col("_key"), F.col("mix_epoch"), seed)
-    met = met.withColumn("mix_block", F.shiftright(at, BITS - DIGIT)).withColumn("mix_position", (F.col("mix_epoch") + at / F.lit(float(1 << BITS))) / F.col("epochs"))
-    return met.select(*docs.columns, F.col("mix_epoch").cast("int"), F.col("mix_block").cast("int"), F.least("mix_position", F.lit(1.0)).alias("mix_position"), F.col("weight").alias("mix_weight"))
+    at = place(F.col("mix_key"), F.col("mix_epoch"), seed)
+    met = met.withColumn("mix_block", F.shiftright(at, BITS - DIGIT)).withColumn("mix_position", (F.col("mix_epoch") + at / F.lit(float(1 << BITS))) / of["epochs"])
+    return met.select(*own, F.col("mix_epoch").cast("int"), F.col("mix_block").cast("int"), F.least("mix_position", F.lit(1.0)).alias("mix_position"), of["weight"].alias("mix_weight"))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

@@ -215,7 +215,7 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
         groups = scratch.keep(components(links.union(more)), "all_groups")
     scratch.drop("chosen", "rest")
 
-    member = signed.select("doc_id", "n_shingles", "same").join(classes.select("same", F.col("doc_id").alias("rep")), "same", "left")
+    member = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes.select("same", F.col("doc_id").alias("rep")), "same", "left")
     labelled = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return labelled.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
