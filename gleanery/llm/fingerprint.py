@@ -67,31 +67,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
+def document_key(doc_id: Column) -> Column:
+    """A key that is never null, for joins and groups that null ids take part in. Plain equality of one column keeps
+    rows where the first join has dealt them."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars) for different ids: the next by descending doc_id; after the last comes the first.
+    """(key, doc_id, next_key, n_chars) of documents (doc_id, n_chars) with different ids: the next by descending doc_id;
+    after the last comes the first.
 
     The ids are sorted over all tasks; a row's place is its place in its part and the number of rows before that part.
     """
     scratch = Scratch(ids.sparkSession, "neighbours")
-    placed = scratch.keep(ids.orderBy(F.col("doc_id").desc_nulls_last()).withColumn("m", F.monotonically_increasing_id()), "placed")
-    placed = placed.withColumn("part", F.shiftright("m", 33))
+    placed = ids.orderBy(F.col("doc_id").desc_nulls_last()).select(document_key(F.col("doc_id")).alias("key"), "doc_id", "n_chars", F.monotonically_increasing_id().alias("m"))
+    placed = scratch.keep(placed, "placed").withColumn("part", F.shiftright("m", 33))
     # one row for each part of the sort
     parts = placed.groupBy("part").agg(F.count("*").alias("n"))
     parts = parts.select("part", F.sum("n").over(Window.orderBy("part")).alias("to"), F.sum("n").over(Window.partitionBy()).alias("all")).join(parts, "part").select("part", (F.col("to") - F.col("n")).alias("before"), "all")
-    numbered = scratch.keep(placed.join(F.broadcast(parts), "part").select("doc_id", "n_chars", "all", (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("place")), "numbered")
+    numbered = scratch.keep(placed.join(F.broadcast(parts), "part").select("key", "doc_id", "n_chars", "all", (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("place")), "numbered")
     scratch.drop("placed")
-    after = numbered.select(F.col("doc_id").alias("next_id"), F.when(F.col("place") == 0, F.col("all")).otherwise(F.col("place")).alias("at"))
-    return numbered.join(after, F.col("place") + 1 == F.col("at")).select("doc_id", "next_id", "n_chars")
+    after = numbered.select(F.col("key").alias("next_key"), F.when(F.col("place") == 0, F.col("all")).otherwise(F.col("place")).alias("at"))
+    return numbered.join(after, F.col("place") + 1 == F.col("at")).select("key", "doc_id", "next_key", "n_chars")
 
 
 def edited_texts(docs: DataFrame, follows: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars, text, edited) of docs (doc_id, text) with different ids, by neighbours(): the last
-    floor(n_chars / 3) characters are replaced by the first as many, or all, of the next document's."""
+    """(key, text, edited) of docs (key, text) with different ids, by neighbours(): the last floor(n_chars / 3)
+    characters are replaced by the first as many, or all, of the next document's. Texts are shuffled once, by key."""
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = docs.join(follows.select(F.col("doc_id").alias("of"), "next_id", "n_chars"), F.col("doc_id").eqNullSafe(F.col("next_id")))
-    heads = heads.select("of", "next_id", "n_chars", F.substr("text", F.lit(1), third).alias("head"))
-    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("of")))
-    return met.select("doc_id", "next_id", "n_chars", "text", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), "head").alias("edited"))
+    heads = docs.join(follows.select(F.col("key").alias("of"), "next_key", "n_chars"), F.col("key") == F.col("next_key"))
+    heads = heads.select("of", F.col("n_chars").cast("int").alias("n"), F.substr("text", F.lit(1), third).alias("head"))
+    met = docs.join(heads, F.col("key") == F.col("of"))
+    return met.select("key", "text", F.concat(F.substr("text", F.lit(1), F.col("n") - F.floor(F.col("n") / 3).cast("int")), "head").alias("edited"))
+
+
+def weighted_words(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` without ``text``, one row for each word of it: h, the word's hash (null: no words), and w, how often
+    it occurs. Words are counted within the row, as runs of its sorted hashes."""
+    rest = [c for c in texts.columns if c != text]
+    hashed = texts.select(*rest, F.sort_array(F.transform(F.array_remove(F.split(text, WHITE), ""), lambda w: F.xxhash64(w))).alias("a"))
+    begins = hashed.select(*rest, "a", F.when(F.size("a") > 0, F.expr("filter(sequence(0, size(a) - 1), i -> i = 0 OR a[i] != a[i - 1])")).alias("s"))
+    runs = begins.select(*rest, F.explode_outer(F.expr("transform(s, (p, i) -> struct(a[p] AS h, coalesce(get(s, i + 1), size(a)) - p AS w))")).alias("r"))
+    return runs.select(*rest, "r.h", "r.w")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -114,16 +131,15 @@ def _fingerprints(docs: DataFrame, samples: int) -> DataFrame:
     """fingerprints() of documents with different ids."""
     scratch = Scratch(docs.sparkSession, "fingerprints")
     follows = scratch.keep(neighbours(docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))), "follows")
-    own = edited_texts(docs, follows)
-    sides = own.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"))
-    words = sides.select("doc_id", "s.side", F.explode_outer(F.array_remove(F.split("s.t", WHITE), "")).alias("word"))
-    # rows are dealt by doc_id since the join, so neither counts nor minima move them
-    weighted = words.groupBy("doc_id", "side", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("h")).agg(F.count("*").alias("w"))
+    own = edited_texts(docs.select(document_key(F.col("doc_id")).alias("key"), "text"), follows)
+    sides = own.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"))
+    # rows are dealt by key since the join, so the minima don't move them
+    lows = sampled(weighted_words(sides.select("key", "s.side", "s.t"), "t"), ["key", "side"], samples)
     of_side = lambda n: F.max(F.when(F.col("side") == n, F.col("samples")))
-    both = sampled(weighted, ["doc_id", "side"], samples).groupBy("doc_id").agg(of_side(0).alias("own"), of_side(1).alias("edit")).withColumnRenamed("doc_id", "_id")
-    facts = own.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    prints = scratch.keep(facts.join(both, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id"), "prints")
+    both = lows.groupBy("key").agg(of_side(0).alias("own"), of_side(1).alias("edit"))
+    facts = own.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(follows, "key")
+    prints = scratch.keep(facts.join(both, "key"), "prints")
     scratch.drop("follows")
-    after = prints.select(F.col("doc_id").alias("_next"), F.col("own").alias("next_own"))
-    met = prints.join(after, F.col("next_id").eqNullSafe(F.col("_next")))
+    after = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next_own"))
+    met = prints.join(after, "next_key")
     return met.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
