@@ -12,7 +12,7 @@ not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,9 @@ THRESHOLD = 0.3
 #: A document's strongest words that its score weighs.
 STRONGEST = 3
 
+#: Words whose ratios a worker remembers at most (24 bytes each).
+MOST_WORDS = 1 << 18
+
 #: Words are runs of ASCII letters and of bytes beyond ASCII.
 _BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FACTOR = constants(ORDER + 1, 41)
@@ -63,14 +66,43 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "c1": pa.array(c1), "c0": pa.array(np.bincount(which, minlength=len(names)) - c1)})
 
 
+class WordTable:
+    """Log-ratios and lengths of words by their hashes, kept between the slices and tasks of a worker; it is emptied
+    once it holds MOST_WORDS words."""
+
+    def __init__(self):
+        self.keys, self.ratios, self.sizes = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of some sorted hashes stands or belongs, and whether it stands there."""
+        at = np.searchsorted(self.keys, hashes)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+
+    def look_up(self, words: Words, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ratios, sizes) of the distinct words of a slice, and which of them each word is."""
+        hashes, first, which = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
+        if len(self.keys) > MOST_WORDS:
+            self.__init__()
+        at, known = self.places(hashes)
+        if not known.all():
+            fresh, raw = np.flatnonzero(~known), words.raw.tobytes()
+            names = [raw[s:e].decode("utf-8", "replace").lower() for s, e in zip(words.start[first[fresh]], words.end[first[fresh]], strict=True)]
+            self.ratios = np.insert(self.ratios, at[fresh], word_ratios(names, model))
+            self.sizes = np.insert(self.sizes, at[fresh], [len(w) + 1 for w in names])
+            self.keys = np.insert(self.keys, at[fresh], hashes[fresh])
+            at, _ = self.places(hashes)
+        return self.ratios[at], self.sizes[at], which
+
+
 @dataclass
 class ToxicityModel:
     """levels: for each order of class counts, the order, sorted n-gram hashes with the log-ratio of each, and sorted
     context hashes with what an unseen continuation adds to the log-ratio of the next shorter n-gram. weights: the
-    calibration, of the features and of 1."""
+    calibration, of the features and of 1. met: words that a worker has scored."""
 
     levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     weights: np.ndarray
+    met: WordTable = field(default_factory=WordTable)
 
 
 def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +146,7 @@ def _features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     """One row a text: its STRONGEST words' scores, the score of the whole, the logarithm of its number of words."""
     rows = np.zeros((len(texts), STRONGEST + 2))
     for words in slices(texts, _BETWEEN):
-        names, which = _distinct(words)
-        sizes = np.array([len(w) + 1 for w in names])
-        total = word_ratios(names, model)
+        total, sizes, which = model.met.look_up(words, model)
         each, ends = (total / np.maximum(sizes, 1))[which], np.cumsum(words.counts())
         for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
             if b > a:
