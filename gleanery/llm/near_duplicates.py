@@ -2,10 +2,10 @@
 
 Each document's set of word shingles gives a signature of independent minima. The forest is a number of trees; a tree
 is the documents in the order of a part of their signatures. Two documents with similarity s agree on the first d
-values of one order with probability s**d, so close documents stand beside each other in some of the orders. The
-depth at which a document meets its neighbours adapts to its region: in a thin region a prefix of ``least_depth``
-values suffices, in a crowded one the nearest in the order share a longer prefix. Neighbours are confirmed on the full
-shingle sets, and links give groups.
+values of one order with probability s**d, so close documents stand beside each other in some of the orders. All
+documents that share the first LEAST_DEPTH values of an order, a run, are candidates of each other. Neighbours in the
+orders are confirmed first, on the full shingle sets, and give groups; a short run is met whole that way. Of a longer
+run, the pairs between different groups are compared afterwards, in blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ WIDTH = 5
 TREES, DEPTH = 32, 8
 #: Similarity 0.75 is met at this depth in one tree with probability 0.42, in none of 32 with 2e-8.
 LEAST_DEPTH = 3
-#: Neighbours on each side in an order.
+#: Neighbours on each side in an order, which meet first; longer runs are then compared between groups.
 NEIGHBOURS = 4
+#: Documents of a run on each side of a comparison, about.
+BLOCK = 256
 #: Ids of candidates are broadcast up to so many (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -97,14 +99,20 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, prefix, doc_id) -> (a, b, depth) for neighbours whose common prefix has LEAST_DEPTH values or more."""
-    kept = None
+    """Sorted (tree, prefix, doc_id) -> (a, b, depth) for neighbours whose common prefix has LEAST_DEPTH values or more.
+
+    The NEIGHBOURS rows at either end of the partition, which have neighbours in others, are told as rows without b.
+    """
+    kept, told = None, 0
     for batch in batches:
         if not len(batch):
             continue
         rows = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint8).reshape(len(batch), DEPTH, 3)
         now = (batch.column("tree").to_numpy(), rows, batch.column("doc_id").to_numpy())
         fresh = len(batch)
+        if told < NEIGHBOURS:
+            yield _ends(*(v[: NEIGHBOURS - told] for v in now))
+            told += fresh
         tree, rows, ids = now if kept is None else (np.concatenate(x) for x in zip(kept, now, strict=True))
         for gap in range(1, NEIGHBOURS + 1):
             # pairs whose later member is new in this batch
@@ -114,8 +122,79 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             depth = np.minimum.accumulate(equal, axis=1).sum(axis=1)
             near = depth >= LEAST_DEPTH
             x, y = ids[a][near], ids[b][near]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "depth": pa.array(depth[near].astype(np.int64))})
+            yield _met(np.minimum(x, y), np.maximum(x, y), depth[near])
         kept = tuple(v[-NEIGHBOURS:] for v in (tree, rows, ids))
+    if kept is not None:
+        yield _ends(*kept)
+
+
+_MET = "a long, b long, depth long, tree int, prefix binary"
+
+
+def _met(a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "depth": pa.array(depth.astype(np.int64)), "tree": pa.nulls(len(a), pa.int32()), "prefix": pa.nulls(len(a), pa.binary())})
+
+
+def _ends(tree: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_pydict({"a": pa.array(ids, pa.int64()), "b": none, "depth": none, "tree": pa.array(tree, pa.int32()), "prefix": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, component, signature) -> (run, doc_id, component): a run is a tree and LEAST_DEPTH values."""
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, TREES * 4, 3)
+        for tree in range(TREES):
+            part = np.ascontiguousarray(signs[:, 4 * tree : 4 * tree + LEAST_DEPTH]).reshape(n, -1)
+            run = [bytes((tree,)) + p.tobytes() for p in part]
+            yield pa.RecordBatch.from_pydict({"run": pa.array(run, pa.binary()), "doc_id": batch.column("doc_id"), "component": batch.column("component")})
+
+
+def _compared(least: int):
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Two blocks of a run -> (a, b, depth): pairs of different groups whose signatures agree in depth >= least
+        values. A pair that shares several runs is told in the first of them."""
+        out = {"a": [], "b": [], "depth": []}
+        if len(left) and len(right):
+            tree = left.column("run")[0].as_py()[0]
+            x, y = (np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(t), -1, 3).astype(np.int32) for t in (left, right))
+            x, y = (v[:, :, 0] << 16 | v[:, :, 1] << 8 | v[:, :, 2] for v in (x, y))
+            agree, sooner = np.zeros((len(x), len(y)), np.int64), np.zeros((len(x), len(y)), bool)
+            for t in range(TREES):
+                equal = [x[:, k, None] == y[None, :, k] for k in range(4 * t, 4 * t + 4)]
+                agree += sum(e.astype(np.int64) for e in equal)
+                if t < tree:
+                    sooner |= np.logical_and.reduce(equal[:LEAST_DEPTH])
+            a, b = (t.column("doc_id").to_numpy() for t in (left, right))
+            of_a, of_b, main = left.column("component").to_numpy(), right.column("component").to_numpy(), left.column("main")[0].as_py()
+            # of two documents outside the run's main group, both stand on either side
+            i, j = np.nonzero((agree >= least) & ~sooner & (of_a[:, None] != of_b) & ((of_b == main) | (a[:, None] < b)))
+            out = {"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "depth": agree[i, j]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return task
+
+
+def _crowded(ones: DataFrame, groups: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(a, b, depth): the pairs of a run longer than the window, whose ends are in different groups and whose signatures
+    agree in depth >= least values. In each run, documents outside its main group are compared with all."""
+    named = ones.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "signature")
+    runs = named.mapInArrow(_runs, "run binary, doc_id long, component long")
+    mixed = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("n") > NEIGHBOURS + 1) & (F.col("low") != F.col("high")))
+    members = scratch.keep(runs.join(mixed.select("run"), "run", "left_semi"), "crowded")
+    sizes = members.groupBy("run", "component").agg(F.count("*").alias("c")).groupBy("run")
+    sizes = scratch.keep(sizes.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")), "crowds")
+    blocks = sizes.select("run", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("n_left"), F.ceil(F.col("n") / BLOCK).alias("n_right"))
+    known = members.join(blocks, "run").join(ones, "doc_id")
+    place, every = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    side = ["run", "main", "doc_id", "component", "signature"]
+    left = known.where("component != main").select(*side, place("n_left").alias("l"), every("n_right").alias("r"))
+    right = known.select(*side, place("n_right").alias("r"), every("n_left").alias("l")).toDF(*side, "r", "l")
+    at = ["run", "l", "r"]
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_compared(least), "a long, b long, depth long")
 
 
 def _confirm(share: int):
@@ -169,7 +248,8 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     Documents of equal sets are one class, represented by the smallest doc_id; only representatives enter the forest.
     Candidates are first taken two per document, best prefixes first, and confirmed; all others whose ends are not in
     one group by then are confirmed next, where their signatures do not rule them out (agreement six standard
-    deviations below the mean at the threshold). So no candidate between different groups is left unconfirmed.
+    deviations below the mean at the threshold). Runs longer than the window of neighbours come last, in the same two
+    steps. So no two documents of one run that are in different groups are left unconfirmed.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     if _repeats(docs):
@@ -192,28 +272,39 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     order = scratch.keep(ones.mapInArrow(_orders, "tree int, prefix binary, doc_id long"), "orders")
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = order.repartitionByRange(spread, "tree", "prefix", "doc_id").sortWithinPartitions("tree", "prefix", "doc_id")
-    found = ordered.mapInArrow(_neighbours, "a long, b long, depth long").where("a != b")
-    pairs = scratch.keep(found.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "pairs")
+    met = scratch.keep(ordered.mapInArrow(_neighbours, _MET), "met")
     scratch.drop("orders")
+    # NEIGHBOURS rows at either end of each partition
+    ends = met.where("b IS NULL").select("tree", "prefix", F.col("a").alias("doc_id")).distinct().coalesce(1).sortWithinPartitions("tree", "prefix", "doc_id")
+    found = met.union(ends.mapInArrow(_neighbours, _MET)).where("a != b")
+    pairs = scratch.keep(found.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "pairs")
+    scratch.drop("met")
 
-    ends = pairs.select(F.col("a").alias("n"), F.col("b").alias("m"), "depth").union(pairs.select("b", "a", "depth"))
-    best = ends.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("depth"), "m"))).where("r <= 2")
-    chosen = scratch.keep(best.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct(), "chosen")
+    chosen = scratch.keep(_best(pairs), "chosen")
     links = scratch.keep(_confirmed(chosen, docs, share), "links")
     groups = scratch.keep(components(links), "groups")
 
-    def grouped(frame: DataFrame, end: str) -> DataFrame:
-        return frame.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-
-    rest = grouped(grouped(pairs.select("a", "b"), "a"), "b").where("of_a != of_b").select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    rest = _between(pairs, groups).join(chosen, ["a", "b"], "left_anti")
     rest = rest.join(ones.select(F.col("doc_id").alias("a"), F.col("signature").alias("sign_a")), "a").join(ones.select(F.col("doc_id").alias("b"), F.col("signature").alias("sign_b")), "b")
     n = TREES * 4
-    rest = scratch.keep(rest.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(int(n * share / 100 - 6 * (n * share / 100 * (1 - share / 100)) ** 0.5)), "a long, b long"), "rest")
+    least = int(n * share / 100 - 6 * (n * share / 100 * (1 - share / 100)) ** 0.5)
+    rest = scratch.keep(rest.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(least), "a long, b long"), "rest")
     scratch.drop("pairs")
-    if not rest.isEmpty():
-        more = scratch.keep(_confirmed(rest, docs, share), "more")
-        groups = scratch.keep(components(links.union(more)), "all_groups")
-    scratch.drop("chosen", "rest")
+
+    def confirmed(pairs: DataFrame, name: str) -> None:
+        nonlocal links, groups
+        if not pairs.isEmpty():
+            links = links.union(scratch.keep(_confirmed(pairs, docs, share), f"links_{name}"))
+            groups = scratch.keep(components(links), f"groups_{name}")
+
+    confirmed(rest, "rest")
+    late = scratch.keep(_crowded(ones, groups, least, scratch), "late")
+    scratch.drop("chosen", "rest", "crowded", "crowds")
+    first = scratch.keep(_best(late), "first")
+    confirmed(first, "first")
+    last = scratch.keep(_between(late, groups).join(first, ["a", "b"], "left_anti"), "last")
+    confirmed(last, "last")
+    scratch.drop("late", "first", "last")
 
     member = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes.select("same", F.col("doc_id").alias("rep")), "same", "left")
     labelled = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -221,6 +312,22 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     return labelled.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are among the two deepest of either end."""
+    ends = pairs.select(F.col("a").alias("n"), F.col("b").alias("m"), "depth").union(pairs.select("b", "a", "depth"))
+    best = ends.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("depth"), "m"))).where("r <= 2")
+    return best.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups."""
+
+    def grouped(frame: DataFrame, end: str) -> DataFrame:
+        return frame.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+
+    return grouped(grouped(pairs.select("a", "b"), "a"), "b").where("of_a != of_b").select("a", "b")
+
+
 def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id stands in several rows."""
     return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()

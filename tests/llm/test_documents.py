@@ -134,6 +134,35 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == brute_groups(docs)
 
 
+def test_borderline_members_of_a_crowd(spark):
+    """Each of some documents is linked with one of 1000 near copies only, which the orders don't put beside it."""
+    r = random.Random(11)
+
+    def edited(words, places):
+        words = list(words)
+        for p in places:
+            words[p] = f"e{r.randrange(10**9)}"
+        return words
+
+    base = [f"w{i}" for i in range(304)]
+    copies = [edited(base, r.sample(range(5, 150, 6), 4)) for _ in range(1000)]
+    border = [edited(copies[37 * i], r.sample(range(160, 300, 6), 8)) for i in range(20)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(copies + border)]
+    wanted = brute_groups(docs)
+    assert sum(x[3] for x in wanted) == 1
+    assert sorted(map(tuple, near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == wanted
+
+
+def test_neighbours_over_partition_boundaries(spark):
+    """Two documents that stand beside each other in an order meet though they are in different partitions."""
+    docs = [(i, f"a{i // 2} b c d e f g h i j k l m n o{i // 2} p{i % 2}") for i in range(8)]
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert sorted(map(tuple, near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == brute_groups(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5)]
