@@ -156,13 +156,13 @@ def _features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     return rows
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the features and of 1 in a logistic regression with a small ridge, by Newton's method."""
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the features and of 1 in a logistic regression of weighted rows with a small ridge, by Newton's method."""
     x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     ridge = np.diag([0.1] * (len(w) - 1) + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     scratch = Scratch(docs.sparkSession, "toxicity")
     found = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.when(F.col("toxic") == 1, toxic_rows / max(1, found.get(1, 0))).otherwise(ordinary_rows / max(1, found.get(0, 0)))
+    toxic_share, ordinary_share = toxic_rows / max(1, found.get(1, 0)), ordinary_rows / max(1, found.get(0, 0))
+    share = F.when(F.col("toxic") == 1, toxic_share).otherwise(ordinary_share)
     chosen = labels.where(part < share).orderBy(part).limit(2 * (toxic_rows + ordinary_rows))
     text = docs.select("doc_id", "text").where("text IS NOT NULL")
     sample = scratch.keep(text.join(F.broadcast(chosen), "doc_id"), "sample")  # chosen: bounded by its limit
@@ -233,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
 
     held = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) == 0).select("text", "toxic").mapInArrow(measured, "x array<double>, y double").toPandas()
     if len(set(held["y"])) == 2:
-        model.weights = _calibrated(np.array(held["x"].tolist()), held["y"].to_numpy())
+        y = held["y"].to_numpy()
+        weight = np.where(y == 1, 1 / min(1.0, toxic_share), 1 / min(1.0, ordinary_share))  # classes as frequent as in all labels
+        model.weights = _calibrated(np.array(held["x"].tolist()), y, weight * len(y) / weight.sum())
     else:
         model.weights[-1] = -np.inf
     return model

@@ -72,6 +72,16 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.ToxicityModel([], np.zeros(toxicity.STRONGEST + 3))).count() == 0
 
 
+def test_toxicity_keeps_the_prior_of_all_labels(spark):
+    """Where the text tells nothing, the score is the share of toxic labels, however few rows of each class are drawn."""
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["kamo", "tiru", "moti", "ruka"]) for _ in range(20))) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    for how in ({}, {"toxic_rows": 200, "ordinary_rows": 200}):
+        scores = [x["score"] for x in toxicity.score(docs, toxicity.train(docs, labels, **how)).collect()]
+        assert abs(np.mean(scores) - 0.1) < 0.06
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all continuations of a seen context, each class's probabilities sum to what the shared symbols allow."""
     from gleanery.llm.scratch import Scratch
