@@ -32,8 +32,6 @@ DISCOUNT = 0.75
 TOXIC_ROWS, ORDINARY_ROWS = 6000, 12000
 #: One in so many of them calibrates; the others are counted.
 CALIBRATE = 4
-#: N-grams of a model at most, the most frequent first.
-MOST_GRAMS = 500_000
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.3
 #: A document's strongest words that its score weighs.
@@ -119,6 +117,17 @@ def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def _hashed(n: int):
+    """A task (n-gram, v) -> (key, v), key being the hash of the n code points."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(_gram_hashes(codes, n)[::n].view(np.int64)), "v": batch.column(1)})
+
+    return task
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
@@ -215,15 +224,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     words = learn.select("text", "toxic").mapInArrow(_word_counts, "word string, c1 long, c0 long").groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     padded = F.concat(F.lit(_PAD * (ORDER - 1)), F.col("word"), F.lit(_END))
     cut = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda i: F.substr(padded, i, F.lit(ORDER)))).alias("gram"), "c1", "c0")
-    grams = cut.groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    grams = scratch.keep(grams.orderBy(F.desc(F.col("c1") + F.col("c0")), "gram").limit(MOST_GRAMS), "grams")
+    grams = scratch.keep(cut.groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")), "grams")
 
-    def table(names: tuple[str, ...], values: tuple[float, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = _gram_hashes(np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64), n)[::n]
+    def table(values: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        found = values.mapInArrow(_hashed(n), "key long, v double").toArrow()  # 16 bytes for each n-gram of the sample
+        keys = found.column("key").to_numpy().view(np.uint64)
         by = np.argsort(keys)
-        return keys[by], np.array(values)[by]
+        return keys[by], found.column("v").to_numpy()[by]
 
-    levels = [(n, *table(*zip(*seen.collect(), strict=True), n), *table(*zip(*rests.collect(), strict=True), n - 1)) for n, seen, rests in _levels(grams, scratch)] if not grams.isEmpty() else []  # MOST_GRAMS rows each at most
+    # a context that adds nothing is as one that is not known
+    levels = [(n, *table(seen, n), *table(rests.where("v != 0"), n - 1)) for n, seen, rests in _levels(grams, scratch)] if not grams.isEmpty() else []
     model = ToxicityModel(levels, np.zeros(STRONGEST + 3))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -248,7 +258,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Only ``text`` is read. Null and empty texts have no words and are given the score of no evidence. A clashing column
     score is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_GRAMS entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the sample
 
     def scored(texts: pd.Series) -> pd.Series:
         known = shared.value

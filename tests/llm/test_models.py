@@ -82,6 +82,18 @@ def test_toxicity_keeps_the_prior_of_all_labels(spark):
         assert abs(np.mean(scores) - 0.1) < 0.06
 
 
+def test_toxicity_counts_all_grams_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 10, raising=False)
+    rows = [(i, f"kamo tiru{chr(97 + i)} moti{chr(97 + i)}{chr(98 + i)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    learnt = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxicity.CALIBRATE)) != 0).collect()
+    padded = {f"{toxicity._PAD * (toxicity.ORDER - 1)}{w}{toxicity._END}" for x in learnt for w in x["text"].split()}
+    wanted = {w[i : i + toxicity.ORDER] for w in padded for i in range(len(w) - toxicity.ORDER + 1)}
+    n, grams, *_ = toxicity.train(docs, labels).levels[-1]
+    assert (n, len(grams)) == (toxicity.ORDER, len(wanted)) and len(wanted) > 10
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all continuations of a seen context, each class's probabilities sum to what the shared symbols allow."""
     from gleanery.llm.scratch import Scratch
