@@ -334,8 +334,13 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def drop_near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their group; of rows that repeat a doc_id, one stays."""
+    """The rows of ``docs`` (all columns) that stand for their group; of rows that repeat a doc_id, the one of the
+    greatest text, which was judged. All rows with a null doc_id stay."""
     found = near_duplicates(docs, share)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id"]) if _repeats(docs) else left
+    if not _repeats(docs):
+        return left
+    # a struct, as texts that are null are to be ordered too
+    judged = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("text")).alias("_row")).select("_row.*")
+    return left.where("doc_id IS NULL").union(judged)

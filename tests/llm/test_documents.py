@@ -122,6 +122,13 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_of_odd_tables(spark):
+    rows = [(1, "a b c d e f", "x"), (1, None, "y"), (1, "z y x w v u", "z"), (2, "q w e r t y", "x"), (3, None, "n"), (3, None, "n"), (4, "Z Y X W V U", "x"), (None, "a b c d e f", "x"), (None, "k l m n o p", "y"), (None, None, "z")]
+    left = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert left.columns == ["doc_id", "text", "source"]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[2], rows[3], rows[4], *rows[7:]], key=str)
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(200)]
