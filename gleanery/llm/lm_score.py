@@ -1,10 +1,13 @@
 """Cross-entropy difference of documents under two matched n-gram models.
 
-One vocabulary, the most frequent words of all documents, serves both models; any other word is one unknown word. The
-target model counts the documents of a target set, the background model all documents. Both are bigram models that
-fall back to unigrams by the same Dirichlet prior, and background counts are scaled to the target's number of tokens,
-so that neither model is sharper for having seen more. A document's score is its mean loss per token under the target
-model less that under the background model: the lower, the more it is like the target.
+One vocabulary, all words of all documents, serves both models. The target model counts the documents of a target set,
+the background model all documents. Both are bigram models that fall back to unigrams by the same Dirichlet prior, and
+background counts are scaled to the target's number of tokens, so that neither model is sharper for having seen more.
+A document's score is its mean loss per token under the target model less that under the background model: the lower,
+the more it is like the target. Tokens are the words of a text and its end; its first word follows a start.
+
+A model is a table of the counts of all words and of all bigrams. It is never gathered: documents are dealt into blocks
+of bounded size, each block asks for the counts of its distinct words and bigrams by a join, and is scored on these.
 """
 
 from __future__ import annotations
@@ -13,22 +16,44 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanery.llm.text_units import Words, slices
+from gleanery.llm.scratch import Scratch
+from gleanery.llm.text_units import Words, constants, mix, slices
 
-#: Words of the vocabulary, and bigrams with a probability of their own: the most frequent of all documents. The model
-#: is broadcast, so this is its size.
-VOCABULARY, BIGRAMS = 1 << 13, 1 << 20
-#: Weight of the unigram model in a context's counts.
-PRIOR = 200.0
+#: Weight of the unigram model in a context's counts, and what each word of the vocabulary has beside its count.
+PRIOR, ADDED = 200.0, 0.5
 #: Target ids are broadcast up to so many (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Distinct keys that a task holds before it hands their counts on.
 HELD = 1 << 20
+#: Bytes of text of a block, about; a row counts as ROW_BYTES besides its text.
+BLOCK_BYTES, ROW_BYTES = 1 << 24, 64
+
+_START, _END, _OF, _TO = constants(4, 51)
+_PAIR = np.uint64(1)
+
+
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of a slice: its key, its context's key, the key of both, its text, whether it follows a start.
+
+    The lowest bit of a key tells bigrams (1) from words (0). A word's contexts are all its occurrences, as each is
+    followed by a word or the end; those of a start are as many as there are ends.
+    """
+    own = words.hashes(fold=True)
+    last = np.flatnonzero(np.append(words.text[1:] != words.text[:-1], True)) if len(own) else np.zeros(0, np.int64)
+    first = np.zeros(len(own), bool)
+    if len(own):
+        first[np.append(0, last[:-1] + 1)] = True
+    before = np.where(first, _START, np.append(_START, own[:-1])) if len(own) else own
+    to, of = np.concatenate((own, np.full(len(last), _END))), np.concatenate((before, own[last]))
+    pair = mix(of * _OF + to * _TO) | _PAIR
+    return to & ~_PAIR, of & ~_PAIR, pair, np.concatenate((words.text, words.text[last])), np.concatenate((first, np.zeros(len(last), bool)))
 
 
 def _summed(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,28 +62,26 @@ def _summed(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
     return keys, *(np.bincount(which, weights=np.concatenate([p[i] for p in pieces]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
 
 
-def _counted(keys_of) -> callable:
-    """A task (text, target) -> (key, n, t): counts of keys_of(words) in all texts and in those of the target."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held = [], 0
-        for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            for words in slices(batch.column("text")):
-                keys, which = np.unique(keys_of(words), return_inverse=True)
-                own = np.bincount(which, weights=target[words.first + words.text], minlength=len(keys))
-                pieces.append((keys, np.bincount(which, minlength=len(keys)), own))
-                held += len(keys)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, target) -> (key, n, t): counts of words and bigrams in all texts and in those of the target."""
+    pieces, held = [], 0
+    for batch in batches:
+        target = batch.column("target").to_numpy(zero_copy_only=False)
+        for words in slices(batch.column("text")):
+            to, _, pair, text, _ = _tokens(words)
+            keys, which = np.unique(np.concatenate((to, pair)), return_inverse=True)
+            inside = target[words.first + text]
+            own = np.bincount(which, weights=np.concatenate((inside, inside)), minlength=len(keys))
+            pieces.append((keys, np.bincount(which, minlength=len(keys)), own))
+            held += len(keys)
+            if held > HELD:
+                pieces = [_summed(pieces)]
+                held = len(pieces[0][0])
                 if held > HELD:
-                    pieces = [_summed(pieces)]
-                    held = len(pieces[0][0])
-                    if held > HELD:
-                        yield _batch(pieces[0])
-                        pieces, held = [], 0
-        if pieces:
-            yield _batch(_summed(pieces))
-
-    return task
+                    yield _batch(pieces[0])
+                    pieces, held = [], 0
+    if pieces:
+        yield _batch(_summed(pieces))
 
 
 def _batch(counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -67,97 +90,119 @@ def _batch(counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch
 
 @dataclass
 class MatchedModels:
-    """vocabulary: sorted word hashes. word: log-probabilities (target, background) by word, the unknown word last.
-    context: in the same order, what each context's counts leave to the unigrams, its logarithm. bigrams: sorted keys,
-    pair: their log-probabilities."""
-
-    vocabulary: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
-    bigrams: np.ndarray
-    pair: np.ndarray
-
-
-def _ids(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Each word's number in the vocabulary; len(vocabulary) for others."""
-    hashes = words.hashes(fold=True)
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
-
-
-def _bigrams(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """A key for each word with the one before it; a text's first word follows the unknown word."""
-    ids = _ids(words, vocabulary)
-    before = np.concatenate(([len(vocabulary)], ids[:-1]))[: len(ids)]
-    before[np.concatenate(([True], words.text[1:] != words.text[:-1]))[: len(ids)]] = len(vocabulary)
-    return (before * (len(vocabulary) + 1) + ids).astype(np.uint64)
-
-
-def train(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> MatchedModels:
-    """Models of the texts of docs (doc_id, text), and of those whose doc_id stands in target (doc_id). Counts are of
-    all documents, summed in tasks and then by key; of the sums, the most frequent make up the model."""
-    spark = docs.sparkSession
+    """counts: a written table (key, n, t) of all words and bigrams, n in all documents, t in those of the target.
+    tokens: of (the target, all documents). words: how many distinct ones, the end of a text being one."""
+
+    counts: DataFrame
+    tokens: tuple[int, int]
+    words: int
+    scratch: Scratch
+
+    def drop(self) -> None:
+        """Delete the table, once nothing is to be scored any more."""
+        self.scratch.drop("counts")
+
+
+def train(docs: DataFrame, target: DataFrame) -> MatchedModels:
+    """Models of the texts of docs (doc_id, text), and of those whose doc_id stands in target (doc_id).
+
+    All words and bigrams of all documents are counted, summed in tasks and then by key. Null and empty texts have no
+    tokens. Repeated rows count as often as they come; repeated and null ids in target change nothing.
+    """
+    scratch = Scratch(docs.sparkSession, "lm-counts")
     ids = target.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
-
-    def collected(keys_of, most: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-        sums = texts.mapInArrow(_counted(keys_of), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        top = sums.orderBy(F.desc("n"), "key").limit(most).toArrow()  # at most ``most`` rows of 24 bytes
-        keys = top.column("key").to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        return keys[by], np.column_stack([top.column(c).to_numpy() for c in ("t", "n")]).astype(np.float64)[by]
-
-    known, _ = collected(lambda words: words.hashes(fold=True), vocabulary)
-    size = len(known) + 1
-    shared = spark.sparkContext.broadcast(known)
-    # unknown words are counted under the vocabulary as well, so that the unigrams are those of all tokens
-    words, counts = collected(lambda w: _ids(w, shared.value).astype(np.uint64), size)
-    single = np.zeros((size, 2))
-    single[words.astype(np.int64)] = counts
-    pairs, both = collected(lambda w: _bigrams(w, shared.value), bigrams)
-    scale = np.array([1.0, single[:, 0].sum() / max(1.0, single[:, 1].sum())])  # the background is scaled to the target
-    single, both = single * scale, both * scale
-    word = (single + 0.5) / (single + 0.5).sum(axis=0)
-    of, to = (pairs // np.uint64(size)).astype(np.int64), (pairs % np.uint64(size)).astype(np.int64)
-    seen = np.zeros((size, 2))
-    np.add.at(seen, of, both)
-    pair = (both + PRIOR * word[to]) / (seen[of] + PRIOR)
-    return MatchedModels(known, np.log(word), np.log(PRIOR / (seen + PRIOR)), pairs, np.log(pair))
+    counts = scratch.keep(texts.mapInArrow(_counted, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
+    whole = counts.where(F.col("key").bitwiseAND(1) == 0).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    return MatchedModels(counts, (whole["t"] or 0, whole["n"] or 0), whole["words"], scratch)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number in front: that of their block, which takes rows of one task up to BLOCK_BYTES."""
+    task, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+        ends = held + np.cumsum(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(task + (ends - 1) // BLOCK_BYTES), *batch.columns], ["_block", *batch.schema.names])
+        held = int(ends[-1]) if len(ends) else held
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text) -> (block, key): the distinct words and bigrams of each block's texts, and the end."""
+    at, held = None, []
+
+    def told():
+        keys = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_pydict({"_block": pa.array(np.full(len(keys), at)), "key": pa.array(keys.view(np.int64))})
+
+    for batch in batches:
+        blocks = batch.column("_block").to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)])) if len(blocks) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if blocks[a] != at:
+                if held:
+                    yield told()
+                at, held = blocks[a], [np.array([_END & ~_PAIR])]
+            for words in slices(batch.column("text").slice(a, b - a)):
+                to, _, pair, _, _ = _tokens(words)
+                held.append(np.unique(np.concatenate((to, pair))))
+            if sum(map(len, held)) > HELD:
+                held = [np.unique(np.concatenate(held))]
+    if held:
+        yield told()
+
+
+def losses(texts: pa.Array, keys: np.ndarray, counts: np.ndarray, tokens: tuple[int, int], words: int) -> np.ndarray:
+    """(number of words, mean loss under the target model, under the background model) of each text.
+
+    keys: sorted, with those of the texts' words and bigrams; counts: (t, n) of each. Others have the counts 0.
+    """
+    scale = np.array([1.0, tokens[0] / max(1, tokens[1])])  # the background is scaled to the target
+    whole = np.array(tokens) * scale + ADDED * (words + 1)
+
+    def counted(of: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros((len(of), 2))
+        at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+        return np.where((keys[at] == of)[:, None], counts[at], 0.0) * scale
+
+    out, ends = np.zeros((len(texts), 3)), counted(np.array([_END & ~_PAIR]))
+    for part in slices(texts):
+        to, of, pair, text, first = _tokens(part)
+        single = (counted(to) + ADDED) / whole
+        context = np.where(first[:, None], ends, counted(of))
+        p = np.log((counted(pair) + PRIOR * single) / (context + PRIOR))
+        size, rows = np.bincount(text, minlength=part.n), slice(part.first, part.first + part.n)
+        out[rows, 0] = part.counts()
+        for c in (0, 1):
+            out[rows, c + 1] = -np.bincount(text, weights=p[:, c], minlength=part.n) / np.maximum(size, 1)
+    return out
 
 
 def score(docs: DataFrame, models: MatchedModels) -> DataFrame:
-    """Adds n_words, loss_target, loss_background (nats a word) and score, their difference, to every row of docs.
+    """Adds n_words, loss_target, loss_background (nats a token) and score, their difference, to every row of docs.
 
-    Only ``text`` is read, whole. Null and empty texts have no words and the score 0. Clashing columns are replaced.
+    Only ``text`` is read, whole. Null and empty texts have no tokens and the score 0. Repeated rows are scored each.
+    Clashing columns are replaced. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # VOCABULARY and BIGRAMS rows
-
-    def losses(texts: pd.Series) -> pd.DataFrame:
-        m, own = shared.value, pa.array(texts, pa.string(), from_pandas=True)
-        out = np.zeros((len(texts), 3))
-        for words in slices(own) if len(texts) else ():
-            keys = _bigrams(words, m.vocabulary)
-            of, to = (keys // np.uint64(len(m.word))).astype(np.int64), (keys % np.uint64(len(m.word))).astype(np.int64)
-            p = m.context[of] + m.word[to]
-            if len(m.bigrams):
-                at = np.minimum(np.searchsorted(m.bigrams, keys), len(m.bigrams) - 1)
-                hit = m.bigrams[at] == keys
-                p[hit] = m.pair[at[hit]]
-            n = np.maximum(words.counts(), 1)
-            rows = slice(words.first, words.first + words.n)
-            out[rows, 0] = words.counts()
-            for c in (0, 1):
-                out[rows, c + 1] = -np.bincount(words.text, weights=p[:, c], minlength=words.n) / n
-        return pd.DataFrame({"n_words": out[:, 0].astype(np.int64), "loss_target": out[:, 1], "loss_background": out[:, 2], "score": out[:, 1] - out[:, 2]})
-
     names = ("n_words", "loss_target", "loss_background", "score")
-    told = F.pandas_udf(losses, "n_words long, loss_target double, loss_background double, score double")
-    return docs.drop(*names).withColumn("_told", told(F.col("text"))).select(*[c for c in docs.columns if c not in names], *[f"_told.{n}" for n in names])
+    scratch, carried = Scratch(docs.sparkSession, "lm-score"), docs.drop(*names)
+    dealt = scratch.keep(carried.mapInArrow(_dealt, T.StructType([T.StructField("_block", T.LongType()), *carried.schema.fields])), "dealt")
+    told = dealt.select("_block", "text").mapInArrow(_asked, "_block long, key long").join(models.counts, "key").select("_block", "key", "n", "t")
+    tokens, words, own = models.tokens, models.words, carried.columns
+
+    def task(texts: pa.Table, known: pa.Table) -> pa.Table:
+        keys, first = np.unique(known.column("key").to_numpy().view(np.uint64), return_index=True)
+        counts = np.column_stack([known.column(c).to_numpy()[first] for c in ("t", "n")]).astype(np.float64)
+        found = np.concatenate([np.zeros((0, 3)), *(losses(part, keys, counts, tokens, words) for part in texts.column("text").chunks)])
+        columns = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 1] - found[:, 2])]
+        return pa.table([*(texts.column(c) for c in own), *columns], [*own, *names])
+
+    kinds = [T.StructField(n, T.LongType() if n == "n_words" else T.DoubleType()) for n in names]
+    return dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(task, T.StructType([*carried.schema.fields, *kinds]))
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) with the columns of score(), the target being the ids in target (doc_id)."""
-    return score(docs, train(docs, target, **how))
+    return score(docs, train(docs, target))
