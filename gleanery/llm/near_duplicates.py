@@ -3,9 +3,10 @@
 Each document's set of word shingles gives a signature of independent minima. The forest is a number of trees; a tree
 is the documents in the order of a part of their signatures. Two documents with similarity s agree on the first d
 values of one order with probability s**d, so close documents stand beside each other in some of the orders. All
-documents that share the first LEAST_DEPTH values of an order, a run, are candidates of each other. Neighbours in the
-orders are confirmed first, on the full shingle sets, and give groups; a short run is met whole that way. Of a longer
-run, the pairs between different groups are compared afterwards, in blocks.
+documents that share the first LEAST_DEPTH values of an order, a run, are to meet. Neighbours in the orders, by their
+longest common prefixes, are candidates, confirmed on the full shingle sets, and give groups; a short run is met whole
+that way. Where a region is too crowded for that, a longer run that holds several groups, signatures tell too little:
+its documents go down to the shingles themselves, and meet by their rarest ones, which is exact.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ WIDTH = 5
 TREES, DEPTH = 32, 8
 #: Similarity 0.75 is met at this depth in one tree with probability 0.42, in none of 32 with 2e-8.
 LEAST_DEPTH = 3
-#: Neighbours on each side in an order, which meet first; longer runs are then compared between groups.
+#: Neighbours on each side in an order, which meet first; in longer runs, rare shingles are then compared.
 NEIGHBOURS = 4
-#: Documents of a run on each side of a comparison, about.
-BLOCK = 256
+#: Sums of the tally that orders shingles by how often they occur, a power of two: 4 bytes each in every task.
+SLOTS = 1 << 20
 #: Ids of candidates are broadcast up to so many (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -101,17 +102,19 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (tree, prefix, doc_id) -> (a, b, depth) for neighbours whose common prefix has LEAST_DEPTH values or more.
 
-    The NEIGHBOURS rows at either end of the partition, which have neighbours in others, are told as rows without b.
+    Rows without b tell, with depth -1, the documents of long runs, prefix being what the run shares; and without
+    depth, the NEIGHBOURS rows at either end of the partition, which have neighbours in others.
     """
-    kept, told = None, 0
+    kept, told, crowd = None, 0, _Crowds()
     for batch in batches:
         if not len(batch):
             continue
         rows = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint8).reshape(len(batch), DEPTH, 3)
         now = (batch.column("tree").to_numpy(), rows, batch.column("doc_id").to_numpy())
         fresh = len(batch)
+        yield from crowd.told(*now)
         if told < NEIGHBOURS:
-            yield _ends(*(v[: NEIGHBOURS - told] for v in now))
+            yield _marked(*(v[: NEIGHBOURS - told] for v in now), None)
             told += fresh
         tree, rows, ids = now if kept is None else (np.concatenate(x) for x in zip(kept, now, strict=True))
         for gap in range(1, NEIGHBOURS + 1):
@@ -125,7 +128,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _met(np.minimum(x, y), np.maximum(x, y), depth[near])
         kept = tuple(v[-NEIGHBOURS:] for v in (tree, rows, ids))
     if kept is not None:
-        yield _ends(*kept)
+        yield _marked(*kept, None)
 
 
 _MET = "a long, b long, depth long, tree int, prefix binary"
@@ -135,66 +138,102 @@ def _met(a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "depth": pa.array(depth.astype(np.int64)), "tree": pa.nulls(len(a), pa.int32()), "prefix": pa.nulls(len(a), pa.binary())})
 
 
-def _ends(tree: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.RecordBatch.from_pydict({"a": pa.array(ids, pa.int64()), "b": none, "depth": none, "tree": pa.array(tree, pa.int32()), "prefix": pa.array([r.tobytes() for r in rows], pa.binary())})
+def _marked(tree: np.ndarray, rows: np.ndarray, ids: np.ndarray, depth: int | None) -> pa.RecordBatch:
+    """Rows without b."""
+    depths = pa.nulls(len(ids), pa.int64()) if depth is None else pa.array(np.full(len(ids), depth, np.int64))
+    return pa.RecordBatch.from_pydict({"a": pa.array(ids, pa.int64()), "b": pa.nulls(len(ids), pa.int64()), "depth": depths, "tree": pa.array(tree, pa.int32()), "prefix": pa.array([r.tobytes() for r in rows], pa.binary())})
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, component, signature) -> (run, doc_id, component): a run is a tree and LEAST_DEPTH values."""
+class _Crowds:
+    """Tells the documents of runs (a tree and LEAST_DEPTH values) of more than NEIGHBOURS rows of a sorted partition.
+
+    A run that is cut by a partition's edge stands in the rows of either end, or is long enough on one side of it.
+    """
+
+    def __init__(self):
+        self.long, self.tree, self.rows, self.ids = False, np.zeros(0, np.int32), np.zeros((0, LEAST_DEPTH, 3), np.uint8), np.zeros(0, np.int64)
+
+    def told(self, tree: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # the last run of the batches before comes first: whole while it is short, its last row if it is told already
+        held = len(self.ids)
+        tree, rows, ids = np.concatenate((self.tree, tree)), np.concatenate((self.rows, rows[:, :LEAST_DEPTH])), np.concatenate((self.ids, ids))
+        starts = np.append(True, (rows[1:] != rows[:-1]).any(axis=(1, 2)) | (tree[1:] != tree[:-1]))
+        run = np.cumsum(starts) - 1
+        long = np.bincount(run) > NEIGHBOURS
+        long[0] |= self.long
+        chosen = long[run]
+        if self.long:
+            chosen[:held] = False
+        if chosen.any():
+            yield _marked(tree[chosen], rows[chosen], ids[chosen], -1)
+        self.long = bool(long[-1])
+        last = np.flatnonzero(run == run[-1])[-1 if self.long else 0 :]
+        self.tree, self.rows, self.ids = tree[last], rows[last], ids[last]
+
+
+def _shares(n: int, share: int) -> tuple[int, int]:
+    """How many of the first of n shingles, in any one order, hold one of each partner's that are smaller or as large
+    (which are met from the larger side), and of each partner's that are as large or larger."""
+    return n - -(-share * n // 100) + 1, n - -(-2 * share * n // (100 + share)) + 1
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (slot, n): how many distinct shingles of all texts of a task fall into each slot."""
+    n = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, TREES * 4, 3)
-        for tree in range(TREES):
-            part = np.ascontiguousarray(signs[:, 4 * tree : 4 * tree + LEAST_DEPTH]).reshape(n, -1)
-            run = [bytes((tree,)) + p.tobytes() for p in part]
-            yield pa.RecordBatch.from_pydict({"run": pa.array(run, pa.binary()), "doc_id": batch.column("doc_id"), "component": batch.column("component")})
-
-
-def _compared(least: int):
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Two blocks of a run -> (a, b, depth): pairs of different groups whose signatures agree in depth >= least
-        values. A pair that shares several runs is told in the first of them."""
-        out = {"a": [], "b": [], "depth": []}
-        if len(left) and len(right):
-            tree = left.column("run")[0].as_py()[0]
-            x, y = (np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(t), -1, 3).astype(np.int32) for t in (left, right))
-            x, y = (v[:, :, 0] << 16 | v[:, :, 1] << 8 | v[:, :, 2] for v in (x, y))
-            agree, sooner = np.zeros((len(x), len(y)), np.int64), np.zeros((len(x), len(y)), bool)
-            for t in range(TREES):
-                equal = [x[:, k, None] == y[None, :, k] for k in range(4 * t, 4 * t + 4)]
-                agree += sum(e.astype(np.int64) for e in equal)
-                if t < tree:
-                    sooner |= np.logical_and.reduce(equal[:LEAST_DEPTH])
-            a, b = (t.column("doc_id").to_numpy() for t in (left, right))
-            of_a, of_b, main = left.column("component").to_numpy(), right.column("component").to_numpy(), left.column("main")[0].as_py()
-            # of two documents outside the run's main group, both stand on either side
-            i, j = np.nonzero((agree >= least) & ~sooner & (of_a[:, None] != of_b) & ((of_b == main) | (a[:, None] < b)))
-            out = {"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "depth": agree[i, j]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        for own in shingle_sets(batch.column("text")):
+            np.add.at(n, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
+
+
+def _rarest(shared, share: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, component, text) -> (shingle, doc_id, component, n, at, early): the rarest shingles of each text, by
+        the tally, as many as _shares() says; at: the place in that order; early: whether a larger one may meet it."""
+        tally = shared.value
+        for batch in batches:
+            out = []
+            for i, own in enumerate(shingle_sets(batch.column("text"))):
+                some, few = _shares(len(own), share)
+                order = np.lexsort((own, tally[(own & np.uint64(SLOTS - 1)).astype(np.int64)]))[:some] if len(own) else np.zeros(0, np.int64)
+                out.append((np.full(len(order), i), own[order], np.full(len(order), len(own)), np.arange(len(order)), np.arange(len(order)) < few))
+            row, shingle, n, at, early = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+            ids, groups = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "component"))
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.uint64).view(np.int64)), "doc_id": ids, "component": groups, "n": pa.array(n, pa.int32()), "at": pa.array(at, pa.int32()), "early": pa.array(early.astype(bool))})
 
     return task
 
 
-def _crowded(ones: DataFrame, groups: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(a, b, depth): the pairs of a run longer than the window, whose ends are in different groups and whose signatures
-    agree in depth >= least values. In each run, documents outside its main group are compared with all."""
-    named = ones.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "signature")
-    runs = named.mapInArrow(_runs, "run binary, doc_id long, component long")
-    mixed = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("n") > NEIGHBOURS + 1) & (F.col("low") != F.col("high")))
-    members = scratch.keep(runs.join(mixed.select("run"), "run", "left_semi"), "crowded")
-    sizes = members.groupBy("run", "component").agg(F.count("*").alias("c")).groupBy("run")
-    sizes = scratch.keep(sizes.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")), "crowds")
-    blocks = sizes.select("run", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("n_left"), F.ceil(F.col("n") / BLOCK).alias("n_right"))
-    known = members.join(blocks, "run").join(ones, "doc_id")
-    place, every = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    side = ["run", "main", "doc_id", "component", "signature"]
-    left = known.where("component != main").select(*side, place("n_left").alias("l"), every("n_right").alias("r"))
-    right = known.select(*side, place("n_right").alias("r"), every("n_left").alias("l")).toDF(*side, "r", "l")
-    at = ["run", "l", "r"]
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_compared(least), "a long, b long, depth long")
+def _crowded(crowds: DataFrame, groups: DataFrame, docs: DataFrame, share: int, scratch: Scratch) -> DataFrame:
+    """(a, b, depth): all pairs in different groups that may be linked, of documents whose runs are longer than the
+    window and hold several groups. crowds: (tree, prefix, doc_id) of long runs.
+
+    Any order of shingles finds all of them: of two sets that meet ``share``, the first shingles in that order have one
+    in common, which stands so early in both that enough others can follow. The order is by a tally of SLOTS sums, so
+    that shingles of templates come last. Of a shingle's documents, those outside its main group are held against all.
+    """
+    spark = docs.sparkSession
+    named = crowds.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = named.groupBy("tree", "prefix").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    members = scratch.keep(named.join(mixed, ["tree", "prefix"], "left_semi").select("doc_id", "component").distinct(), "members")
+    some = F.broadcast(members) if members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else members
+    texts = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "component", "text")
+    tally = np.zeros(SLOTS, np.float32)
+    sums = texts.select("text").mapInArrow(_tallied, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    tally[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
+    rare = texts.mapInArrow(_rarest(spark.sparkContext.broadcast(tally), share), "shingle long, doc_id long, component long, n int, at int, early boolean")
+    by, of = Window.partitionBy("shingle"), Window.partitionBy("shingle", "component")
+    told = rare.repartition("shingle").withColumn("c", F.count("*").over(of)).withColumn("main", F.max(F.struct("c", "component")).over(by)["component"])
+    told = scratch.keep(told.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low != high").drop("c", "low", "high"), "rare")
+    small, large = (told.select("shingle", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "n", "at", "early")]) for side in ("a", "b"))
+    small = small.where("early_a")
+    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
+    held = (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "doc_id_a") < F.struct("n_b", "doc_id_b")) & (100 * F.col("n_a") >= share * F.col("n_b"))
+    held &= F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need
+    met = small.where("component_a != main").drop("main").join(large.drop("main"), "shingle").where(held)
+    met = met.unionByName(small.where("component_a = main").drop("main").join(large.where("component_b != main").drop("main"), "shingle").where(held))
+    return met.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(F.count("*").alias("depth"))
 
 
 def _confirm(share: int):
@@ -248,8 +287,8 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     Documents of equal sets are one class, represented by the smallest doc_id; only representatives enter the forest.
     Candidates are first taken two per document, best prefixes first, and confirmed; all others whose ends are not in
     one group by then are confirmed next, where their signatures do not rule them out (agreement six standard
-    deviations below the mean at the threshold). Runs longer than the window of neighbours come last, in the same two
-    steps. So no two documents of one run that are in different groups are left unconfirmed.
+    deviations below the mean at the threshold). Crowded regions come last, by rare shingles, in the same two steps. So
+    no two documents of one run that are in different groups and may be linked are left unconfirmed.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     if _repeats(docs):
@@ -275,10 +314,10 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     met = scratch.keep(ordered.mapInArrow(_neighbours, _MET), "met")
     scratch.drop("orders")
     # NEIGHBOURS rows at either end of each partition
-    ends = met.where("b IS NULL").select("tree", "prefix", F.col("a").alias("doc_id")).distinct().coalesce(1).sortWithinPartitions("tree", "prefix", "doc_id")
-    found = met.union(ends.mapInArrow(_neighbours, _MET)).where("a != b")
-    pairs = scratch.keep(found.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "pairs")
-    scratch.drop("met")
+    ends = met.where("b IS NULL AND depth IS NULL").select("tree", "prefix", F.col("a").alias("doc_id")).distinct().coalesce(1).sortWithinPartitions("tree", "prefix", "doc_id")
+    found = met.union(scratch.keep(ends.mapInArrow(_neighbours, _MET), "ends"))
+    pairs = scratch.keep(found.where("a != b").groupBy("a", "b").agg(F.sum("depth").alias("depth")), "pairs")
+    crowds = found.where("depth = -1").select("tree", "prefix", F.col("a").alias("doc_id"))
 
     chosen = scratch.keep(_best(pairs), "chosen")
     links = scratch.keep(_confirmed(chosen, docs, share), "links")
@@ -292,14 +331,17 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     scratch.drop("pairs")
 
     def confirmed(pairs: DataFrame, name: str) -> None:
-        nonlocal links, groups
-        if not pairs.isEmpty():
-            links = links.union(scratch.keep(_confirmed(pairs, docs, share), f"links_{name}"))
-            groups = scratch.keep(components(links), f"groups_{name}")
+        nonlocal groups
+        if pairs.isEmpty():
+            return
+        fresh = scratch.keep(_confirmed(pairs, docs, share), f"links_{name}")
+        if not fresh.isEmpty():
+            stars = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            groups = scratch.keep(components(stars.union(fresh)), f"groups_{name}")
 
     confirmed(rest, "rest")
-    late = scratch.keep(_crowded(ones, groups, least, scratch), "late")
-    scratch.drop("chosen", "rest", "crowded", "crowds")
+    late = scratch.keep(_crowded(crowds, groups, docs, share, scratch), "late")
+    scratch.drop("chosen", "rest", "met", "ends", "members", "rare")
     first = scratch.keep(_best(late), "first")
     confirmed(first, "first")
     last = scratch.keep(_between(late, groups).join(first, ["a", "b"], "left_anti"), "last")

@@ -76,6 +76,14 @@ def test_contamination_of_empty_tables(spark):
     assert not any(r["contaminated"] for r in decontaminate.contamination(d, b.limit(0)).collect())
 
 
+def test_spans_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)] * 5 + [(2, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(text.split()[3:16]))], "item_id long, text string")
+    found = decontaminate.contamination(docs, items).collect()
+    assert len(found) == 6 and all([s["start"] for s in r["spans"]] == [3] and r["n_hit"] == 13 for r in found)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "red x blue y green"), (2, "green red blue"), (3, "red a b c d e blue green"), (4, "red red blue")], "doc_id long, text string")
     windows = decontaminate.test_windows(spark.createDataFrame([(1, "red blue green")], "item_id long, text string"), 13)
@@ -160,6 +168,44 @@ def test_borderline_members_of_a_crowd(spark):
     assert sorted(map(tuple, near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == wanted
 
 
+def of_one_template(n, planted, seed=1):
+    """n texts that share 200 of 238 shingles, strangers by .725, and near copies of some, which share 204 and more."""
+    r, head = random.Random(seed), [f"w{i}" for i in range(204)]
+    fresh = lambda k: [f"x{r.getrandbits(40):x}" for _ in range(k)]
+    rows = [(i, " ".join(head + fresh(38))) for i in range(n)]
+    for k in range(planted):
+        more = 4 + k % 9  # similarity .75 to .806
+        rows.append((n + k, " ".join(rows[k * (n // planted)][1].split()[: 204 + more] + fresh(38 - more))))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "planted"), [(5000, 200)])
+def test_no_link_is_lost_among_strangers_just_below_the_threshold(spark, n, planted):
+    rows = of_one_template(n, planted)
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [(k * (n // planted), n + k) for k in range(planted)]
+    likeness = [100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert min(likeness) == 75 and max(likeness) < 81
+    r = random.Random(2)
+    assert all(100 * len(sets[a] & sets[b]) < 75 * len(sets[a] | sets[b]) for a, b in (r.sample(range(n), 2) for _ in range(3000)))
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i for i in range(n)} | {b: a for a, b in pairs}
+
+
+def test_first_shingles_of_linked_sets_meet():
+    """What _shares() takes of either set, in any one order, has one in common, if the sets meet the share."""
+    r = random.Random(3)
+    for _ in range(3000):
+        share, every = r.choice([60, 75, 90]), list(range(60))
+        a = set(r.sample(every, r.randrange(1, 50)))
+        b = set(r.sample(sorted(a), r.randrange(len(a) // 2, len(a) + 1))) | set(r.sample(every, r.randrange(6)))
+        if not b or 100 * len(a & b) < share * len(a | b):
+            continue
+        small, large = sorted((a, b), key=len)
+        few, some = sorted(small)[: near_duplicates._shares(len(small), share)[1]], sorted(large)[: near_duplicates._shares(len(large), share)[0]]
+        assert set(few) & set(some)
+
+
 def test_neighbours_over_partition_boundaries(spark):
     """Two documents that stand beside each other in an order meet though they are in different partitions."""
     docs = [(i, f"a{i // 2} b c d e f g h i j k l m n o{i // 2} p{i % 2}") for i in range(8)]
