@@ -6,7 +6,8 @@ continuation counts; the counts of the shortest both classes share. Where neithe
 rare expressions, both fall back to the same probabilities, and the comparison is level. A word's score is the
 difference of its log-likelihoods under the two models, divided by its length; a document's score weighs its strongest
 words and the length-normalised difference of the whole text, by a logistic calibration on rows that the models have
-not seen.
+not seen. The calibration also has the logarithm of the number of words: the strongest of n words are the higher the
+more words there are, so the same strongest scores mean less in a longer text.
 """
 
 from __future__ import annotations
@@ -178,12 +179,14 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _levels(grams: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame, DataFrame]]:
-    """For each order of class counts: (order, (gram, v) log-ratios of seen n-grams, (ctx, v) of unseen continuations).
+def _probabilities(grams: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame, DataFrame]]:
+    """For each order from 2 on: (order, (gram, p1, p0) of seen n-grams in either class, (ctx, left1, left0): the weight
+    that either class leaves to the n-gram without its first character).
 
     grams: (gram, c1, c0), the longest n-grams with their counts in either class. A shorter n-gram's count in a class
     is its continuation count: in how many n-grams of the class that are longer by one at the left it occurs. Below
-    SHARED the counts of both classes are one.
+    SHARED the counts of both classes are one. Of the characters themselves, one never met has DISCOUNT / (k + 1) of k
+    characters' discounts, so that a context's probabilities sum to 1 over all characters and that one.
     """
     counts = {ORDER: grams.select("gram", "c1", "c0")}
     kinds = lambda c: F.sum((F.col(c) > 0).cast("int"))
@@ -198,18 +201,25 @@ def _levels(grams: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame, Da
     for n in range(2, ORDER + 1):
         own = counts[n].select("gram", "c1", "c0", F.substring("gram", 1, n - 1).alias("ctx"), F.substring("gram", 2, n - 1).alias("tail"))
         around = own.groupBy("ctx").agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), kinds("c1").alias("k1"), kinds("c0").alias("k0"))
-        left = {c: F.when(F.col(f"n{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (1, 0)}  # what a class leaves to shorter contexts
+        left = {c: F.when(F.col(f"n{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (1, 0)}
         met = own.join(around, "ctx").join(lower.select(F.col("gram").alias("tail"), F.col("p1").alias("b1"), F.col("p0").alias("b0")), "tail")
         p = {c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0) + left[c] * F.col(f"b{c}") for c in (1, 0)}
         lower = scratch.keep(met.select("gram", p[1].alias("p1"), p[0].alias("p0")), f"p{n}")
-        if n >= SHARED:
-            out.append((n, lower.select("gram", F.log(F.col("p1") / F.col("p0")).alias("v")), around.select("ctx", F.log(left[1] / left[0]).alias("v"))))
+        out.append((n, lower, around.select("ctx", left[1].alias("left1"), left[0].alias("left0"))))
     return out
 
 
+def _levels(grams: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame, DataFrame]]:
+    """For each order of class counts: (order, (gram, v) log-ratios of seen n-grams, (ctx, v) what an unseen
+    continuation adds to the log-ratio of the n-gram without its first character)."""
+    ratio = lambda a, b: F.log(F.col(a) / F.col(b)).alias("v")
+    return [(n, seen.select("gram", ratio("p1", "p0")), rests.select("ctx", ratio("left1", "left0"))) for n, seen, rests in _probabilities(grams, scratch) if n >= SHARED]
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> ToxicityModel:
     """A model from docs (doc_id, text) and labels (doc_id, toxic). Of several labels of one document the highest
-    counts; null labels and labels without a text teach nothing. Without rows of both classes every score is 0."""
+    counts; null labels and labels without a text teach nothing; rows that repeat a labelled doc_id teach each. Without
+    rows of both classes every score is 0."""
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     scratch = Scratch(docs.sparkSession, "toxicity")
     found = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -255,8 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Adds score (0 to 1, the probability that the whole text is toxic) to every row of docs.
 
-    Only ``text`` is read. Null and empty texts have no words and are given the score of no evidence. A clashing column
-    score is replaced.
+    Only ``text`` is read. Null and empty texts have no words and are given the score of no evidence. Repeated rows
+    get the same score each. A clashing column score is replaced. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the sample
 
