@@ -3,7 +3,7 @@
 The index holds one posting (term, document key, position) for each occurrence of a test term in the training
 documents, written as a table. A test window is looked up from its rarest term: postings of that term, moved back by
 the term's place in the window, are the possible starts; they are intersected with the equally moved postings of the
-next rarest terms; what is left is compared with the document's own words, so that the answer is exact.
+next rarest terms; what is left is compared with the document's own words, by a digest of all words of the window.
 
 Everything here is DataFrame code: words, postings and comparisons stay in the JVM.
 """
@@ -33,7 +33,8 @@ def words_of(text: Column) -> Column:
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
-    """A row's key. Rows that share it by chance only cost a comparison: matches are confirmed on the words."""
+    """A row's key. Rows that share it, by chance or as they are equal, only cost a comparison: matches are confirmed on
+    the words of each."""
     return F.xxhash64(doc_id, text)
 
 
@@ -42,12 +43,17 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def window_id(window: Column) -> Column:
+    """A digest of a window's words; no word holds a space."""
+    return F.md5(F.array_join(window, " "))
+
+
 def test_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct windows (wid, window words, items): ``width`` consecutive words; a shorter item is one window."""
     per_item = items.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     cut = per_item.select("item_id", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, width))).alias("window"))
-    return cut.groupBy(F.md5(F.array_join("window", " ")).alias("wid"), "window").agg(F.collect_set("item_id").alias("items"))
+    return cut.groupBy(window_id(F.col("window")).alias("wid"), "window").agg(F.collect_set("item_id").alias("items"))
 
 
 @dataclass
@@ -125,14 +131,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     index = build_index(docs, windows.select(F.explode("window").alias("term")))
     ranked = scratch.keep(ranked_terms(windows, index), "ranked")
     starts = phrase_starts(index, ranked, lists)
-    by_doc = scratch.keep(starts.groupBy("key").agg(F.collect_list(F.struct("start", "window", "items")).alias("maybe")), "starts")
+    # a set, as repeated rows share a key and each has brought the same starts
+    by_doc = scratch.keep(starts.groupBy("key").agg(F.collect_set(F.struct("start", F.size("window").alias("length"), "wid", "items")).alias("maybe")), "starts")
     index.drop()
     scratch.drop("windows", "ranked")
 
     keyed = docs.withColumn("key", document_key(F.col("doc_id"), F.col("text")))
     met = keyed.join(by_doc, "key", "left").select("doc_id", words_of(F.col("text")).alias("w"), "maybe", *carried)
-    sure = F.filter(F.coalesce("maybe", F.array()), lambda m: F.slice(F.col("w"), m["start"] + 1, F.size(m["window"])) == m["window"])
-    spans = F.sort_array(F.transform(sure, lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("length"), m["items"].alias("items"))))
+    sure = F.filter(F.coalesce("maybe", F.array()), lambda m: window_id(F.slice(F.col("w"), m["start"] + 1, m["length"])) == m["wid"])
+    spans = F.sort_array(F.transform(sure, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"), m["items"].alias("items"))))
     met = met.select("doc_id", F.size("w").cast("long").alias("n_words"), spans.alias("spans"), *carried)
     # spans come by start: each adds the words beyond what the earlier ones have covered
     covered = F.aggregate(
