@@ -8,7 +8,7 @@ have not seen.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,6 @@ SAMPLE_ROWS = 1500
 MOST_LANGUAGES = 512
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTOR = constants(ORDERS, 31)
 #: Characters that are counted at once; longer texts are counted part by part, overlapping by ORDERS - 1.
 _PART = 1 << 20
@@ -147,13 +146,20 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, passes: int = 2) -> Language
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows / found[k]))])
     sample = scratch.keep(docs.where(part < share[F.col("lang")]).orderBy(F.xxhash64("doc_id")).limit(2 * rows * len(languages)), "sample")
 
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, lang) -> (by, bucket, x, label): features of each text, and what orders the rows."""
+        for batch in batches:
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                at, x = counted(text)
+                x = x * idf[at]
+                x = x / (np.sqrt((x * x).sum()) or 1.0)
+                by = hashlib.sha256(f"{text}\n{lang}".encode("utf-8", "surrogatepass")).digest()
+                yield pa.RecordBatch.from_pydict({"by": [by], "bucket": pa.array([at.astype(np.int32)]), "x": pa.array([x]), "label": pa.array([languages.index(lang)], pa.int32())})
+
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(frames), ignore_index=True) if frames else pd.DataFrame()
-        made = []
-        for text, lang in zip(own["text"], own["lang"], strict=True):
-            at, x = counted(text)
-            x = x * idf[at]
-            made.append((at, x / (np.sqrt((x * x).sum()) or 1.0), languages.index(lang)))
+        # steps are taken in an order of the texts, not of the files that hold them
+        own = pd.concat(list(frames), ignore_index=True).sort_values("by", kind="stable")
+        made = list(zip(own["bucket"], own["x"], own["label"], strict=True))
         test, learn = made[::5], [m for i, m in enumerate(made) if i % 5]
         w = ftrl(learn or made, len(languages), passes, alpha=0.5, beta=1.0, l1=0.05, l2=0.05)
         scores = np.array([x @ w[at] for at, x, _ in test]).reshape(len(test), len(languages))
@@ -161,7 +167,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, passes: int = 2) -> Language
         at = np.flatnonzero(w.any(axis=1))
         yield pd.DataFrame({"bucket": np.append(at, -1), "w": [*(w[i] for i in at), np.array([t])]})
 
-    got = sample.coalesce(1).mapInPandas(fit, "bucket long, w array<double>").collect()  # at most BUCKETS + 1 rows
+    # features of the bounded sample, at most BUCKETS of a text, meet in one task
+    features_of = sample.select("text", "lang").mapInArrow(weighed, "by binary, bucket array<int>, x array<double>, label int")
+    got = features_of.coalesce(1).mapInPandas(fit, "bucket long, w array<double>").collect()  # at most BUCKETS + 1 rows
     table, divisor = np.zeros((BUCKETS, len(languages))), 1.0
     for r in got:
         if r["bucket"] < 0:
@@ -185,7 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         languages, table, divisor = shared.value
         out = []
         for text in texts:
-            if not languages or not isinstance(text, str) or not _LETTER.search(text):
+            if not languages or not isinstance(text, str) or not any(map(str.isalpha, text)):
                 out.append((UNDETERMINED, 0.0))
                 continue
             at, x = counted(text)
