@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,30 +156,28 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     return rows.withColumn("role", canonical)
 
 
+def escaped(text: Column) -> Column:
+    """escape() of a column."""
+    opening = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), opening, r"$1\\")
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask) of turns (conv_id, turn, role, text), in the order of turn, role and text.
 
     formatted: TURN role SAYS text END for each turn, role and text escaped. loss_mask: (start, end) in characters of
-    the escaped text of each turn of an assistant, in order. Turns are written one by one, in parallel; a conversation
-    is joined from what is written. A null turn comes first, a null conv_id is a conversation, repeated rows are turns
-    like others. An empty table gives no rows.
+    the escaped text of each turn of an assistant, in order. Turns are written one by one, in parallel; where each
+    stands is a running sum over its conversation, which is joined from what is written. A null turn comes first, a
+    null conv_id is a conversation, repeated rows are turns like others. An empty table gives no rows.
     """
-    escaped = F.pandas_udf(lambda s: s.map(lambda x: escape(x or "")), "string")
     each = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = each.withColumn("r", escaped("role")).withColumn("e", escaped("text"))
-    each = each.select("conv_id", F.struct("turn", "role", "text", F.concat(F.lit(TURN), "r", F.lit(SAYS)).alias("head"), F.col("e").alias("body")).alias("t"))
-    joined = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(END)
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + size(t)).alias("at"),
-            F.when(t["role"] == "assistant", F.concat(a["spans"], F.array(F.struct((a["at"] + F.char_length(t["head"])).alias("start"), (a["at"] + size(t) - len(END)).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return joined.select("conv_id", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"), spans.alias("loss_mask"))
+    each = each.withColumn("line", F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS), escaped(F.col("text")), F.lit(END)))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("to", F.sum(F.char_length("line").cast("long")).over(before))
+    body = F.char_length(escaped(F.col("text")))
+    said = F.struct((F.col("to") - len(END) - body).cast("int").alias("start"), (F.col("to") - len(END)).cast("int").alias("end"))
+    joined = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("to", "line"))).alias("lines"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", said))).alias("loss_mask"))
+    return joined.select("conv_id", F.array_join(F.transform("lines", lambda t: t["line"]), "").alias("formatted"), "loss_mask")
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
