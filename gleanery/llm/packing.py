@@ -81,11 +81,16 @@ def best_fit_decreasing(lengths: list[int], row: int) -> list[list[int]]:
 
 
 def rank_encoder(path: str, pattern: str):
-    """Encodes units of bytes with a file of ranks; a worker's table of units is kept between batches."""
+    """Encodes units of bytes with a file of ranks; a worker's table of units is kept between batches.
+
+    A vocabulary must leave END free and fit 16 bits: others raise ValueError.
+    """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values()) >= 1 << 16 or END in ranks.values():
+        raise ValueError(f"ids of {path} do not fit 16 bits, or {END} is one of them")
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return UnitTable(lambda units: [np.array(encoding.encode_ordinary(u.decode("utf-8", "replace")), np.int32) for u in units])
 

@@ -96,3 +96,11 @@ def test_pack_round_trip(spark):
         filling = set(range(len(ids))) - {p for a, n in zip(m["segment_starts"], m["segment_lengths"], strict=True) for p in range(a, a + n)}
         assert m["n_tokens"] == len(ids) - len(filling) and all(ids[p] == packing.END for p in filling)
     assert packing.pack(rows.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pack_refuses_vocabularies_beyond_16_bits(tmp_path):
+    for ids in (range(70000), range(packing.END + 1)):
+        path = tmp_path / f"{len(ids)}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(i.to_bytes(3, "big")) + b" %d\n" % i for i in ids))
+        with pytest.raises(ValueError, match="16 bits"):
+            packing.rank_encoder(str(path), r"\S+")
