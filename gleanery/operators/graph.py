@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import tokens
+from gleanery.operators.steps import settled
+
 
 def cooccurrence(mentions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """(a, b, weight): in how many documents of mentions (entity, doc_id) two entities, a < b, occur together.
@@ -73,16 +76,49 @@ def graph_audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_node.crossJoin(twice).crossJoin(ended)  # three single rows
 
 
-def frontier(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(url, depth): pages that links (src, dst) reach from seeds (url), each at its least depth, up to ``depth``."""
-    seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
-    new = seen
+def frontier(seeds: DataFrame, links: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(url, depth): pages that links (src, dst) reach from seeds (url), each at its least depth, up to ``depth``; with
+    ``most``, a crawl's budget, the first so many by depth and url. Every level is written before the next is sought,
+    so that a level is one join, however many came before it."""
+    new = seen = settled(seeds.select("url", F.lit(0).alias("depth")).distinct())
     for step in range(1, depth + 1):
-        new = new.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(step))
+        reached = new.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        new = settled(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(new)
-    return seen
-
-
-def first_of(frame: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key."""
-    return frame.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+        if new.isEmpty():
+            break
+    return seen if most is None else seen.orderBy("depth", "url").limit(most)
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None, outward: bool = True) -> DataFrame:
+    """(node, rel, other) of nodes (id): what their edges (src, rel, dst) lead to, or come from, by one relation or
+    any."""
+    kept = edges if relation is None else edges.where(F.col("rel") == relation)
+    near, far = ("src", "dst") if outward else ("dst", "src")
+    return kept.join(nodes.select(F.col("id").alias(near)).distinct(), near, "left_semi").select(F.col(near).alias("node"), "rel", F.col(far).alias("other"))
+
+
+def name_index(nodes: DataFrame) -> DataFrame:
+    """(name, id): the lower-cased names and aliases of nodes (id, name, aliases)."""
+    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return nodes.select(F.explode(every).alias("name"), "id").select(F.lower(F.trim("name")).alias("name"), "id").where("name <> ''").distinct()
+
+
+def longest_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, id, name): the node whose name is the longest of those that stand in a text (text_id, text), the first
+    by name and id among equals. A name is met by its first word, so that no text meets all names."""
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    words = names.select("name", "id", tokens(F.col("name")).alias("w")).where(F.size("w") > 0)
+    lines = texts.select("text_id", tokens(F.col("text")).alias("t"))
+    met = lines.select("text_id", F.explode(F.array_distinct("t")).alias("first")).join(words.withColumn("first", F.col("w")[0]), "first")
+    held = met.join(lines.select("text_id", spaced(F.col("t")).alias("line")), "text_id").where(F.contains("line", spaced(F.col("w"))))
+    best = F.min_by(F.struct("id", "name"), F.struct(-F.char_length("name"), "name", "id"))
+    return held.groupBy("text_id").agg(best.alias("b")).select("text_id", "b.*")
+
+
+def expansion_contexts(related: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the k best related documents (query_id, doc_id, score) in scope (facts: doc_id,
+    in_scope), scored anew by their place: .5, falling by .03 to .2."""
+    kept = related.join(facts.where("in_scope"), "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")) - 1
+    return kept.withColumn("_p", place).where(F.col("_p") < k).select("query_id", "doc_id", F.round(F.greatest(F.lit(0.2), 0.5 - 0.03 * F.col("_p")), 6).alias("score"))

@@ -37,7 +37,9 @@ def upsert_plan(current: DataFrame, incoming: DataFrame, key: str, hashed: str)
 
 
 def merged(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The snapshot after an upsert: incoming rows, and current rows of other keys."""
+    """The snapshot after an upsert: incoming rows, one of each key (of several, the greatest), and current rows of
+    other keys."""
+    incoming = incoming.groupBy(key).agg(F.max(F.struct(*[c for c in incoming.columns if c != key])).alias("_row")).select(key, "_row.*")
     return incoming.unionByName(current.join(incoming.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
@@ -69,7 +71,9 @@ def is_due(last_crawl: Column, frequency: Column, as_of: str) -> Column:
 
 
 def recorded(ledger: DataFrame, fetches: DataFrame) -> DataFrame:
-    """The ledger (url, content_hash, last_crawl, last_changed, failures) after fetches (url, ok, new_hash, at)."""
+    """The ledger (url, content_hash, last_crawl, last_changed, failures) after fetches (url, ok, new_hash, at); of
+    several fetches of a URL the last one counts."""
+    fetches = fetches.groupBy("url").agg(F.max(F.struct("at", "ok", "new_hash")).alias("f")).select("url", "f.*")
     met = ledger.join(fetches, "url", "full")
     changes = F.col("ok") & ~F.col("new_hash").eqNullSafe(F.col("content_hash"))
     tried = F.col("ok").isNotNull()

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.scores import clamp, cosine, trust_aware
+from gleanery.functions.scores import clamp, trust_aware
 from gleanery.functions.text import dice, normalized, tokens
 
 
@@ -17,13 +19,44 @@ def ranked(frame: DataFrame, by: list[str], *order: Column, name: str = "rank")
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+#: Queries and vectors of a block: a task holds one block of each.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest vectors by cosine, exactly; a vector is no neighbour of
-    itself. queries (query_id, embedding) is a batch of stated queries, met block by block with all vectors; each task
-    keeps its k best of each query before anything is shuffled."""
-    met = vectors.join(queries.withColumnRenamed("embedding", "wanted"), F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", F.round(cosine(F.col("wanted"), F.col("embedding")), digits).alias("similarity"))
-    return ranked(scored, ["query_id"], F.desc("similarity"), F.col("vec_id")).where(F.col("rank") <= k)
+    itself; a vector of no length is like none (0).
+
+    queries (query_id, embedding) is a batch of stated queries. Both sides are dealt into blocks by a hash, and each
+    block of queries meets each block of vectors in a task, as a product of matrices that keeps k rows a query: memory
+    is that of two blocks, and what is shuffled afterwards is k rows for each query and block of vectors.
+    """
+    n_queries, n_vectors = (max(1, -(-f.count() // size)) for f, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select("query_id", "embedding", dealt("query_id", n_queries).alias("q"), every(n_vectors).alias("v"))
+    right = vectors.select("vec_id", "embedding", dealt("vec_id", n_vectors).alias("v"), every(n_queries).alias("q"))
+
+    def unit(column) -> np.ndarray:
+        rows = np.array(column.to_pylist(), np.float64)
+        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+    def met(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(asked) and len(known):
+            query, vector = asked.column("query_id").to_numpy(), known.column("vec_id").to_numpy()
+            by = np.argsort(vector, kind="stable")
+            near = np.round(unit(asked.column("embedding")) @ unit(known.column("embedding"))[by].T, digits)
+            near[query[:, None] == vector[by]] = -np.inf
+            best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # of equals, the smallest id
+            row = np.repeat(np.arange(len(query)), best.shape[1])
+            held = near[row, best.ravel()] > -np.inf
+            out = [query[row][held], vector[by][best.ravel()][held], near[row, best.ravel()][held]]
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(pa.array, out), strict=True)))
+
+    best = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(met, "query_id long, vec_id long, similarity double")
+    return ranked(best, ["query_id"], F.desc("similarity"), F.col("vec_id")).where(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:

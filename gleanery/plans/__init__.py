@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def families():
-    from gleanery.plans import analytics_queries, evaluation_queries, graph_queries, ingest_queries, retrieval_queries, source_queries, text_queries, trust_queries, url_queries
+    from gleanery.plans import analytics_queries, audit_queries, evaluation_queries, graph_queries, ingest_queries, retrieval_queries, search_queries, source_queries, store_queries, text_queries, trust_queries, url_queries
 
-    return [m.FAMILY for m in (text_queries, url_queries, retrieval_queries, graph_queries, trust_queries, ingest_queries, evaluation_queries, analytics_queries, source_queries)]
+    modules = (text_queries, url_queries, retrieval_queries, search_queries, graph_queries, trust_queries, ingest_queries, store_queries, evaluation_queries, audit_queries, analytics_queries, source_queries)
+    return [m.FAMILY for m in modules]
 
 
 def queries() -> dict:

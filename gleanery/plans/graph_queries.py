@@ -62,7 +62,7 @@ def typed_graph(spark, sf_dir):
     ]
     edge = lambda f, a, src, rel, b, dst: f.select(F.concat(F.lit(f"{a}:"), F.col(src).cast("string")).alias("src"), F.lit(rel).alias("rel"), F.concat(F.lit(f"{b}:"), F.col(dst).cast("string")).alias("dst"))
     edges = edge(nation, "nation", "n_nationkey", "part_of", "region", "n_regionkey").unionByName(edge(supplier, "supplier", "s_suppkey", "located_in", "nation", "s_nationkey"))
-    edges = edges.unionByName(edge(customer.where("c_custkey <= 50"), "customer", "c_custkey", "located_in", "nation", "c_nationkey"))
+    edges = edges.unionByName(edge(customer, "customer", "c_custkey", "located_in", "nation", "c_nationkey"))
     return G.upsert_nodes(parts), edges
 
 
@@ -71,7 +71,7 @@ n AS (SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS name, 0
 UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, len(list_distinct([lower(n_name)] || CASE WHEN n IS NULL THEN [] ELSE [upper(n_name)] END)), '{region=' || n_regionkey || CASE WHEN n IS NULL THEN '' ELSE ', suppliers=' || n END || '}' FROM nation LEFT JOIN k ON s_nationkey = n_nationkey
 UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 0, '{balance=' || CAST(floor(s_acctbal) AS BIGINT) || '}' FROM supplier),
 e AS (SELECT 'nation:' || n_nationkey AS src, 'part_of' AS rel, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'located_in', 'nation:' || s_nationkey FROM supplier
-UNION ALL SELECT 'customer:' || c_custkey, 'located_in', 'nation:' || c_nationkey FROM customer WHERE c_custkey <= 50)"""
+UNION ALL SELECT 'customer:' || c_custkey, 'located_in', 'nation:' || c_nationkey FROM customer)"""
 
 
 @query(f"{_N} SELECT id, type, name, aliases::INTEGER AS n_aliases, attrs FROM n")
@@ -101,10 +101,58 @@ def graph_typed_summary(spark, sf_dir):
     return met.groupBy(F.col("r_name").alias("region")).agg(F.countDistinct("n_nationkey").alias("nations"), F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("summary"), F.count("s_suppkey").alias("suppliers"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderkey % 5 = 0),
-f(url, depth) AS (SELECT unnest(range(1, 11))::BIGINT, 0 UNION SELECT l.dst, depth + 1 FROM f JOIN l ON l.src = f.url WHERE depth < 4)
-SELECT url, min(depth)::INTEGER AS depth FROM f GROUP BY 1""")
+# every order is a link between customers; the pages of one nation are the seeds
+_WALK = """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders), s AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7),
+f(url, depth) AS (SELECT c_custkey, 0 FROM s UNION SELECT l.dst, depth + 1 FROM f JOIN l ON l.src = f.url WHERE depth < 3), w AS (SELECT url, min(depth)::INTEGER AS depth FROM f GROUP BY 1)"""
+
+
+def _walk(spark, sf_dir):
+    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    links = orders.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % customer.count()).alias("dst")).distinct()
+    return customer.where("c_nationkey = 7").select(F.col("c_custkey").alias("url")), links
+
+
+@query(f"{_WALK} SELECT url, depth FROM w")
 def crawl_frontier(spark, sf_dir):
-    orders, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").count()
-    links = orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("dst")).distinct()
-    return G.frontier(spark.range(1, 11).toDF("url"), links, 4)
+    return G.frontier(*_walk(spark, sf_dir), 3)
+
+
+@query(f"{_WALK} SELECT url, depth FROM w ORDER BY depth, url LIMIT 60")
+def crawl_frontier_budget(spark, sf_dir):
+    """The crawl's budget is the feature: sixty pages, nearest first."""
+    return G.frontier(*_walk(spark, sf_dir), 3, 60)
+
+
+@query(f"{_N}, held AS (SELECT src, rel, dst FROM e SEMI JOIN n ON n.id = src WHERE dst IN (SELECT id FROM n)) SELECT src AS node, rel, dst AS other FROM held WHERE rel = 'located_in' AND src LIKE 'supplier:%' UNION ALL SELECT dst, rel, src FROM held WHERE dst LIKE 'region:%'")
+def graph_relation_neighbours(spark, sf_dir):
+    nodes, edges = typed_graph(spark, sf_dir)
+    kept = G.existing_edges(edges, nodes)
+    return G.neighbours(kept, nodes.where("type = 'supplier'"), "located_in").unionByName(G.neighbours(kept, nodes.where("type = 'region'"), outward=False))
+
+
+@query(f"{_N} SELECT DISTINCT name, id FROM (SELECT lower(trim(name)) AS name, id FROM n UNION SELECT lower(n_name), 'nation:' || n_nationkey FROM nation) WHERE name <> ''")
+def graph_name_index(spark, sf_dir):
+    return G.name_index(typed_graph(spark, sf_dir)[0])
+
+
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS text_id, ' ' || array_to_string({_WORDS.format("c_name || ' of ' || n_name || ' in ' || r_name")}, ' ') || ' ' AS line FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+n AS (SELECT lower(n_name) AS name, 'nation:' || n_nationkey AS id FROM nation UNION SELECT lower(r_name), 'region:' || r_regionkey FROM region),
+m AS (SELECT text_id, id, name, row_number() OVER (PARTITION BY text_id ORDER BY length(name) DESC, name, id) AS i FROM t JOIN n ON contains(line, ' ' || array_to_string({_WORDS.format('name')}, ' ') || ' '))
+SELECT text_id, id, name FROM m WHERE i = 1""")
+def graph_longest_names(spark, sf_dir):
+    customer, nation, region = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    texts = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    nodes = typed_graph(spark, sf_dir)[0].where("type IN ('nation', 'region')")
+    return G.longest_names(texts.select(F.col("c_custkey").alias("text_id"), F.concat("c_name", F.lit(" of "), "n_name", F.lit(" in "), "r_name").alias("text")), G.name_index(nodes))
+
+
+@query(f"""{_M}, {_ADJACENT}, q AS (SELECT DISTINCT n_nationkey AS query_id, p_brand AS entity FROM nation JOIN part ON p_partkey = n_nationkey + 1),
+w AS (SELECT query_id, entity, max(w) AS w FROM (SELECT query_id, entity, 2 AS w FROM q UNION ALL SELECT query_id, other, 1 FROM q JOIN t ON node = entity AND rank <= 2) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, sum(w) AS score FROM w JOIN m USING (entity) WHERE doc_id % 3 > 0 GROUP BY 1, 2), p AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS p FROM s)
+SELECT query_id, doc_id, round(greatest(0.2, 0.5 - 0.03 * p), 6)::DOUBLE AS score FROM p WHERE p < 12""")
+def graph_expansion_contexts(spark, sf_dir):
+    facts = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 3 > 0).alias("in_scope"))
+    return G.expansion_contexts(graph_expand(spark, sf_dir), facts, 12)

@@ -147,7 +147,7 @@ def canonical_registry(spark, sf_dir):
     return I.canonical_registry([("nation", nation), ("region", region)], known)
 
 
-@query("""SELECT conv_id AS url, CAST(count(*) AS INTEGER) AS n_texts, sha256(string_agg(text, chr(10) || chr(10) ORDER BY pos, text)) AS text_sha256 FROM (SELECT conv_id, left(text, 30) AS text, min(turn) AS pos FROM conversations GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT conv_id AS url, CAST(count(*) AS INTEGER) AS n_texts, sha256(string_agg(text, chr(10) || chr(10) ORDER BY pos, text)) AS text_sha256 FROM (SELECT conv_id, text, min(turn) AS pos FROM conversations GROUP BY 1, 2) GROUP BY 1""")
 def web_contexts(spark, sf_dir):
-    contexts = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("url"), F.col("turn").alias("pos"), F.substring("text", 1, 30).alias("text"))
+    contexts = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("url"), F.col("turn").alias("pos"), "text")
     return I.concatenated(contexts).select("url", "n_texts", F.sha2("text", 256).alias("text_sha256"))

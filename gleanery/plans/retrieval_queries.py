@@ -83,14 +83,14 @@ def heuristic_rerank(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.round(0.5 + R.heuristic_boost(kind, sure), 6).alias("score"))
 
 
-@query(f"""WITH f AS (SELECT item_id AS faq_id, text FROM benchmark), q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN regexp_replace(text, '[^ ]+ [^ ]+ ', '') ELSE left(text, 40) END AS text FROM benchmark),
+@query(f"""WITH f AS (SELECT item_id AS faq_id, text FROM benchmark), q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN regexp_replace(text, '[^ ]+ [^ ]+ ', '') ELSE text || ' ' || text || ' again' END AS text FROM benchmark),
 fw AS (SELECT faq_id, list_distinct({_WORDS}) AS w, trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS n FROM f),
 qw AS (SELECT query_id, list_distinct({_WORDS}) AS w, trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS n FROM q),
 m AS (SELECT query_id, faq_id, qw.n = fw.n AS same, CASE WHEN qw.n = fw.n THEN 1.0 ELSE round(2.0 * len(list_intersect(qw.w, fw.w)) / (len(qw.w) + len(fw.w)), 6) END::DOUBLE AS dice FROM qw, fw)
 SELECT query_id, faq_id, dice, CASE WHEN same THEN 14.0 ELSE 12.0 END::DOUBLE AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dice DESC, faq_id) AS rank FROM m WHERE dice >= 0.62) WHERE rank <= 2""")
 def faq_dice_match(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark")
-    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).when(F.col("item_id") % 3 == 1, F.regexp_replace("text", F.lit("^(.*?)[^ ]+ [^ ]+ "), F.lit("$1"))).otherwise(F.substring("text", 1, 40))
+    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).when(F.col("item_id") % 3 == 1, F.regexp_replace("text", F.lit("^(.*?)[^ ]+ [^ ]+ "), F.lit("$1"))).otherwise(F.concat("text", F.lit(" "), "text", F.lit(" again")))
     return R.faq_match(items.select(F.col("item_id").alias("query_id"), asked.alias("text")), items.select(F.col("item_id").alias("faq_id"), F.col("text").alias("question")))
 
 

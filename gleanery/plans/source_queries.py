@@ -23,14 +23,43 @@ def html_title_headings(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.array_join(html.headings(F.col("html")), " | ").alias("headings"))
 
 
+_ADDED = ['<html><head><meta property="og:title" content="t', '"><meta name="author" content="x"><script type="application/ld+json">{"@id": ', "}</script><body><p>head  ", '</p><noscript>no</noscript><a href="/a/', '">l</a></body></html>']
+
+
+@query(f"""SELECT page_id, 't' || page_id AS og, 'x' AS author, '{{"@id": ' || page_id || '}}' AS schema, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a/' || page_id AS link, 'head ' || page_id || chr(10) || 'l' AS body FROM pages""")
+def html_metadata(spark, sf_dir):
+    """Pages made of each page's id, without an end of their head."""
+    own = F.col("page_id").cast("string")
+    made = F.concat(F.lit(_ADDED[0]), own, F.lit(_ADDED[1]), own, F.lit(_ADDED[2]), own, F.lit(_ADDED[3]), own, F.lit(_ADDED[4]))
+    found = html.parsed_pages(read(spark, sf_dir, "pages").withColumn("html", made))
+    return found.select("page_id", F.col("open_graph")["og:title"].alias("og"), F.col("meta")["author"].alias("author"), F.col("schema_org")[0].alias("schema"), F.col("links")[0].alias("link"), "body")
+
+
 @query()
 def html_pages(spark, sf_dir):
-    return html.parsed_pages(read(spark, sf_dir, "pages"))
+    found = html.parsed_pages(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "title", F.size("meta").alias("n_meta"), "headings", "links", "body")
 
 
-@query()
+@query("""SELECT page_id, 0 AS table_index, 'name, n' AS columns, 2 AS n_rows, 'name: p' || page_id || '; n: 1' || chr(10) || 'name: q; n: ' || page_id AS summary FROM pages""")
 def udtf_html_tables(spark, sf_dir):
-    return html.tables(read(spark, sf_dir, "pages"))
+    """The last table of each page, which is added to it."""
+    own = F.col("page_id").cast("string")
+    table = F.concat(F.lit("<table><tr><th>name</th><th>n</th></tr><tr><td>p"), own, F.lit("</td><td>1</td></tr><tr><td>q</td><td> "), own, F.lit("</td></tr></table>"))
+    found = html.tables(read(spark, sf_dir, "pages").withColumn("html", F.concat("html", table)))
+    return found.select("page_id", "table_index", F.array_join("columns", ", ").alias("columns"), "n_rows", "summary")
+
+
+@query("""WITH r AS (SELECT unnest(['a', 'b', 'c', 'd']) AS host, unnest([200, 200, 404, 403]) AS status, unnest([1, 2, 0, 0]) AS kind), p AS (SELECT page_id, ['a', 'b', 'c', 'd'][page_id % 4 + 1] AS host, ['/x/1', '/private/2', '/private/open/3'][page_id % 3 + 1] AS path FROM pages)
+SELECT page_id, CASE WHEN status = 403 THEN false WHEN kind = 1 THEN NOT starts_with(path, '/private') OR starts_with(path, '/private/open') WHEN kind = 2 THEN NOT starts_with(path, '/x') ELSE true END AS permitted FROM p JOIN r USING (host)""")
+def robots_permitted(spark, sf_dir):
+    """Agent lines in a row share their rules; a group that names the agent counts in place of that of all."""
+    texts = [("a", 200, "User-agent: *\nUser-agent: other\nDisallow: /private # no\nAllow: /private/open"), ("b", 200, "User-agent: *\nDisallow: /private\n\nUser-agent: gleaner\nDisallow: /x"), ("c", 404, None), ("d", 403, None)]
+    rules = files.robots_rules(spark.createDataFrame(texts, "host string, status int, content string"), "gleaner/1.0")
+    i = F.col("page_id")
+    pick = lambda of, n: F.get(F.array(*[F.lit(x) for x in of]), (i % n).cast("int"))
+    urls = read(spark, sf_dir, "pages").select("page_id", pick("abcd", 4).alias("host"), pick(["/x/1", "/private/2", "/private/open/3"], 3).alias("path"))
+    return files.permitted(urls, rules).select("page_id", "permitted")
 
 
 @query()

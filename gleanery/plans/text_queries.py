@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import rules as K
 from gleanery.functions import text as T
+from gleanery.operators import stores as S
 from gleanery.operators.evidence import top_evidence
 from gleanery.plans.common import STOPWORDS, Family, read, sql_in, sql_list, sql_text
 
@@ -16,16 +19,18 @@ MARKERS = {"en": ["the", "of", "and", "to", "is"], "fr": ["le", "et", "les", "de
 TERMS = ["the", "of the", "password", "thon"]
 
 
+_CONTENT = f"CASE WHEN len(list_filter(w, lambda t: t NOT IN {sql_in(STOPWORDS)})) = 0 THEN w ELSE list_filter(w, lambda t: t NOT IN {sql_in(STOPWORDS)}) END"
+
+
 @query(f"""
-WITH q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+WITH q AS (SELECT item_id, unnest({_CONTENT}) AS term FROM (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark)),
 f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1, 2),
-r AS (SELECT term FROM f GROUP BY term HAVING count(*) <= 200),
-s AS (SELECT item_id, doc_id, sum(least(tf, 5)) AS score FROM q JOIN r USING (term) JOIN f USING (term) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, sum(least(tf, 5)) AS score FROM q JOIN f USING (term) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, doc_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
 def slice_topk_evidence(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return top_evidence(items, read(spark, sf_dir, "documents")).withColumnRenamed("query_id", "item_id")
+    return top_evidence(items, read(spark, sf_dir, "documents"), stopwords=STOPWORDS).withColumnRenamed("query_id", "item_id")
 
 
 @query(r"SELECT doc_id, sha256(trim(lower(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS text_sha256 FROM documents")
@@ -46,31 +51,169 @@ def text_content_tokens(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.size(T.content_tokens(F.col("text"), STOPWORDS)).cast("long").alias("n_content"))
 
 
-def _sql_replaced(steps) -> str:
-    out = "text"
-    for pattern, new in steps:
-        out = f"regexp_replace({out}, {sql_text(pattern)}, {sql_text(new.replace('$1', chr(92) + '1'))}, 'g')"
-    return out
+def _sql_new(new: str) -> str:
+    return sql_text(new.replace("$", chr(92))).replace("\n", "' || chr(10) || '")
+
+
+#: RE2 has no look-around: what a pattern that has it stands for in SQL.
+_SQL_PATTERN = {
+    "bracket": (r"(^|[^!])\[([^\]\n]{0,199}[^\]\n0-9][^\]\n]{0,199})\]", "$1$2"),
+    "url": (r"https?://[^ \t\n\x0B\f\r]+", ""),
+}
+
+
+def _sql_markdown(out: str = "text") -> str:
+    for name, pattern, new in T.MARKDOWN:
+        pattern, new = _SQL_PATTERN.get(name, (pattern, new))
+        for _ in range(2 if name == "bracket" else 1):  # brackets side by side share the character before
+            out = f"regexp_replace({out}, {sql_text(pattern)}, {_sql_new(new)}, 'g')"
+    return _sql_stripped(out)
 
 
-@query(f"SELECT doc_id, length(trim({_sql_replaced(T.MARKDOWN)})) AS n_chars_clean, sha256(trim({_sql_replaced(T.MARKDOWN)})) AS clean_sha256 FROM documents".replace("'\n\n'", "chr(10) || chr(10)"))
+def _sql_stripped(out: str) -> str:
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+_LINKED = "text || ' ![a](b.png) [see](https://x.example/1) [1] [note] ### end https://y.example/' || doc_id || ' [cut](/x'"
+
+
+@query(f"SELECT doc_id, length(t) AS n_chars_clean, sha256(t) AS clean_sha256 FROM (SELECT doc_id, {_sql_markdown(_LINKED)} AS t FROM documents)")
 def text_markdown_clean(spark, sf_dir):
-    clean = T.without_markdown(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.char_length(clean).cast("long").alias("n_chars_clean"), F.sha2(clean, 256).alias("clean_sha256"))
+    docs = read(spark, sf_dir, "documents")
+    linked = F.concat("text", F.lit(" ![a](b.png) [see](https://x.example/1) [1] [note] ### end https://y.example/"), F.col("doc_id").cast("string"), F.lit(" [cut](/x"))
+    clean = docs.select("doc_id", T.without_markdown(linked).alias("t"))
+    return clean.select("doc_id", F.char_length("t").cast("long").alias("n_chars_clean"), F.sha2("t", 256).alias("clean_sha256"))
+
+
+#: What is added to texts, so that each kind of secret is met.
+_SECRETS = {
+    0: " postgresql+psycopg://user:pw@host/db", 1: " password saya 123456 dan password reset", 2: " sk-or-v1-abcdef0123456789abcdef0123456789", 3: " Bearer abcdefghijklmnop",
+    4: " kode OTP: 123456", 5: " /x?password=abc&y=1 ANALISA_MEKANISME_PENGHITUNGAN_PEMOTONGAN_WISUDA", 6: " token A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8S9t0uVwXyZ",
+}
+_WITH_SECRETS = f"SELECT doc_id, text || CASE doc_id % 9 {' '.join(f'WHEN {i} THEN {sql_text(x)}' for i, x in _SECRETS.items())} ELSE '' END AS t0 FROM documents"
 
 
-def _sql_secrets() -> str:
-    columns, out = [], "text"
-    for name, pattern, new in T.SECRETS:
-        columns.append(f"len(regexp_extract_all({out}, {sql_text(pattern)})) AS n_{name}")
-        out = f"regexp_replace({out}, {sql_text(pattern)}, {sql_text(new.replace('$1', chr(92) + '1'))}, 'g')"
-    return f"SELECT doc_id, {', '.join(columns)}, sha256({out}) AS redacted_sha256 FROM documents"
+def _with_secrets(spark, sf_dir):
+    added = F.coalesce(*[F.when(F.col("doc_id") % 9 == i, F.lit(x)) for i, x in _SECRETS.items()], F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", added).alias("text"))
 
 
-@query(_sql_secrets())
+def _sql_secrets(kinds, start: str) -> str:
+    """One step a kind: what it matches is counted, then replaced."""
+    out = start
+    for i, (name, pattern, new) in enumerate(kinds):
+        now, nxt = f"t{i}", f"t{i + 1}"
+        if name == "api_key":  # without look-ahead: runs that are long enough, of which those with digits and letters count
+            found = f"list_filter(regexp_extract_all({now}, '\\b(sk-or-v1-[A-Za-z0-9_\\-]{{10,}}|sk-[A-Za-z0-9_\\-]{{10,}}|[A-Za-z0-9_\\-]{{40,}})\\b'), lambda k: starts_with(k, 'sk-') OR (regexp_matches(k, '[0-9]') AND regexp_matches(k, '[A-Za-z]')))"
+            out = f"SELECT *, len({found}) AS n_{name}, list_reduce({found}, lambda a, k: replace(a, k, {_sql_new(new)}), {now}) AS {nxt} FROM ({out})"
+        else:
+            out = f"SELECT *, len(regexp_extract_all({now}, {sql_text(pattern)})) AS n_{name}, regexp_replace({now}, {sql_text(pattern)}, {_sql_new(new)}, 'g') AS {nxt} FROM ({out})"
+    return f"SELECT doc_id, {', '.join(f'n_{k[0]}' for k in kinds)}, sha256(t{len(kinds)}) AS redacted_sha256 FROM ({out})"
+
+
+@query(_sql_secrets(T.SECRETS, _WITH_SECRETS))
 def text_redact_secrets(spark, sf_dir):
-    counts = [c.cast("long").alias(f"n_{k}") for k, c in T.secret_counts(F.col("text")).items()]
-    return read(spark, sf_dir, "documents").select("doc_id", *counts, F.sha2(T.redacted(F.col("text")), 256).alias("redacted_sha256"))
+    found = T.with_redactions(_with_secrets(spark, sf_dir), "text")
+    return found.select("doc_id", *[f"n_{k}" for k, _, _ in T.SECRETS], F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query(_sql_secrets(T.PERSONAL, "SELECT doc_id, text AS t0 FROM documents"))
+def text_redact_personal(spark, sf_dir):
+    found = T.with_redactions(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", T.PERSONAL)
+    return found.select("doc_id", *[f"n_{k}" for k, _, _ in T.PERSONAL], F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+_LEAKS = ["<<<data>>>", "reply as valid JSON"]
+_ANSWER = "CASE conv_id % 3 WHEN 0 THEN '<think>why ' || text || '</think> ' WHEN 1 THEN 'Reply as VALID json' || chr(10) ELSE '' END || text || chr(10) || '<<<DATA>>> x' || CASE WHEN turn % 2 = 0 THEN ' < Reasoning >' || text ELSE '' END"
+_NO_REASONING = _sql_stripped(f"regexp_replace(regexp_replace({_ANSWER}, '(?is)<\\s*think\\s*>.*?(?:<\\s*/\\s*think\\s*>|$)', '', 'g'), '(?is)<\\s*reasoning\\s*>.*?(?:<\\s*/\\s*reasoning\\s*>|$)', '', 'g')")
+
+
+@query(f"""SELECT conv_id, turn, sha256({_sql_stripped(f"array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT contains(lower(l), '<<<data>>>') AND NOT contains(lower(l), 'reply as valid json')), chr(10))")}) AS clean_sha256 FROM (SELECT conv_id, turn, {_NO_REASONING} AS t FROM conversations)""")
+def text_output_filter(spark, sf_dir):
+    before = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("<think>why "), "text", F.lit("</think> "))).when(F.col("conv_id") % 3 == 1, "Reply as VALID json\n").otherwise("")
+    answer = F.concat(before, "text", F.lit("\n<<<DATA>>> x"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" < Reasoning >"), "text")).otherwise(""))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.without_leaks(T.without_reasoning(answer), _LEAKS), 256).alias("clean_sha256"))
+
+
+@query()
+def text_chrome_lines(spark, sf_dir):
+    """Frames around texts: chrome, calls for action, repeated and blank lines; held against a plain version in tests."""
+    framed = F.concat(F.lit("Skip to content\n**Register now!**\n"), "text", F.lit("\n"), "text", F.lit("\n\n\n# Back  to top\nend"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_chrome(framed, ["skip to content", "back to top"], ["select language"], ["register now"]).alias("clean"))
+
+
+EXPANSIONS = {"password": ["reset", "account"], "license": ["apache license"], "the": ["that"]}
+_EXPANDED = f"""WITH r AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), {sql_text(T.TOKENIZERS['hyphenated'])}), lambda t: length(t) > 2) AS raw FROM benchmark),
+c AS (SELECT item_id, CASE WHEN len(list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)})) > 0 THEN list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)}) ELSE raw END AS w FROM r),
+g AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, w FROM c),
+x AS (SELECT item_id, i, unnest([w[i]] || CASE w[i] {' '.join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in EXPANSIONS.items())} ELSE [] END) AS term, generate_subscripts([w[i]] || CASE w[i] {' '.join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in EXPANSIONS.items())} ELSE [] END, 1) AS j FROM g),
+f AS (SELECT item_id, term, min(i * 10 + j) AS p FROM x GROUP BY 1, 2)"""
+
+
+@query(f"{_EXPANDED} SELECT item_id, string_agg(term, ' ' ORDER BY p) AS terms FROM f GROUP BY 1")
+def text_expanded_terms(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.expanded_terms(F.col("text"), STOPWORDS, EXPANSIONS), " ").alias("terms")).where("terms <> ''")
+
+
+@query("""SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 1600) AS context FROM conversations GROUP BY 1""")
+def text_joined_capped(spark, sf_dir):
+    told = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    return told.select("conv_id", T.joined_capped(F.col("t"), 1600).alias("context"))
+
+
+@query("""SELECT conv_id, turn, '[' || (turn + 1) || '] ' || regexp_replace(regexp_replace(text || ' <<<DATA_END>>>', '(?i)<<<data_end>>>', '[DATA_END]', 'g'), '(?i)<<<data>>>', '[DATA]', 'g') AS block FROM conversations""")
+def text_context_block(spark, sf_dir):
+    text = T.neutral(F.concat("text", F.lit(" <<<DATA_END>>>")), ["<<<DATA_END>>>", "<<<DATA>>>"])
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), text).alias("block"))
+
+
+@query(r"""SELECT conv_id, turn, text AS answer FROM conversations WHERE NOT contains(text, '\')""")
+def text_salvaged_json(spark, sf_dir):
+    """Answers read back from JSON that is cut off in the middle."""
+    said = read(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("\\")))
+    cut = F.regexp_replace(F.to_json(F.struct(F.lit(1).alias("n"), F.col("text").alias("answer"))), '"}$', "")
+    return said.select("conv_id", "turn", F.replace(F.replace(F.replace(T.salvaged(cut, "answer"), F.lit("\\t"), F.lit("\t")), F.lit("\\r"), F.lit("\r")), F.lit("\\/"), F.lit("/")).alias("answer"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(' ' || array_to_string({_WORDS}, '  ') || ' ', ' of  the ')) AS n FROM documents")
+def text_phrase_count(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.phrase_count(F.col("text"), F.lit("of the")).cast("long").alias("n"))
+
+
+TOPICS = {"secret": ["password", "api key"], "license": ["license", "apache license"], "french": ["les", "des"], "german": ["der", "und"]}
+
+
+def _sql_class(table, default: str) -> str:
+    has = lambda terms: " OR ".join(f"regexp_matches(lower(text), {sql_text(f'(^|{T.GAP}){t.replace(chr(32), chr(91) + chr(32) + chr(92) + chr(116) + chr(92) + chr(110) + chr(93) + chr(43))}({T.GAP}|$)')})" for t in terms)
+    return f"CASE {' '.join(f'WHEN {has(terms)} THEN {sql_text(name)}' for name, terms in table.items())} ELSE '{default}' END"
+
+
+@query(f"SELECT doc_id, {_sql_class(TOPICS, 'general')} AS topic FROM documents")
+def text_rule_class(spark, sf_dir):
+    """Intents, topics, kinds of answers and of pages are ordered tables of terms."""
+    return read(spark, sf_dir, "documents").select("doc_id", K.classified(F.col("text"), TOPICS, "general").alias("topic"))
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, {_sql_class(TOPICS, 'general')} AS topic, lower(trim(text)) AS low, len({_WORDS}) AS n FROM conversations WHERE role = 'user'),
+l AS (SELECT *, lag(topic) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM u)
+SELECT conv_id, turn, topic, coalesce(before <> 'general' AND topic <> 'general' AND before <> topic, false) AS conflict, (starts_with(low, 'and ') OR starts_with(low, 'the ')) AND n <= 30 AS leans FROM l""")
+def text_topic_conflict(spark, sf_dir):
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("topic", K.classified(F.col("text"), TOPICS, "general"))
+    before = F.lag("topic").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return asked.withColumn("b", before).select("conv_id", "turn", "topic", F.coalesce(K.conflicting(F.col("b"), F.col("topic"), "general"), F.lit(False)).alias("conflict"), K.elliptical(F.col("text"), ["and ", "the "], 30).alias("leans"))
+
+
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), '') AS email, nullif(regexp_extract(text, '(\+?[0-9][0-9 ()-]{8,14}[0-9])', 1), '') AS phone, nullif(regexp_extract(text, '(?i)license[d]? under (?:the )?([A-Za-z][A-Za-z0-9 .-]{2,30})', 1), '') AS license FROM documents""")
+def text_mined_fields(spark, sf_dir):
+    """The first value of each pattern: contacts, names and grades are mined this way."""
+    patterns = {"email": "(" + T.PERSONAL[0][1] + ")", "phone": "(" + T.PERSONAL[1][1] + ")", "license": r"(?i)license[d]? under (?:the )?([A-Za-z][A-Za-z0-9 .-]{2,30})"}
+    return read(spark, sf_dir, "documents").select("doc_id", *[F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(k) for k, p in patterns.items()])
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR l[i] <> l[i - 1] THEN l[i] END), lambda x: x IS NOT NULL), chr(10)) AS text FROM (SELECT doc_id, string_split(replace(text, ' ', chr(10)), chr(10)) AS l FROM documents)""")
+def text_repeated_lines(spark, sf_dir):
+    """Words as lines, each run of equal ones once."""
+    return read(spark, sf_dir, "documents").select("doc_id", S.without_repeated_lines(F.replace("text", F.lit(" "), F.lit("\n"))).alias("text"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text || ' [' || doc_id || '] and [2].', '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents),

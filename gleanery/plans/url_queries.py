@@ -6,38 +6,85 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls as U
-from gleanery.plans.common import Family, read, sql_in
+from gleanery.plans.common import Family, read, sql_in, sql_list
 
 FAMILY = Family()
 query = FAMILY.query
 ROOTS = ["example.com", "example.net"]
 
+# every page's URL, some made odd: escapes, ports, users, doubled slashes, repeated and tracking parameters, archives
+_ODD = {
+    0: "/%61dmin/x", 1: "//a///b/?source=2&utm_id=3&REF=x+y", 2: ":443/Berita/;p=1?b=%2A~&a&fbclid=1#frag", 3: "/x?action=yith-woocompare-add-product&id=398", 4: "/author/private/.git", 5: "/style.CSS?v=1", 6: "/", 7: ":8080/a%20b/?q=%zz",
+}
+_BASE = r"regexp_replace(url, '^([a-z]+://[^/?#]*).*$', '\1')"
+_VARIED = f"SELECT page_id, CASE page_id % 10 {' '.join(f'WHEN {i} THEN {_BASE} || ' + chr(39) + odd + chr(39) for i, odd in _ODD.items())} WHEN 8 THEN 'https://web.archive.org/web/20200101000000/' || url ELSE url END AS url FROM pages"
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
 _AUTHORITY = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
-_HOST = f"regexp_extract({_AUTHORITY}, '^([^:]*)', 1)"
+_HOST = f"regexp_extract({_AUTHORITY}, '^(?:.*@)?([^:]*)', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
-_PARTS = f"SELECT page_id, url, {_SCHEME} AS scheme, {_AUTHORITY} AS authority, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages"
-_NORMAL = f"""SELECT *, scheme || '://' || CASE WHEN regexp_extract(authority, ':([0-9]+)$', 1) = '' OR (scheme = 'http' AND authority LIKE '%:80') OR (scheme = 'https' AND authority LIKE '%:443') THEN host ELSE authority END
-|| regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') || CASE WHEN rest = '' THEN '' ELSE '?' || rest END AS normalized
-FROM (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN {sql_in(U.TRACKING)}), '&') AS rest FROM ({_PARTS}))"""
 
 
-@query(f"SELECT page_id, normalized FROM ({_NORMAL})")
+def _sql_parts(table: str = "pages") -> str:
+    return f"SELECT page_id, url, {_SCHEME} AS scheme, {_AUTHORITY} AS authority, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM {table}"
+
+
+def _sql_normal(table: str = "pages") -> str:
+    key = lambda p: f"url_decode(replace(regexp_extract({p}, '^([^=]*)', 1), '+', ' '))"
+    value = lambda p: f"url_decode(replace(regexp_extract({p}, '^[^=]*=(.*)$', 1), '+', ' '))"
+    form = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    pairs = f"list_transform(list_filter(string_split(query, '&'), lambda p: p <> '' AND lower({key('p')}) NOT IN {sql_in(U.TRACKING)}), lambda p: {form(key('p'))} || '=' || {form(value('p'))})"
+    plain = "regexp_replace(CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, ';[^/]*$', '') END, '/{2,}', '/', 'g')"
+    return f"""SELECT *, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
+|| CASE WHEN plain = '/' THEN '/' ELSE rtrim(plain, '/') END || CASE WHEN rest = '' THEN '' ELSE '?' || rest END AS normalized
+FROM (SELECT *, regexp_extract(authority, ':([0-9]+)$', 1) AS port, {plain} AS plain, array_to_string({pairs}, '&') AS rest FROM ({_sql_parts(table)}))"""
+
+
+_PARTS, _NORMAL = _sql_parts(), _sql_normal()
+
+
+def _varied(spark, sf_dir):
+    base = F.regexp_replace("url", "^([a-z]+://[^/?#]*).*$", "$1")
+    url = F.coalesce(*[F.when(F.col("page_id") % 10 == i, F.concat(base, F.lit(odd))) for i, odd in _ODD.items()], F.when(F.col("page_id") % 10 == 8, F.concat(F.lit("https://web.archive.org/web/20200101000000/"), "url")), "url")
+    return read(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+
+
+@query(f"SELECT page_id, normalized FROM ({_sql_normal(f'({_VARIED})')})")
 def url_normalize(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", U.normalized_url(F.col("url")).alias("normalized"))
+    return _varied(spark, sf_dir).select("page_id", U.normalized_url(F.col("url")).alias("normalized"))
 
 
-def _sql_scope() -> str:
+def _sql_scope(table: str) -> str:
     inside = " OR ".join(f"host = '{r}' OR host LIKE '%.{r}'" for r in ROOTS)
-    sensitive = " OR ".join(f"contains(lower(path || '?' || query), '{p}')" for p in U.SENSITIVE)
-    return f"""SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN NOT ({inside}) THEN 'outside_domain' WHEN {sensitive} THEN 'sensitive_path'
-WHEN regexp_matches(lower(query), '(^|&)(action|do|session|token)=') THEN 'transactional_query' WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN {sql_in(U.ASSETS)} THEN 'asset' ELSE 'allowed' END AS decision FROM ({_PARTS})"""
+    where = "lower(url_decode(CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END))"
+    sensitive = f"len(list_filter({sql_list(U.SENSITIVE)}, lambda p: contains({where}, p))) > 0"
+    stateful = f"len(list_filter(string_split(query, '&'), lambda p: p <> '' AND (lower(url_decode(regexp_extract(p, '^([^=]*)', 1))) IN {sql_in(U.STATEFUL_KEYS)} OR regexp_matches(lower(url_decode(regexp_extract(p, '^[^=]*=(.*)$', 1))), '{'|'.join(U.STATEFUL_VALUES)}')))) > 0"
+    asset = f"len(list_filter({sql_list(U.ASSETS)}, lambda p: ends_with(lower(url_decode(path)), p))) > 0"
+    return f"""SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN NOT ({inside}) THEN 'outside_allowed_domain' WHEN {sensitive} THEN 'sensitive_or_private_path'
+WHEN {stateful} THEN 'stateful_or_transactional_url' WHEN {asset} THEN 'non_knowledge_asset' ELSE 'allowed' END AS decision FROM ({_sql_parts(table)})"""
 
 
-@query(f"SELECT decision, count(*) AS n FROM ({_sql_scope()}) GROUP BY decision")
+@query(f"SELECT decision, count(*) AS n FROM ({_sql_scope(f'({_VARIED})')}) GROUP BY decision")
 def url_scope_decision(spark, sf_dir):
-    return read(spark, sf_dir, "pages").groupBy(U.scope_decision(F.col("url"), ROOTS).alias("decision")).agg(F.count("*").alias("n"))
+    return _varied(spark, sf_dir).groupBy(U.scope_decision(F.col("url"), ROOTS).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query(_sql_scope(f"({_VARIED})"))
+def url_scope_partition(spark, sf_dir):
+    """Each URL with the reason for which it is in or out."""
+    return _varied(spark, sf_dir).select("page_id", U.scope_decision(F.col("url"), ROOTS).alias("decision"))
+
+
+@query(f"""WITH n AS (SELECT page_id, url AS archived, host, regexp_extract(url, '/web/[0-9]+[a-z_]*?/(https?://.+)$', 1) AS url FROM ({_sql_parts(f'({_VARIED})')}))
+SELECT page_id, CASE WHEN n.host IN ('web.archive.org', 'archive.org') AND n.url <> '' THEN m.normalized ELSE archived END AS live FROM n JOIN ({_sql_normal()}) m USING (page_id)""")
+def url_archive_live(spark, sf_dir):
+    return _varied(spark, sf_dir).select("page_id", U.live_candidate(F.col("url")).alias("live"))
+
+
+@query(f"""SELECT page_id, CASE WHEN starts_with(n, 'https://www.example.com') THEN 'https://example.com' || substr(n, 24) ELSE n END AS canonical FROM (
+SELECT page_id, regexp_replace(regexp_replace(normalized, '^http:', 'https:'), '^(https://[^/:?]*):(80|443)([/?]|$)', '\\1\\3') AS n FROM ({_sql_normal(f'({_VARIED})')}))""")
+def url_canonical(spark, sf_dir):
+    return _varied(spark, sf_dir).select("page_id", U.canonical_url(F.col("url"), "example.com").alias("canonical"))
 
 
 @query(f"SELECT normalized, min(page_id) AS page_id, count(*) AS n FROM ({_NORMAL}) GROUP BY normalized")
@@ -70,10 +117,14 @@ def url_source_trust(spark, sf_dir):
     return rated.withColumn("trust", F.when(F.col("trust_class") == "official", 1.0).when(F.col("trust_class") == "partner", 0.7).when(F.col("trust_class") == "unsafe", 0.0).otherwise(0.4))
 
 
-@query(f"""SELECT page_id, kind, CASE kind WHEN 'pdf' THEN 0.95 WHEN 'image' THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence FROM (
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' ELSE 'html' END AS kind FROM pages)""")
+_TYPED = f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.png?x=1' WHEN 2 THEN '/article/download/7' WHEN 3 THEN '/c.html' ELSE '/c' END AS tail, CASE WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' WHEN page_id % 3 = 1 THEN 'image/webp' END AS mime FROM pages"""
+
+
+@query(f"""WITH t AS (SELECT *, map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in U.BY_SUFFIX.items())}])[lower(regexp_extract(regexp_replace(tail, '[?].*$', ''), '\\.([A-Za-z0-9]+)$', 1))] AS by_suffix, contains(tail, '/article/download/') AS down,
+CASE {' '.join(f"WHEN starts_with(lower(mime), '{k}') THEN '{v}'" for k, v in U.BY_MIME.items())} END AS by_mime FROM ({_TYPED}))
+SELECT page_id, coalesce(by_suffix, CASE WHEN down THEN 'pdf' END, by_mime, 'unknown') AS kind, CASE WHEN by_suffix IS NOT NULL THEN 0.95 WHEN down THEN 0.7 WHEN by_mime IS NOT NULL THEN 0.85 ELSE 0.1 END::DOUBLE AS confidence FROM t""")
 def url_source_type(spark, sf_dir):
-    base = F.regexp_replace("url", "[?#].*$", "")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(base, F.lit("/a.PDF"))).when(F.col("page_id") % 3 == 1, F.concat(base, F.lit("/b.png?x=1"))).otherwise(F.concat(base, F.lit("/c")))
-    kind, sure = U.source_type(url, F.lit("text/html; charset=utf-8"))
+    tail = F.coalesce(*[F.when(F.col("page_id") % 5 == i, F.lit(t)) for i, t in enumerate(("/a.PDF", "/b.png?x=1", "/article/download/7", "/c.html", "/c"))])
+    mime = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "image/webp")
+    kind, sure = U.source_type(F.concat(F.regexp_replace("url", "^([a-z]+://[^/?#]*).*$", "$1"), tail), mime)
     return read(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), sure.alias("confidence"))

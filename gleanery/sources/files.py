@@ -37,16 +37,30 @@ def sitemap_urls(maps: DataFrame) -> DataFrame:
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, allow, prefix) of robots files (host, status, content) for an agent. Files that are missing or failing
-    allow everything, forbidden ones nothing."""
-    lines = F.transform(F.split("content", "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
-    step = lambda a, x: F.when(F.lower(x).rlike("^user-agent *:"), F.struct((F.trim(F.regexp_extract(x, ":(.*)$", 1)) == agent).alias("on"), a["rules"].alias("rules"))).when(
-        a["on"] & F.lower(x).rlike("^(dis)?allow *:"), F.struct(a["on"].alias("on"), F.concat(a["rules"], F.array(x)).alias("rules"))
-    ).otherwise(a)
-    rules = F.aggregate(lines, F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("rules")), step, lambda a: a["rules"])
-    listed = robots.select("host", "status", F.explode_outer(F.when(F.col("status") == 200, rules)).alias("rule"))
+    """(host, allow, prefix) of robots files (host, status, content) for an agent: those of the groups that name it,
+    or of the groups of all agents where none does. Agent lines in a row begin one group. Files that are missing or
+    failing allow everything, forbidden ones nothing."""
+    lines = F.filter(F.transform(F.split(F.coalesce("content", F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))), lambda x: x != "")
+    none = F.array().cast("array<struct<own: boolean, rule: string>>")
+    start = F.struct(F.lit(False).alias("own"), F.lit(False).alias("all"), F.lit(False).alias("naming"), none.alias("rules"))
+
+    def step(a: Column, x: Column) -> Column:
+        names, rules = F.lower(x).rlike("^user-agent *:"), F.lower(x).rlike("^(dis)?allow *:")
+        name = F.lower(F.trim(F.regexp_extract(x, ":(.*)$", 1)))
+        own, every = (name != "*") & (name != "") & F.contains(F.lit(agent.lower()), name), name == "*"
+        ruled = F.when(rules & (a["own"] | a["all"]), F.concat(a["rules"], F.array(F.struct(a["own"].alias("own"), x.alias("rule"))))).otherwise(a["rules"])
+        return F.struct(
+            F.when(names, own | (a["naming"] & a["own"])).otherwise(a["own"]).alias("own"),
+            F.when(names, every | (a["naming"] & a["all"])).otherwise(a["all"]).alias("all"),
+            names.alias("naming"),
+            ruled.alias("rules"),
+        )
+
+    found = F.aggregate(lines, start, step, lambda a: a["rules"])
+    chosen = F.when(F.exists(found, lambda r: r["own"]), F.filter(found, lambda r: r["own"])).otherwise(found)
+    listed = robots.where("status = 200").select("host", F.explode(F.transform(chosen, lambda r: r["rule"])).alias("rule"))
     prefix = F.trim(F.regexp_extract("rule", ":(.*)$", 1))
-    kept = listed.where(F.col("rule").isNotNull() & (prefix != "")).select("host", F.lower("rule").startswith("allow").alias("allow"), prefix.alias("prefix"))
+    kept = listed.where(prefix != "").select("host", F.lower("rule").startswith("allow").alias("allow"), prefix.alias("prefix"))
     return kept.unionByName(robots.where("status IN (401, 403)").select("host", F.lit(False).alias("allow"), F.lit("/").alias("prefix")))
 
 
@@ -71,6 +85,12 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=not path.endswith(".jsonl"))
 
 
+def seed_links(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url) of seed files in JSON: arrays of objects with ``url`` or ``link`` and a ``name`` or ``title``."""
+    wide = spark.read.schema("url string, link string, name string, title string").json(path, multiLine=True)
+    return wide.select(F.coalesce("name", "title").alias("name"), F.trim(F.coalesce("url", "link")).alias("url")).where("url <> ''").distinct()
+
+
 def table_summary(rows: DataFrame, key: str, limit: int = 50) -> DataFrame:
     """One row: the columns of a sheet and its first rows, by key, told as text."""
     told = F.concat_ws("; ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in rows.columns])

@@ -3,17 +3,23 @@ that patterns can find are column expressions."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose text is no text of the page, and those that end a line.
-_SKIP = {"script", "style", "noscript", "template", "nav", "head"}
-_BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "article", "section", "table"}
-PAGE = "title string, description string, headings array<string>, links array<string>, body string"
+_SKIP = {"script", "style", "noscript"}
+_BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "article", "section", "table", "main", "nav", "header", "footer", "ul", "ol"}
+#: Elements of a head; any other begins the body.
+_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "html"}
+PAGE = "title string, meta map<string, string>, open_graph map<string, string>, schema_org array<string>, headings array<string>, links array<string>, body string"
+#: Headings and links of a page that are kept.
+MOST_HEADINGS, MOST_LINKS = 50, 300
 
 
 def links(html: Column) -> Column:
@@ -32,22 +38,29 @@ def headings(html: Column) -> Column:
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.description, self.headings, self.links, self.lines = "", "", [], [], [""]
-        self.skipped, self.inside, self.tables = [], "", []
-        self.row, self.cell = None, None
+        self.title, self.meta, self.graph, self.schema, self.headings, self.links = "", {}, {}, [], [], []
+        self.body, self.main = [""], [""]
+        self.skipped, self.inside, self.tables, self.cell = None, "", [], False
+        self.in_head, self.mains, self.data = False, 0, None
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
+        self.in_head = tag == "head" or (self.in_head and tag in _HEAD)  # a head may lack its end tag
         if tag in _SKIP:
-            self.skipped.append(tag)
-        if tag in ("title", "h1", "h2", "h3"):
+            self.skipped = tag
+            self.data = "" if tag == "script" and (found.get("type") or "").lower() == "application/ld+json" else None
+        elif tag in ("title", "h1", "h2", "h3"):
             self.inside = tag
             if tag != "title":
                 self.headings.append("")
-        elif tag == "meta" and (found.get("name") or "").lower() == "description":
-            self.description = found.get("content") or ""
+        elif tag == "meta":
+            name, content = found.get("name") or found.get("property"), found.get("content")
+            if name and content:
+                (self.graph if name.startswith("og:") else self.meta)[name] = content
         elif tag == "a" and found.get("href"):
             self.links.append(found["href"])
+        elif tag == "main":
+            self.mains += 1
         elif tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
@@ -55,28 +68,45 @@ class _Page(HTMLParser):
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.tables[-1][-1].append("")
             self.cell = True
-        if tag in _BREAK:
-            self.lines.append("")
+        self._break(tag)
 
     def handle_endtag(self, tag):
-        if self.skipped and tag == self.skipped[-1]:
-            self.skipped.pop()
+        if tag == self.skipped:
+            if self.data is not None:
+                self.schema.append(self.data)
+            self.skipped, self.data = None, None
+        elif tag == "head":
+            self.in_head = False
+        elif tag in ("td", "th"):
+            self.cell = False
         if tag == self.inside:
             self.inside = ""
-        if tag in ("td", "th"):
-            self.cell = None
+        self._break(tag)
+        if tag == "main" and self.mains:
+            self.mains -= 1
+
+    def _break(self, tag):
         if tag in _BREAK:
-            self.lines.append("")
+            self.body.append("")
+            if self.mains:
+                self.main.append("")
 
     def handle_data(self, data):
+        if self.skipped:
+            if self.data is not None:
+                self.data += data
+            return
         if self.inside == "title":
             self.title += data
-        elif self.inside:
+            return
+        if self.inside:
             self.headings[-1] += data
         if self.cell and self.tables and self.tables[-1] and self.tables[-1][-1]:
             self.tables[-1][-1][-1] += data
-        if not self.skipped:
-            self.lines[-1] += data
+        if not self.in_head:
+            self.body[-1] += data
+            if self.mains:
+                self.main[-1] += data
 
 
 def _parsed(html: str | None) -> _Page:
@@ -90,8 +120,32 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text or "{}")
+    except ValueError:
+        return False
+    return True
+
+
+def _text(lines: list[str]) -> str:
+    return "\n".join(x for x in map(_squeezed, lines) if x)
+
+
+def _absolute(base: str | None, link: str) -> str:
+    try:
+        return urljoin(base or "", link)
+    except ValueError:
+        return link
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, title, description, headings, links, body) of pages (page_id, html)."""
+    """(page_id, title, meta, open_graph, schema_org, headings, links, body) of pages (page_id, url, html).
+
+    body is the text of ``main`` elements, or of the body where there is none or it is empty; scripts, styles and
+    noscript are no text. links are absolute; schema_org are the JSON-LD scripts that are JSON. A head ends with its
+    end tag or before the first element that belongs to a body. A null page is empty.
+    """
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -100,14 +154,16 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 {
                     "page_id": frame["page_id"],
                     "title": [_squeezed(p.title) for p in found],
-                    "description": [p.description for p in found],
-                    "headings": [[_squeezed(h) for h in p.headings if h.strip()] for p in found],
-                    "links": [p.links for p in found],
-                    "body": ["\n".join(x for x in (_squeezed(y) for y in p.lines) if x) for p in found],
+                    "meta": [p.meta for p in found],
+                    "open_graph": [p.graph for p in found],
+                    "schema_org": [[x.strip() for x in p.schema if _is_json(x)] for p in found],
+                    "headings": [[h for h in map(_squeezed, p.headings) if h][:MOST_HEADINGS] for p in found],
+                    "links": [[_absolute(url, x) for x in p.links[:MOST_LINKS]] for url, p in zip(frame["url"], found, strict=True)],
+                    "body": [_text(p.main) or _text(p.body) for p in found],
                 }
             )
 
-    return pages.select("page_id", "html").mapInPandas(task, f"page_id long, {PAGE}")
+    return pages.select("page_id", "url", "html").mapInPandas(task, f"page_id long, {PAGE}")
 
 
 def tables(pages: DataFrame, rows: int = 25) -> DataFrame:
