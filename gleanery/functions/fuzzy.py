@@ -58,3 +58,20 @@ def with_typos(text: Column, key: Column, rate: float, seed: str) -> Column:
         return pd.Series([change(t, k) for t, k in zip(texts, keys, strict=True)])
 
     return F.pandas_udf(noisy, "string")(text, key)
+
+
+def slanged(words: Column, slang: dict[str, str]) -> Column:
+    """Words of an array as slang has them."""
+    table = F.create_map(*[F.lit(x) for kv in slang.items() for x in kv])
+    return F.transform(words, lambda w: F.coalesce(table[w], w))
+
+
+def truncated(words: Column, share: float) -> Column:
+    """The first ``share`` of the words, one at least."""
+    return F.slice(words, 1, F.greatest(F.ceil(F.size(words) * share).cast("int"), F.lit(1)))
+
+
+def stripped_of(words: Column, entities: list[str]) -> Column:
+    """The words that name no entity; all of them where no other is left."""
+    left = F.filter(words, lambda w: ~w.isin(entities))
+    return F.when(F.size(left) > 0, left).otherwise(words)

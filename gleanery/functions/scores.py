@@ -57,6 +57,22 @@ def age_tier(days: Column) -> Column:
     return F.when(days.isNull(), "unknown").when(days <= 30, "fresh").when(days <= 180, "aging").otherwise("stale")
 
 
+def age_label(days: Column) -> Column:
+    """An age in words."""
+    return F.when(days.isNull(), "of unknown age").when(days <= 0, "today").when(days == 1, "1 day old").when(days <= 60, F.concat(days.cast("string"), F.lit(" days old"))).otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit(" months old")))
+
+
+def stale_warning(tier: Column) -> Column:
+    """What is to be said of a stale source; null for others."""
+    return F.when(tier == "stale", "may be out of date")
+
+
+def softmax_pair(a: Column, b: Column) -> Column:
+    """The probability of the first of two scores."""
+    top = F.greatest(a, b)
+    return F.exp(a - top) / (F.exp(a - top) + F.exp(b - top))
+
+
 def tier_multiplier(tier: Column) -> Column:
     return F.when(tier == "aging", 0.97).when(tier == "stale", 0.85).otherwise(1.0)
 
@@ -70,11 +86,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hoeffding_bound(risk: Column, n: Column, delta: float = 0.1) -> Column:
-    """A bound that the true risk exceeds with probability delta at most."""
-    return risk + F.sqrt(F.ln(F.lit(1 / delta)) / (2 * n))
-
-
 def weighted_mean(weights: dict[str, float]) -> Column:
     """Weighted mean of the columns that are not null."""
     total = sum((F.coalesce(w * F.col(c), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))

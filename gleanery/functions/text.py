@@ -237,6 +237,21 @@ def marker_count(text: Column, markers: list[str]) -> Column:
     return F.size(F.filter(tokens(text), lambda t: t.isin(markers)))
 
 
+def marked_language(text: Column, markers: dict[str, list[str]], suffixes: dict[str, list[str]], default: str = "auto") -> Column:
+    """The language with the most words that are its markers, or end in one of its suffixes after three characters or
+    more; the first of equals, ``default`` without any."""
+    words = tokens(text)
+
+    def told(language: str) -> Column:
+        own, ends = markers[language], suffixes.get(language, [])
+        ended = lambda t: F.exists(F.array(*[F.lit(x) for x in ends]), lambda x: F.endswith(t, x) & (F.char_length(t) >= F.char_length(x) + 3)) if ends else F.lit(False)
+        return F.size(F.filter(words, lambda t: t.isin(own) | ended(t)))
+
+    counts = {k: told(k) for k in markers}
+    most = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
+    return F.when(most == 0, default).otherwise(F.coalesce(*[F.when(n == most, F.lit(k)) for k, n in counts.items()]))
+
+
 def snippet(text: Column, most: int = 240) -> Column:
     """The text on one line, cut to ``most`` characters with an ellipsis."""
     line = F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +103,12 @@ def claim_gate(claims: DataFrame, least: float = 0.5, fewest: int = 1) -> DataFr
     return by.select("answer_id", "claims", "kept", (F.col("kept") < fewest).alias("abstain"), F.when(F.col("kept") < fewest, "").otherwise(text).alias("text"))
 
 
+def supported(claims: DataFrame, checkers: Sequence[Callable[[Column, Column], Column]]) -> DataFrame:
+    """Adds ``support`` to claims (premise, text): that of the first checker which knows (is not null). A checker is a
+    function of two columns: a lexical rule, or an Arrow function of a model."""
+    return claims.withColumn("support", F.coalesce(*[check(F.col("premise"), F.col("text")) for check in checkers]))
+
+
 def claim_contexts(claims: DataFrame, contexts: DataFrame) -> DataFrame:
     """(answer_id, claim, text, premise) of claims (answer_id, claim, text, cited: array of ids) with the texts of the
     contexts (answer_id, id, context) that they cite, in their order; no premise where none is known."""

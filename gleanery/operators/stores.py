@@ -3,7 +3,7 @@ table is changed in place."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +94,13 @@ def missing_vectors(chunks: DataFrame, store: DataFrame, wanted: Mapping[str, ob
     return chunks.join(held.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def backfilled(chunks: DataFrame, store: DataFrame, wanted: Mapping[str, object], embed: Callable[[Column], Column]) -> DataFrame:
+    """Vectors (chunk_id, the keys of ``wanted``, embedding) of the chunks (chunk_id, chunk_text) that lack them, by an
+    embedder that is given as a function of columns: a built-in expression or an Arrow function of a model."""
+    lacking = missing_vectors(chunks, store, wanted)
+    return lacking.select("chunk_id", *[F.lit(v).alias(k) for k, v in wanted.items()], embed(F.col("chunk_text")).alias("embedding"))
+
+
 def batched(rows: DataFrame, size: int, key: str) -> DataFrame:
     """Adds ``batch``: rows in blocks of about ``size`` by a hash of their key, so that no order over all is needed."""
     n = F.greatest(F.ceil(F.col("_n") / size), F.lit(1))

@@ -63,7 +63,3 @@ def validated_citations(cited: DataFrame, sources: DataFrame, url_key) -> DataFr
 
 def abstention(answerable: Column, abstained: Column) -> Column:
     return F.when(answerable & abstained, "wrong_abstention").when(answerable, "answered").when(abstained, "correct_abstention").otherwise("hallucination_risk")
-
-
-def same_text(a: Column, b: Column) -> Column:
-    return normalized(a) == normalized(b)

@@ -156,3 +156,17 @@ SELECT query_id, doc_id, round(greatest(0.2, 0.5 - 0.03 * p), 6)::DOUBLE AS scor
 def graph_expansion_contexts(spark, sf_dir):
     facts = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 3 > 0).alias("in_scope"))
     return G.expansion_contexts(graph_expand(spark, sf_dir), facts, 12)
+
+
+@query("""SELECT 'nation' AS kind, n_name AS name, 'customers: ' || count(DISTINCT c_mktsegment) || '. segments: ' || array_to_string(list_sort(list(DISTINCT c_mktsegment)), ', ') AS summary FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
+UNION ALL SELECT 'brand', p_brand, 'parts: ' || count(*) || '. sizes: ' || array_to_string(list_transform(list_sort(list(DISTINCT p_size)), lambda x: x::VARCHAR), ', ') FROM part GROUP BY p_brand
+UNION ALL SELECT 'segment', c_mktsegment, 'customers: ' || count(*) || '. nations: ' || array_to_string(list_sort(list(DISTINCT n_name)), ', ') FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment""")
+def graph_summaries(spark, sf_dir):
+    """What is told of three kinds of nodes, from what hangs on them."""
+    nation, customer, part = (read(spark, sf_dir, t) for t in ("nation", "customer", "part"))
+    met = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    told = lambda n, head, of, what: F.concat(F.lit(f"{head}: "), n.cast("string"), F.lit(f". {what}: "), F.array_join(F.transform(F.array_sort(F.collect_set(of)), lambda x: x.cast("string")), ", ")).alias("summary")
+    a = met.groupBy(F.lit("nation").alias("kind"), F.col("n_name").alias("name")).agg(told(F.countDistinct("c_mktsegment"), "customers", "c_mktsegment", "segments"))
+    b = part.groupBy(F.lit("brand").alias("kind"), F.col("p_brand").alias("name")).agg(told(F.count("*"), "parts", "p_size", "sizes"))
+    c = met.groupBy(F.lit("segment").alias("kind"), F.col("c_mktsegment").alias("name")).agg(told(F.count("*"), "customers", "n_name", "nations"))
+    return a.unionByName(b).unionByName(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import fuzzy
 from gleanery.functions import rules as K
 from gleanery.functions import text as T
 from gleanery.operators import stores as S
@@ -264,3 +265,28 @@ GAZETTEER = ["the", "nation", "license", "apache license", "password"]
 @query("SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {sql_text(f'(^|{T.GAP}){t.replace(chr(32), chr(91) + chr(32) + chr(92) + chr(116) + chr(92) + chr(110) + chr(93) + chr(43))}({T.GAP}|$)')}) THEN '{t}' END" for t in GAZETTEER) + "], lambda t: t IS NOT NULL)) AS entity FROM documents")
 def text_entities(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.matching_terms(F.col("text"), GAZETTEER)).alias("entity"))
+
+
+SUFFIXES = {"en": ["tion"], "de": ["ung", "lich"], "es": ["ado"]}
+
+
+@query("WITH m AS (SELECT doc_id, " + ", ".join(f"len(list_filter({_WORDS}, lambda t: t IN {sql_in(MARKERS[k])}" + "".join(f" OR (ends_with(t, '{x}') AND length(t) >= {len(x) + 3})" for x in SUFFIXES.get(k, [])) + f")) AS n_{k}" for k in MARKERS) + " FROM documents) SELECT doc_id, CASE WHEN greatest(n_en, n_fr, n_de, n_es) = 0 THEN 'auto' WHEN n_en = greatest(n_en, n_fr, n_de, n_es) THEN 'en' WHEN n_fr = greatest(n_en, n_fr, n_de, n_es) THEN 'fr' WHEN n_de = greatest(n_en, n_fr, n_de, n_es) THEN 'de' ELSE 'es' END AS told FROM m")
+def text_language_suffixes(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.marked_language(F.col("text"), MARKERS, SUFFIXES).alias("told"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_transform(w, lambda t: CASE t WHEN 'the' THEN 'da' WHEN 'and' THEN 'n' ELSE t END), ' ') AS slang, array_to_string(w[1:greatest(CAST(ceil(len(w) * 0.5) AS INT), 1)], ' ') AS cut,
+array_to_string(CASE WHEN len(list_filter(w, lambda t: t NOT IN ('the', 'of'))) > 0 THEN list_filter(w, lambda t: t NOT IN ('the', 'of')) ELSE w END, ' ') AS bare FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)""")
+def text_noise_kinds(spark, sf_dir):
+    """Questions as they are really asked: in slang, cut off, without the name of what they are about."""
+    words = T.tokens(F.col("text"))
+    kinds = {"slang": fuzzy.slanged(words, {"the": "da", "and": "n"}), "cut": fuzzy.truncated(words, 0.5), "bare": fuzzy.stripped_of(words, ["the", "of"])}
+    return read(spark, sf_dir, "benchmark").select("item_id", *[F.array_join(c, " ").alias(k) for k, c in kinds.items()])
+
+
+@query("""WITH a AS (SELECT n_nationkey, unnest([n_name, 'land of ' || n_name]) AS alias FROM nation) SELECT lower(alias) AS alias, n_nationkey AS id, contains(alias, ' ') AS phrase FROM a""")
+def text_alias_tables(spark, sf_dir):
+    """Aliases of one word and of several, each to what it stands for."""
+    every = F.explode(F.array(F.col("n_name"), F.concat(F.lit("land of "), "n_name"))).alias("alias")
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", every)
+    return rows.select(F.lower("alias").alias("alias"), F.col("n_nationkey").alias("id"), (F.size(F.split("alias", " ")) > 1).alias("phrase"))

@@ -128,3 +128,18 @@ def url_source_type(spark, sf_dir):
     mime = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "image/webp")
     kind, sure = U.source_type(F.concat(F.regexp_replace("url", "^([a-z]+://[^/?#]*).*$", "$1"), tail), mime)
     return read(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), sure.alias("confidence"))
+
+
+@query(f"""SELECT page_id, CASE WHEN host = '' THEN '?' WHEN NOT ends_with(host, 'example.com') THEN host WHEN label IN ('', 'www') THEN '@' ELSE label END AS subdomain FROM (
+SELECT page_id, host, string_split(rtrim(left(host, greatest(length(host) - 11, 0)), '.'), '.')[-1] AS label FROM ({_sql_parts(f'({_VARIED})')}))""")
+def url_subdomains(spark, sf_dir):
+    return _varied(spark, sf_dir).select("page_id", U.subdomain(U.host(F.col("url")), "example.com").alias("subdomain"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'see ' || url || ' or [this](' || url || ').' ELSE 'see or this.' END AS shown FROM pages""")
+def url_scrubbed(spark, sf_dir):
+    """Answers that cite pages, half of which are known."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    told = F.concat(F.lit("see "), "url", F.lit(" or [this]("), "url", F.lit(")."))
+    verified = F.when(F.col("page_id") % 2 == 0, F.array(U.normalized_url(F.col("url")))).otherwise(F.array(F.lit("https://other.example/")))
+    return pages.select("page_id", U.scrubbed(told, verified).alias("shown"))
