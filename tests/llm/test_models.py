@@ -222,8 +222,7 @@ def test_lm_score_equals_definition(spark, monkeypatch, block):
     rows += [(50, None), (51, ""), (None, "a b"), (52, "e f g " * 300)] + [(60, "A b c")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "extra": F.lit("y")})
     target = spark.createDataFrame([(1,), (2,), (3,), (60,), (60,), (None,), (999,)], "doc_id long")
-    if block < 1000:  # few rows a block: the tasks take the number from the module that they are sent
-        monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
     found = lm_score.cross_entropy_difference(docs, target)
     assert found.columns == ["doc_id", "text", "extra", "n_words", "loss_target", "loss_background", "score"]
     plain = sorted((tuple(x[c] for c in ("doc_id", "n_words", "loss_target", "loss_background")) for x in found.collect()), key=str)
@@ -236,12 +235,17 @@ def test_lm_score_equals_definition(spark, monkeypatch, block):
 
 def test_lm_score_tells_like_from_unlike(spark):
     rows = [(i, " ".join(random.Random(i).choice(["sun moon", "red blue"] if i % 2 else ["tax law", "court fee"]) for _ in range(30))) for i in range(60)]
-    models = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(1, 20, 2)], "doc_id long"))
-    fresh = spark.createDataFrame([*rows, (102, "unseen words only")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_score.score(fresh, models).collect()}
+    docs = spark.createDataFrame([*rows, (102, "unseen words only")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(1, 20, 2)], "doc_id long"), F.col("doc_id") < 100).collect()}
     assert all(got[i]["score"] < got[j]["score"] for i in range(1, 60, 2) for j in range(0, 60, 2))
     assert got[0]["n_words"] == 60 and np.isfinite(got[102]["score"])
-    models.drop()
+    # a word that was never counted has what each word has beside its count
+    counted, words = [10 * 61, 60 * 61], len({w for _, t in rows for w in t.split()}) + 1
+    alone = lambda n: 0.5 / (n + 0.5 * (words + 1))
+    ends = lambda n, e: (e + 0.5) / (n + 0.5 * (words + 1))
+    first = 200 * alone(counted[0]) / (10 + 200)
+    last = 200 * ends(counted[0], 10) / 200
+    assert np.isclose(got[102]["loss_target"], -(np.log(first) + 2 * np.log(alone(counted[0])) + np.log(last)) / 4)
 
 
 TEXT = st.lists(st.sampled_from(["\\", "<", "|", ">", "</s>", "[INST]", "[/INST]", "<|end|>", "<<SYS>>", "a", "\n", "é", "𝄞"]), max_size=12).map("".join)
