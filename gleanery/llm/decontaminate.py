@@ -115,17 +115,34 @@ def near_matches(index: PositionalIndex, windows: DataFrame, slop: int, lists: i
     return found.drop("rank")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, lists: int = 2, rows: bool = False) -> DataFrame:
+def near_windows(index: PositionalIndex, ranked: DataFrame, slop: int, lists: int = 3) -> DataFrame:
+    """Distinct (key, wid) of the windows that near_matches() finds; equal rows of documents cost nothing more, as a
+    posting is kept or not, and never multiplied."""
+    wide = slop + 1
+    found = index.postings.join(small(ranked.withColumn("term", F.col("rank")[0]["term"]), BROADCAST_ROWS), "term").select("key", "wid", "pos", "rank")
+    for i in range(1, lists):
+        wanted = F.get(F.col("rank"), F.lit(i))
+        used = small(ranked.select(wanted["term"].alias("term")).where(F.col("term").isNotNull()).distinct(), BROADCAST_ROWS)
+        listed = index.postings.join(used, "term", "left_semi").select(F.col("term").alias("t"), F.col("key").alias("k"), F.col("pos").alias("p"), F.explode(F.sequence(F.floor(F.col("pos") / wide) - 1, F.floor(F.col("pos") / wide) + 1)).alias("block"))
+        more, done = found.where(F.size("rank") > i), found.where(F.size("rank") <= i)
+        near = (F.col("key") == F.col("k")) & (F.floor(F.col("pos") / wide) == F.col("block")) & (wanted["term"] == F.col("t")) & (F.abs(F.col("pos") - F.col("p")) <= slop) & (F.col("pos") != F.col("p"))
+        found = more.join(listed, near, "left_semi").unionByName(done)
+    return found.select("key", "wid").distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, lists: int = 2, rows: bool = False, slop: int | None = None) -> DataFrame:
     """Words of each document that stand inside an occurrence of a test window.
 
     docs: doc_id, text; items: item_id, text; further columns are ignored. Returns one row per input row: doc_id,
     n_words, n_hit, items (sorted strings), spans (array of start, length, items), contaminated: ``share * n_hit >=
     n_words`` and at least one hit. Null and empty texts have no words and are clean; an item without words is no
     window; an item whose id is null counts for its hit words and gives no id; repeated rows each get the same row;
-    with an empty benchmark every document is clean. With ``rows``, a column ``row`` holds the whole input row.
+    with an empty benchmark every document is clean. With ``rows``, a column ``row`` holds the whole input row; with
+    ``slop``, a column ``n_near`` tells how many windows have their three rarest terms within so many words of their
+    rarest, whether in a row or not.
     """
     docs, items = docs.select("doc_id", "text", *[F.struct(*docs.columns).alias("row")] * rows), items.select("item_id", "text")
-    carried = ["row"] * rows
+    carried, told = ["row"] * rows, ["n_near"] * (slop is not None)
     scratch = Scratch(docs.sparkSession, "contamination")
     windows = scratch.keep(test_windows(items, width), "windows")
     index = build_index(docs, windows.select(F.explode("window").alias("term")))
@@ -133,14 +150,17 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     starts = phrase_starts(index, ranked, lists)
     # a set, as repeated rows share a key and each has brought the same starts
     by_doc = scratch.keep(starts.groupBy("key").agg(F.collect_set(F.struct("start", F.size("window").alias("length"), "wid", "items")).alias("maybe")), "starts")
+    if slop is not None:
+        near = near_windows(index, ranked, slop).groupBy("key").agg(F.count("*").alias("n_near"))
+        by_doc = scratch.keep(by_doc.join(near, "key", "full"), "near")
     index.drop()
     scratch.drop("windows", "ranked")
 
     keyed = docs.withColumn("key", document_key(F.col("doc_id"), F.col("text")))
-    met = keyed.join(by_doc, "key", "left").select("doc_id", words_of(F.col("text")).alias("w"), "maybe", *carried)
+    met = keyed.join(by_doc, "key", "left").select("doc_id", words_of(F.col("text")).alias("w"), "maybe", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in told], *carried)
     sure = F.filter(F.coalesce("maybe", F.array()), lambda m: window_id(F.slice(F.col("w"), m["start"] + 1, m["length"])) == m["wid"])
     spans = F.sort_array(F.transform(sure, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"), m["items"].alias("items"))))
-    met = met.select("doc_id", F.size("w").cast("long").alias("n_words"), spans.alias("spans"), *carried)
+    met = met.select("doc_id", F.size("w").cast("long").alias("n_words"), spans.alias("spans"), *told, *carried)
     # spans come by start: each adds the words beyond what the earlier ones have covered
     covered = F.aggregate(
         "spans",
@@ -149,7 +169,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
         lambda a: a["hit"],
     )
     ids = F.sort_array(F.transform(F.filter(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))), F.isnotnull), lambda i: i.cast("string")))
-    out = met.select("doc_id", "n_words", covered.alias("n_hit"), ids.alias("items"), "spans", *carried)
+    out = met.select("doc_id", "n_words", covered.alias("n_hit"), ids.alias("items"), "spans", *told, *carried)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

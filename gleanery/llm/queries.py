@@ -21,12 +21,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words between the rarest terms of a window that is met by proximity, at most.
+NEAR = 16
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """Exact matches, as the contract has them, and the number of windows matched by proximity."""
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), slop=NEAR)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
-OP1_SQL = r"""
+OP1_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 12), ' ') AS g, least(len(w), 13) AS n
@@ -36,10 +41,18 @@ dw AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS
        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM m) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
+bt AS (SELECT g, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS o, len(w) AS size FROM (SELECT DISTINCT g, string_split(g, ' ') AS w FROM bw)),
+tc AS (SELECT term, count(*) AS c FROM dp SEMI JOIN bt USING (term) GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c, o, term) AS r, count(*) OVER (PARTITION BY g) AS known FROM bt JOIN tc USING (term)),
+n0 AS (SELECT g, doc_id, pos, least(size, 3) AS lists FROM rk JOIN dp USING (term) WHERE r = 1 AND known = size),
+n1 AS (SELECT DISTINCT n0.g, n0.doc_id, n0.pos, lists FROM n0 JOIN rk ON rk.g = n0.g AND rk.r = 2 JOIN dp ON dp.term = rk.term AND dp.doc_id = n0.doc_id AND dp.pos <> n0.pos AND abs(dp.pos - n0.pos) <= {NEAR}),
+n2 AS (SELECT DISTINCT n1.g, n1.doc_id FROM n1 JOIN rk ON rk.g = n1.g AND rk.r = 3 JOIN dp ON dp.term = rk.term AND dp.doc_id = n1.doc_id AND dp.pos <> n1.pos AND abs(dp.pos - n1.pos) <= {NEAR}),
+nn AS (SELECT doc_id, count(DISTINCT g) AS n_near FROM (SELECT g, doc_id FROM n0 WHERE lists = 1 UNION ALL SELECT g, doc_id FROM n1 WHERE lists = 2 UNION ALL SELECT g, doc_id FROM n2) GROUP BY 1),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
