@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +22,36 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Frees, at its end, all tables that operators have written inside. A result is read from such tables, so it is to
+    be written before: ``with freed(spark): operator(docs).write.parquet(path)``."""
+    made: list[str] = []
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.remove(made)
+        for root in made:
+            _delete(spark, root)
+
+
 class Scratch:
-    """Written tables of one run of one operator. ``drop`` frees a table once later steps no longer read it."""
+    """Written tables of one run of one operator. ``drop`` frees a table once later steps no longer read it; what a
+    result reads is freed by the caller, with ``freed``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        for made in _owners:
+            made.append(self.root)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` and read it back: later steps restart from files, whichever executor is lost."""
@@ -34,5 +61,4 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")

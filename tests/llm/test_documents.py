@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -298,3 +299,14 @@ def test_mixture(spark):
     assert mixing.mixture(d.limit(0)).count() == 0
     with pytest.raises(ValueError, match="repetitions"):
         mixing.mixture(d, budget=4 * total, repetition=3.0)
+
+
+def test_tables_between_steps_are_freed(spark):
+    from gleanery.llm.scratch import freed, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with freed(spark):
+        found = near_duplicates.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()
+        assert set(os.listdir(folder)) > before
+    assert len(found) == 2 and set(os.listdir(folder)) == before
