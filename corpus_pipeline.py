@@ -1,4 +1,9 @@
-"""A training corpus from documents, in five stages; each works on all that the one before it kept."""
+"""A training corpus from documents, in five stages; each works on all that the one before it kept.
+
+An empty table goes through as an empty one. Columns that a stage works with keep their own values where the table has
+columns of the same names. Tables between the stages stay in the shared folder until the caller has written the result:
+``with gleanery.llm.scratch.freed(spark): run(spark, sf_dir).write...`` frees them.
+"""
 
 from __future__ import annotations
 
@@ -13,29 +18,33 @@ from gleanery.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score of toxicity is below the threshold."""
+    """Documents whose score of toxicity is below the threshold. Null and empty texts, which tell nothing, stay; rows
+    that repeat are judged each, alike."""
     scored = toxicity.toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
     return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
+    """One document of each group of near-duplicates: the smallest doc_id. Null and empty texts are groups of their own;
+    rows of null ids stay; of rows that repeat a doc_id the one of the greatest text, which was judged, may stay."""
     return near_duplicates.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stand in passages of the benchmark."""
+    """Documents of which less than a twentieth of the words stand in passages of the benchmark. Null and empty texts
+    are clean; without a benchmark all are."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as before, drawn to flatter weights of the sources, in mixed order."""
+    """As many tokens as before, drawn to flatter weights of the sources, in mixed order. A null source is a source; null
+    and empty texts go with the documents at their places; rows that repeat go together."""
     return mixing.in_mixed_order(mixing.mixture(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed matrices of token ids."""
+    """Packed matrices of token ids. Null and empty texts have none; repeated rows are packed each."""
     return pack_documents(docs)
 
 
