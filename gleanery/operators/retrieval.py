@@ -34,8 +34,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Data
     n_queries, n_vectors = (max(1, -(-f.count() // size)) for f, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.select("query_id", "embedding", dealt("query_id", n_queries).alias("q"), every(n_vectors).alias("v"))
-    right = vectors.select("vec_id", "embedding", dealt("vec_id", n_vectors).alias("v"), every(n_queries).alias("q"))
+    # named anew, as both sides may come from one table
+    left = queries.select("query_id", F.col("embedding").alias("wanted"), dealt("query_id", n_queries).alias("q"), every(n_vectors).alias("v"))
+    right = vectors.select("vec_id", F.col("embedding").alias("known"), dealt("vec_id", n_vectors).alias("v"), every(n_queries).alias("q"))
 
     def unit(column) -> np.ndarray:
         rows = np.array(column.to_pylist(), np.float64)
@@ -47,7 +48,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Data
         if len(asked) and len(known):
             query, vector = asked.column("query_id").to_numpy(), known.column("vec_id").to_numpy()
             by = np.argsort(vector, kind="stable")
-            near = np.round(unit(asked.column("embedding")) @ unit(known.column("embedding"))[by].T, digits)
+            near = np.round(unit(asked.column("wanted")) @ unit(known.column("known"))[by].T, digits)
             near[query[:, None] == vector[by]] = -np.inf
             best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # of equals, the smallest id
             row = np.repeat(np.arange(len(query)), best.shape[1])
