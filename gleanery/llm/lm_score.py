@@ -29,7 +29,7 @@ PRIOR, ADDED = 200.0, 0.5
 BROADCAST_IDS = 2_000_000
 #: Bytes of text of a block, about; a row counts as ROW_BYTES besides its text. Bytes of text for each part of the keys,
 #: whose distinct ones meet in a task, and the fewest parts.
-BLOCK_BYTES, ROW_BYTES, PART_BYTES, LEAST_PARTS = 1 << 23, 64, 1 << 26, 64
+BLOCK_BYTES, ROW_BYTES, PART_BYTES, LEAST_PARTS = 1 << 22, 64, 1 << 22, 64
 #: Bits of a key that are kept, the lowest of which tells bigrams (1) from words (0).
 KEY_BITS = 56
 
@@ -129,16 +129,16 @@ def _told(blobs: pa.Table) -> pa.Table:
     how many words the part has, their occurrences, and those in the target."""
     if not len(blobs):
         return pa.table([pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
-    rows = blobs.to_pylist()
-    own = [_from_key_bytes(r["keys"]) for r in rows]
-    keys, n, t = _summed(own, [_from_planes(r["n"], "<u4") for r in rows], [_from_planes(r["t"], "<u4") for r in rows])
+    own = [_from_key_bytes(k.as_py()) for k in blobs.column("keys")]
+    counts = ([_from_planes(x.as_py(), "<u4") for x in blobs.column(c)] for c in ("n", "t"))
+    keys, n, t = _summed(own, *counts)
     word = ((keys & _PAIR) == 0) & (n > 0)
-    whole = [(int(word.sum()), int(n[word].sum()), int(t[word].sum()))] + [(0, 0, 0)] * (len(rows) - 1)
+    whole = [(int(word.sum()), int(n[word].sum()), int(t[word].sum()))] + [(0, 0, 0)] * (len(own) - 1)
     at = [np.searchsorted(keys, k) for k in own]
     return pa.table(
         [
-            pa.array([r["part"] for r in rows], pa.int32()),
-            pa.array([r["_block"] for r in rows], pa.int64()),
+            blobs.column("part"),
+            blobs.column("_block"),
             pa.array([_planes(n[i], "<u8") for i in at], pa.binary()),
             pa.array([_planes(t[i], "<u8") for i in at], pa.binary()),
             *(pa.array([w[i] for w in whole], pa.int64()) for i in range(3)),
