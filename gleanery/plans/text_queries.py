@@ -252,11 +252,16 @@ def text_title(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT item_id, list_distinct({_WORDS}) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) AS dice FROM w a JOIN w b ON a.item_id < b.item_id AND b.item_id <= a.item_id + 5""")
+SELECT * FROM (SELECT a.item_id AS a, b.item_id AS b, 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) AS dice FROM w a JOIN w b ON a.item_id < b.item_id) WHERE dice >= 0.1""")
 def text_dice(spark, sf_dir):
+    """All pairs of items of a Dice coefficient of .1 or more: two such sets share one of the first words of either, in
+    alphabetical order, as the others are too few."""
     words = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    near = words.select(F.col("item_id").alias("a"), F.col("w").alias("wa"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 5)).alias("b"))
-    return near.join(words.withColumnRenamed("item_id", "b"), "b").select("a", "b", T.dice(F.col("wa"), F.col("w")).alias("dice"))
+    need = F.ceil(F.size("w") * 0.1 / (2 - 0.1))
+    keyed = words.select("item_id", F.explode(F.slice(F.array_sort("w"), 1, (F.size("w") - need + 1).cast("int"))).alias("first"))
+    met = keyed.toDF("a", "first").join(keyed.toDF("b", "first"), "first").where("a < b").select("a", "b").distinct()
+    both = met.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
+    return both.select("a", "b", T.dice(F.col("wa"), F.col("wb")).alias("dice")).where("dice >= 0.1")
 
 
 GAZETTEER = ["the", "nation", "license", "apache license", "password"]
