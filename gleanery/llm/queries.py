@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat_format, decontaminate, fingerprint, language_id, lm_score, mixing, near_duplicates, packing, token_count, toxicity
+from gleanery.llm import chat_format, clustering, decontaminate, embedding_duplicates, fingerprint, hard_negatives, language_id, lm_score, mixing, near_duplicates, packing, token_count, toxicity
+from gleanery.llm.vector_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -132,5 +133,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_tokens"), "mix_epoch", "mix_block", "mix_position", "mix_weight")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op8_chat_format": op8_chat_format, "op9_pack": op9_pack, "op10_mix_sources": op10_mix_sources}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op8_chat_format": OP8_SQL}
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh row's label is moved by one first, as the contract has it."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(_read(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op8_chat_format": op8_chat_format, "op9_pack": op9_pack, "op10_mix_sources": op10_mix_sources, "op11_embedding_duplicates": op11_embedding_duplicates, "op12_hard_negatives": op12_hard_negatives, "op13_centroid_clusters": op13_centroid_clusters}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_embedding_duplicates": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_centroid_clusters": OP13_SQL}
