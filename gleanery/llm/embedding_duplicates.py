@@ -322,9 +322,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     links = met.where("all").select("a", "b").union(single.where("all").select("a", "b")).union(last.select("a", "b")).union(homes.join(balls.select(F.col("ball").alias("a")), "a", "left_semi"))
     groups = scratch.keep(components(links), "groups")
 
-    told = members.select("rep", "ball").join(balls.select("ball", "size"), "ball").join(to_ball, "ball", "left").join(groups.withColumnRenamed("node", "ball"), "ball", "left").join(to_one, "rep", "left")
     none = F.lit(0).cast("long")
-    told = told.select("rep", (F.col("size") - 1 + F.coalesce("more", none) + F.coalesce("more_one", none)).alias("n_links"), F.coalesce("component", "ball").alias("component_id"))
+    facts = balls.select("ball", "size").join(to_ball, "ball", "left").join(groups.withColumnRenamed("node", "ball"), "ball", "left")
+    facts = facts.select("ball", (F.col("size") - 1 + F.coalesce("more", none)).alias("of_ball"), F.coalesce("component", "ball").alias("component_id"))
+    # one join by ball, whose largest partitions Spark can split
+    told = members.select("rep", "ball").join(facts, "ball").join(to_one, "rep", "left")
+    told = told.select("rep", (F.col("of_ball") + F.coalesce("more_one", none)).alias("n_links"), "component_id")
     told = signed.select("vec_id", "same").join(classes.select("same", "rep"), "same").join(told, "rep").select("vec_id", "n_links", "component_id")
     found = every.select("vec_id").join(told, "vec_id", "left").select("vec_id", F.coalesce("n_links", none).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
