@@ -28,6 +28,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(checked / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector has components, none of which is null or not finite."""
+    finite = lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))  # noqa: E731  NaN is above all numbers
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, finite), F.lit(False))
+
+
 def age_seconds(then: Column, as_of: str) -> Column:
     return F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
 

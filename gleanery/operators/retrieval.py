@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.scores import clamp, trust_aware
+from gleanery.functions.scores import clamp, trust_aware, usable
 from gleanery.functions.text import dice, normalized, tokens
 
 
@@ -25,13 +25,19 @@ QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest vectors by cosine, exactly; a vector is no neighbour of
-    itself; a vector of no length is like none (0).
+    itself; a vector of no length is like none (0). Vectors that are null, empty, or have components that are null or
+    not finite are no neighbours and have none. Others are to be of one width: ValueError tells which there are.
 
     queries (query_id, embedding) is a batch of stated queries. Both sides are dealt into blocks by a hash, and each
     block of queries meets each block of vectors in a task, as a product of matrices that keeps k rows a query: memory
     is that of two blocks, and what is shuffled afterwards is k rows for each query and block of vectors.
     """
-    n_queries, n_vectors = (max(1, -(-f.count() // size)) for f, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    queries, vectors = (f.where(usable(F.col("embedding"))) for f in (queries, vectors))
+    told = [f.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first() for f in (queries, vectors)]
+    widths = sorted({w for _, *of in told for w in of if w is not None})
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different dimensions: {widths}")
+    n_queries, n_vectors = (max(1, -(-r[0] // size)) for r, size in zip(told, (QUERY_BLOCK, VECTOR_BLOCK), strict=True))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     # named anew, as both sides may come from one table

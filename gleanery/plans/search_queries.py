@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.functions.rules import any_term, reveals_secret
 from gleanery.operators import search as R
+from gleanery.operators import substrings as S
 from gleanery.operators.retrieval import ranked
 from gleanery.plans.common import STOPWORDS, Family, read, sql_in, sql_list, sql_text
 from gleanery.plans.text_queries import _EXPANDED, EXPANSIONS
@@ -24,6 +25,7 @@ RULES = R.SearchRules(
     priorities=(R.TopicRule("secret", 25.0, terms=("password",), without=("license",)), R.TopicRule("secret", -22.0, hosts=("src9",)), R.TopicRule("legal", 8.0, hosts=("src1", "src2"))),
     anchors={"legal": ("license", "copyright")},
     least={"secret": 3.0},
+    listing=r"(?i)/view/(authors|years)/",
 )
 
 
@@ -31,18 +33,29 @@ def _sql_any(terms, text: str) -> str:
     return "(" + " OR ".join(f"regexp_matches(lower({text}), {sql_text(f'(^|{T.GAP}){t.replace(chr(32), chr(91) + chr(32) + chr(92) + chr(116) + chr(92) + chr(110) + chr(93) + chr(43))}({T.GAP}|$)')})" for t in terms) + ")"
 
 
-_PHRASE = lambda col, p: f"len(regexp_extract_all(' ' || array_to_string(regexp_extract_all(lower({col}), {sql_text(T.TOKENIZERS['word'])}), '  ') || ' ', ' {p.replace(' ', '  ')} '))"
 
-_KEYWORD = f"""{_EXPANDED}, a AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY p) AS o FROM f),
-t AS (SELECT item_id, term FROM a WHERE o <= 12),
+def _bounded(text: str) -> str:
+    """A lower-cased text with a mark on both sides of each word and each other character."""
+    return rf"regexp_replace(regexp_replace(lower({text}), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_])', chr(1) || '\1' || chr(1), 'g')"
+
+
+def _times(text: str, term: str) -> str:
+    return f"CASE WHEN contains({text}, {term}) THEN CAST((length({text}) - length(replace({text}, {term}, ''))) // length({term}) AS BIGINT) ELSE 0 END"
+
+
+_CHUNKS = """SELECT doc_id, text, lang AS title, 'https://' || host || path AS url, path, host, CASE WHEN length(text) < 40 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN n_chars > 3000 THEN 'pdf' ELSE 'html' END AS source_type
+FROM (SELECT *, source || '.example.org' AS host, CASE WHEN source = 'src3' THEN '/view/years/' ELSE '/' || lang || '-e-mail/' END || doc_id AS path FROM documents)"""
+
+_KEYWORD = f"""{_EXPANDED}, t AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY p) AS o FROM f),
 topics AS (SELECT item_id, bool_or(term IN ('password', 'account')) AS secret, bool_or(term IN ('license', 'apache license')) AS legal FROM f GROUP BY 1),
-d AS (SELECT doc_id, text, lang || ' ' || source AS meta, source AS url FROM documents),
-w AS (SELECT doc_id, term, count(*) FILTER (k = 't') AS n, count(*) FILTER (k = 'm') AS m FROM (
-SELECT doc_id, 't' AS k, unnest(list_filter(regexp_extract_all(lower(text), {_LONG}), lambda t: length(t) > 2)) AS term FROM d UNION ALL SELECT doc_id, 'm', unnest(list_filter(regexp_extract_all(lower(meta), {_LONG}), lambda t: length(t) > 2)) FROM d) GROUP BY 1, 2
-UNION ALL SELECT doc_id, 'apache license', {_PHRASE('text', 'apache license')}, {_PHRASE('meta', 'apache license')} FROM d),
-l AS (SELECT item_id, doc_id, sum(CASE WHEN n > 0 THEN least(n, 5) + CASE WHEN term IN ('password', 'license', 'thing') THEN 1.5 * least(n, 3) ELSE 0 END ELSE 0 END + CASE WHEN m > 0 THEN CASE WHEN term IN ('password', 'license', 'thing') THEN 5.0 ELSE 3.0 END ELSE 0 END) AS lexical FROM t JOIN w USING (term) WHERE n + m > 0 GROUP BY 1, 2),
-s AS (SELECT l.item_id, l.doc_id, round(lexical + CASE WHEN secret AND {_sql_any(['password'], 'text || chr(10) || meta')} AND NOT {_sql_any(['license'], 'text || chr(10) || meta')} THEN 25 ELSE 0 END - CASE WHEN secret AND contains(url, 'src9') THEN 22 ELSE 0 END + CASE WHEN legal AND (contains(url, 'src1') OR contains(url, 'src2')) THEN 8 ELSE 0 END, 6)::DOUBLE AS score, secret
-FROM l JOIN topics USING (item_id) JOIN d USING (doc_id) WHERE NOT legal OR {_sql_any(['license', 'copyright'], 'text || chr(10) || meta')}),
+d AS (SELECT *, concat_ws(' ', title, url, host, path, source_type) AS meta FROM ({_CHUNKS}) WHERE status = 'indexed' AND NOT coalesce(regexp_matches(url, '(?i)/view/(authors|years)/'), false)),
+db AS (SELECT *, {_bounded('text')} AS bt, {_bounded('meta')} AS bm, lower(concat_ws(chr(0), text, title, url, path)) AS places FROM d),
+w AS (SELECT doc_id, term, contains(places, term) AS inside, {_times('bt', 'bounded')} AS n, {_times('bm', 'bounded')} AS m
+FROM db, (SELECT DISTINCT term, {_bounded('term')} AS bounded FROM t)),
+l AS (SELECT item_id, doc_id, sum(CASE WHEN n > 0 THEN least(n, 5) + CASE WHEN term IN ('password', 'license', 'thing') THEN 1.5 * least(n, 3) ELSE 0 END ELSE 0 END + CASE WHEN m > 0 THEN CASE WHEN term IN ('password', 'license', 'thing') THEN 5.0 ELSE 3.0 END ELSE 0 END) AS lexical
+FROM t JOIN w USING (term) GROUP BY 1, 2 HAVING bool_or(inside AND o <= 12)),
+s AS (SELECT l.item_id, l.doc_id, round(lexical + CASE WHEN secret AND {_sql_any(['password'], "concat_ws(chr(10), text, meta)")} AND NOT {_sql_any(['license'], "concat_ws(chr(10), text, meta)")} THEN 25 ELSE 0 END - CASE WHEN secret AND contains(url, 'src9') THEN 22 ELSE 0 END + CASE WHEN legal AND (contains(url, 'src1') OR contains(url, 'src2')) THEN 8 ELSE 0 END, 6)::DOUBLE AS score, secret
+FROM l JOIN topics USING (item_id) JOIN d USING (doc_id) WHERE NOT legal OR {_sql_any(['license', 'copyright'], "concat_ws(chr(10), text, meta)")}),
 rk AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= CASE WHEN secret THEN 3.0 ELSE 0.1 END)"""
 
 
@@ -50,9 +63,16 @@ def _asked(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _chunks(spark, sf_dir):
+    """Documents as chunks; those of one source are listings, short ones failed."""
+    docs = read(spark, sf_dir, "documents").withColumn("host", F.concat("source", F.lit(".example.org")))
+    docs = docs.withColumn("path", F.concat(F.when(F.col("source") == "src3", "/view/years/").otherwise(F.concat(F.lit("/"), "lang", F.lit("-e-mail/"))), F.col("doc_id").cast("string")))
+    url, status = F.concat(F.lit("https://"), "host", "path"), F.when(F.char_length("text") < 40, "failed").otherwise("indexed")
+    return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("title"), url.alias("url"), "path", "host", status.alias("status"), F.when(F.col("n_chars") > 3000, "pdf").otherwise("html").alias("source_type"))
+
+
 def _keyword(spark, sf_dir, k):
-    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws(" ", "lang", "source").alias("meta"), F.col("source").alias("url"))
-    return R.keyword_search(_asked(spark, sf_dir), chunks, RULES, k)
+    return R.keyword_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), RULES, k)
 
 
 @query(f"{_KEYWORD} SELECT item_id AS query_id, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10")
@@ -60,6 +80,23 @@ def keyword_search(spark, sf_dir):
     return _keyword(spark, sf_dir, 10)
 
 
+_PARTS = """p AS (SELECT item_id AS query_id, 'words' AS kind, substr(text, 8, 9) AS term FROM benchmark UNION ALL SELECT item_id, 'three', substr(text, 5, 3) FROM benchmark
+UNION ALL SELECT item_id, 'two', substr(text, 30, 2) FROM benchmark UNION ALL SELECT item_id, 'one', substr(text, 12, 1) FROM benchmark UNION ALL SELECT item_id, 'path', CAST(item_id AS VARCHAR) FROM benchmark)"""
+
+
+@query(f"""WITH {_PARTS}, c AS ({_CHUNKS}), x AS (SELECT query_id, kind, term, doc_id, unnest([lower(text), lower(title), lower(url), lower(path)]) AS t, unnest(['text', 'title', 'url', 'path']) AS place FROM p, c WHERE length(term) > 0 AND status = 'indexed' AND source_type = 'html')
+SELECT query_id, kind, place, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, CAST(sum(doc_id * doc_id) AS BIGINT) AS squares FROM x WHERE contains(t, lower(term)) GROUP BY 1, 2, 3""")
+def substring_search(spark, sf_dir):
+    """Parts of the items' texts, which begin and end within words, and ids, in the columns of indexed chunks of a type."""
+    items = read(spark, sf_dir, "benchmark")
+    parts = {"words": F.substring("text", 8, 9), "three": F.substring("text", 5, 3), "two": F.substring("text", 30, 2), "one": F.substring("text", 12, 1), "path": F.col("item_id").cast("string")}
+    terms = items.select(F.col("item_id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("term")) for k, t in parts.items()])).alias("p")).select("query_id", "p.*")
+    chunks = _chunks(spark, sf_dir)
+    found = S.holding(terms, S.gram_index(chunks, R.PLACES), chunks.where("status = 'indexed' AND source_type = 'html'"), R.PLACES)
+    counts = F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.col("id") * F.col("id")).alias("squares")
+    return terms.where("length(term) > 0").join(found, "term").groupBy("query_id", "kind", "place").agg(*counts)
+
+
 _DENSE = """WITH dv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 3 <> 0 AND label % 5 <> 0 AND vec_id % 2 = 1),
 ds AS (SELECT q.vec_id AS query_id, dv.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], dv.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN dv ON q.vec_id % 100 = 0 AND q.vec_id <> dv.vec_id),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM ds)"""

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import fuzzy
 from gleanery.functions import text as T
-from gleanery.sources import files, html
+from gleanery.operators import normalizing as Z
 from gleanery.plans.common import Family, read
+from gleanery.sources import files, html
 
 FAMILY = Family()
 query = FAMILY.query
@@ -68,6 +69,38 @@ def udf_difflib_normalize(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("corrected"))
 
 
+#: Common words of the sample, and names among its phrases.
+PLAIN = Z.Vocabulary(
+    slang={"teh": "the", "wht": "what", "nd": "and"},
+    keep=("er", "re", "thon"),
+    fillers=("ou", "que"),
+    words=("ering", "ation", "their", "which", "erent", "thing", "mention", "ungen", "lich", "schen", "password", "license", "password reset"),
+    acronyms=("ing", "ment", "faq"),
+    phrases=("apache license", "the nation", "er und", "de la"),
+)
+
+
+def _misspelt(spark, sf_dir):
+    """Words of the conversations, and words that they might be meant as: those of the benchmark."""
+    longer = lambda table, column: read(spark, sf_dir, table).select(F.explode(T.tokens(F.col("text"))).alias(column)).where(F.length(column) > 3).distinct()
+    return longer("conversations", "a"), longer("benchmark", "b")
+
+
+@query(r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS a FROM conversations), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS b FROM benchmark),
+x AS (SELECT a, c, count(*) AS n FROM (SELECT a, unnest(string_split(a, '')) AS c FROM a WHERE length(a) > 3) GROUP BY 1, 2), y AS (SELECT b, c, count(*) AS n FROM (SELECT b, unnest(string_split(b, '')) AS c FROM b WHERE length(b) > 3) GROUP BY 1, 2)
+SELECT a, b FROM x JOIN y USING (c) GROUP BY a, b HAVING 2 * sum(least(x.n, y.n)) >= 0.9 * (length(a) + length(b)) - 1e-9""")
+def fuzzy_candidates(spark, sf_dir):
+    """Words that may be misspellings of others, by their characters."""
+    return Z.alike(*_misspelt(spark, sf_dir), 0.9)
+
+
+@query()
+def normalized_queries(spark, sf_dir):
+    """What users ask, in plain words; ratios of matching blocks are beyond SQL, and held against a plain version."""
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
+    return Z.normalized_queries(asked, PLAIN)
+
+
 @query()
 def udf_noise_seeded(spark, sf_dir):
     noisy = fuzzy.with_typos(F.col("text"), F.col("item_id").cast("string"), 0.1, "42")

@@ -9,7 +9,9 @@ from gleanery.functions import fuzzy
 from gleanery.functions import rules as K
 from gleanery.functions import text as T
 from gleanery.operators import stores as S
+from gleanery.operators import patterns as P
 from gleanery.operators.evidence import top_evidence
+from gleanery.operators.graph import cooccurrence
 from gleanery.plans.common import STOPWORDS, Family, read, sql_in, sql_list, sql_text
 
 FAMILY = Family()
@@ -143,7 +145,7 @@ def text_chrome_lines(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_chrome(framed, ["skip to content", "back to top"], ["select language"], ["register now"]).alias("clean"))
 
 
-EXPANSIONS = {"password": ["reset", "account"], "license": ["apache license"], "the": ["that"]}
+EXPANSIONS = {"password": ["reset", "account"], "license": ["apache license"], "the": ["that"], "with": ["by-nc", "nd", "html"], "from": ["e-mail", "of nd"]}
 _EXPANDED = f"""WITH r AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), {sql_text(T.TOKENIZERS['hyphenated'])}), lambda t: length(t) > 2) AS raw FROM benchmark),
 c AS (SELECT item_id, CASE WHEN len(list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)})) > 0 THEN list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)}) ELSE raw END AS w FROM r),
 g AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, w FROM c),
@@ -272,6 +274,59 @@ def text_entities(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.matching_terms(F.col("text"), GAZETTEER)).alias("entity"))
 
 
+# a gazetteer of the sample: frequent words, phrases of the benchmark, and names with other characters
+NAMES = ["The", "Of the", "By-NC", "Apache License", "Password", "Thon", "En la", "Mail2", "ND", "Que", "De la", "E-Mail", "Ment", "Der", "The thon"]
+STOP = ["FAQ", "URL", "PDF", "ID", "OK"]
+_MARKED = r"regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_])', chr(1) || '\1' || chr(1), 'g')"
+_ACRONYM = r"(^|[^A-Za-z0-9_À-ɏ])([A-Z]{2,6}(-[A-Z]{1,3})?)($|[^A-Za-z0-9_À-ɏ])"
+
+
+def _tagged(docs):
+    """Texts of documents; a source and a language in capitals stand before those of two sources, as page titles do."""
+    head = F.when(F.col("source").isin("src1", "src2"), F.concat(F.upper("lang"), F.lit(" (PDF) SRC-"), F.upper("lang"), F.lit(" OK\n"))).otherwise("")
+    return docs.select(F.col("doc_id").alias("id"), F.concat(head, "text").alias("text"))
+
+
+_TAGGED = "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN upper(lang) || ' (PDF) SRC-' || upper(lang) || ' OK' || chr(10) ELSE '' END || text AS text FROM documents"
+# an acronym may share the character between it and the next, so these are doubled
+_ENTITIES = f"""t AS ({_TAGGED}), m AS (SELECT doc_id, text, {_MARKED.format('text')} AS marked FROM t),
+g AS (SELECT place, term, {_MARKED.format('term')} AS marked FROM (SELECT unnest({sql_list(NAMES)}) AS term, unnest(range({len(NAMES)})) AS place)),
+h AS (SELECT doc_id, place, term FROM m JOIN g ON contains(m.marked, g.marked)),
+a AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_À-ɏ-])', '\\1\\1', 'g'), {sql_text(_ACRONYM)}, 2)) AS term, generate_subscripts(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_À-ɏ-])', '\\1\\1', 'g'), {sql_text(_ACRONYM)}, 2), 1) AS i FROM t),
+x AS (SELECT doc_id, term, min(o) AS o FROM (SELECT doc_id, term, place AS o FROM h UNION ALL SELECT doc_id, term, 1000 + i FROM a WHERE term NOT IN {sql_in(STOP)}) GROUP BY 1, 2),
+e AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS n FROM x)"""
+
+
+def _found_entities(spark, sf_dir):
+    names = spark.createDataFrame(list(enumerate(NAMES)), "place int, term string")
+    # letters with marks are letters, before and behind an acronym
+    return P.entities(_tagged(read(spark, sf_dir, "documents")), names, STOP, r"(?<![A-Za-z0-9_À-ɏ])[A-Z]{2,6}(?:-[A-Z]{1,3})?(?![A-Za-z0-9_À-ɏ])", 25)
+
+
+@query(f"WITH {_ENTITIES} SELECT doc_id, string_agg(term, '|' ORDER BY n) AS entities FROM e WHERE n <= 25 GROUP BY 1")
+def text_named_entities(spark, sf_dir):
+    """Names of a gazetteer in its order, then acronyms as they are met, but those of a stop list."""
+    return _found_entities(spark, sf_dir).where("size(entities) > 0").select(F.col("id").alias("doc_id"), F.array_join("entities", "|").alias("entities"))
+
+
+@query(f"WITH {_ENTITIES}, k AS (SELECT doc_id, term FROM e WHERE n <= 25) SELECT a.term AS a, b.term AS b, count(*) AS weight FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2")
+def graph_cooccurrence_texts(spark, sf_dir):
+    """Entities that texts name together."""
+    return cooccurrence(P.mentions(_found_entities(spark, sf_dir)))
+
+
+@query(f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark), g AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+m AS (SELECT doc_id, {_MARKED.format('text')} AS marked FROM documents), p AS (SELECT term, {_MARKED.format('term')} AS marked FROM g)
+SELECT term, count(*) AS documents, CAST(sum((length(m.marked) - length(replace(m.marked, p.marked, ''))) // length(p.marked)) AS BIGINT) AS occurrences, min(doc_id) AS first FROM m JOIN p ON contains(m.marked, p.marked) GROUP BY 1""")
+def text_term_occurrences(spark, sf_dir):
+    """All pairs of neighbouring words of the benchmark, thousands of terms, in all documents in one pass."""
+    words = T.tokens(F.col("text"), "word")
+    pairs = read(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") > 1)
+    terms = pairs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).alias("term"))
+    found = P.occurrences(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), terms)
+    return found.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"), F.min("id").alias("first"))
+
+
 SUFFIXES = {"en": ["tion"], "de": ["ung", "lich"], "es": ["ado"]}
 
 
