@@ -31,6 +31,8 @@ LEAST_DEPTH = 3
 NEIGHBOURS = 4
 #: Sums of the tally that orders shingles by how often they occur, a power of two: 4 bytes each in every task.
 SLOTS = 1 << 20
+#: Rows whose shingles a task holds at once.
+ROWS = 256
 #: Ids of candidates are broadcast up to so many (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -64,6 +66,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(all_of[edges[i] : edges[i + 1]])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, for tasks that hold the shingles of all texts of one."""
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, n_shingles, same: digest of the set, signature)."""
     for batch in batches:
@@ -192,7 +201,7 @@ def _rarest(shared, share: int):
         """(doc_id, component, text) -> (shingle, doc_id, component, n, at, early): the rarest shingles of each text, by
         the tally, as many as _shares() says; at: the place in that order; early: whether a larger one may meet it."""
         tally = shared.value
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for i, own in enumerate(shingle_sets(batch.column("text"))):
                 some, few = _shares(len(own), share)
@@ -240,7 +249,7 @@ def _confirm(share: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, text_a, b, text_b), by a -> the pairs whose sets meet 100 * intersection >= share * union."""
         last, mine = None, None
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, out = batch.column("a").to_pylist(), []
             change = [i for i, x in enumerate(ids) if i == 0 or x != ids[i - 1]]
             owned = dict(zip(change, shingle_sets(batch.column("text_a").take(pa.array(change, pa.int64()))), strict=True))

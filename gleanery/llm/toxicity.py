@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ STRONGEST = 3
 
 #: Words whose ratios a worker remembers at most (24 bytes each).
 MOST_WORDS = 1 << 18
+#: Texts whose features a task computes at once.
+ROWS = 1024
 
 #: Words are runs of ASCII letters and of bytes beyond ASCII.
 _BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -262,26 +263,26 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds score (0 to 1, the probability that the whole text is toxic) to every row of docs.
+def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """Adds score, or another ``name`` (0 to 1, the probability that the whole text is toxic), to every row of docs.
 
     Only ``text`` is read. Null and empty texts have no words and are given the score of no evidence. Repeated rows
-    get the same score each. A clashing column score is replaced. An empty table gives no rows.
+    get the same score each. A column of that name is replaced. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the sample
 
-    def scored(texts: pd.Series) -> pd.Series:
-        known = shared.value
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        x = np.column_stack([_features(pa.array(texts, pa.string(), from_pandas=True), known), np.ones(len(texts))])
-        with np.errstate(invalid="ignore"):
-            s = np.clip(np.nan_to_num(x @ known.weights, nan=-700, neginf=-700), -700, 700)
-        return pd.Series(1 / (1 + np.exp(-s)))
+    def scored(texts: pa.Array) -> pa.Array:
+        known, out = shared.value, [np.zeros(0)]
+        for i in range(0, len(texts), ROWS):
+            x = _features(texts.slice(i, ROWS), known)
+            with np.errstate(invalid="ignore"):
+                s = np.clip(np.nan_to_num(np.column_stack([x, np.ones(len(x))]) @ known.weights, nan=-700, neginf=-700), -700, 700)
+            out.append(1 / (1 + np.exp(-s)))
+        return pa.array(np.concatenate(out))
 
-    return docs.withColumn("score", F.pandas_udf(scored, "double")(F.col("text")))
+    return docs.withColumn(name, F.arrow_udf(scored, "double")(F.col("text")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, name: str = "score", **how) -> DataFrame:
     """docs with score, learned from the labels of the rows that is_held_out(doc_id, 4, 2) leaves."""
-    return score(docs, train(docs.where(~is_held_out(F.col("doc_id"), 4, 2)), labels, **how))
+    return score(docs, train(docs.where(~is_held_out(F.col("doc_id"), 4, 2)), labels, **how), name)
