@@ -89,10 +89,31 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def value_paths(value: object, at: str = "") -> set[str]:
-    """schema_paths() of one JSON value."""
+    """schema_paths() of one JSON value; what is null has none."""
     if isinstance(value, dict):
         return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
-    return {p for v in value for p in value_paths(v, f"{at}[]")} if isinstance(value, list) else {at}
+    return {p for v in value for p in value_paths(v, f"{at}[]")} if isinstance(value, list) else set() if value is None else {at}
+
+
+def _joined(content: object) -> object:
+    """Content that is a list of parts, strings or objects with a text, as one text."""
+    if not isinstance(content, list):
+        return content
+    return "\n".join(p if isinstance(p, str) else p["text"] for p in content if isinstance(p, str) or isinstance(p, dict) and isinstance(p.get("text"), str))
+
+
+def _layout(record: dict, chosen: dict[str, Mapping], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The mapping of a record by its fingerprint: with null fields as fields, or else without them. An empty list of
+    turns is told by its name alone."""
+    for m in mappings:
+        turns = record.get(m.turns) if m.turns else None
+        if turns == []:
+            return m
+        for t in turns if isinstance(turns, list) else ():
+            if isinstance(t, dict) and isinstance(t.get(m.text), list):
+                t[m.text] = _joined(t[m.text])
+    filled = {k: "" if v is None else v for k, v in record.items()}
+    return chosen.get(fingerprint(value_paths(filled), mappings)) or chosen.get(fingerprint(value_paths(record), mappings))
 
 
 def _turns_of(record: dict, m: Mapping) -> list[tuple[str, str]]:
@@ -109,7 +130,9 @@ def turns_from_json(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     """(conv_id, turn, role, text, layout) of JSON records (conv_id, record), each by its own fingerprint.
 
     A record that is null, is no JSON object or has no known layout gives one row with a null turn and the layout
-    ``unknown``. Roles get their canonical names.
+    ``unknown``; one whose list of turns is empty gives none. A null field counts as one without a text, or as none if
+    only then the layout is known. Content that is a list of parts is their texts, by lines. Roles get their canonical
+    names.
     """
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +144,7 @@ def turns_from_json(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
                     record = json.loads(text)
                 except (TypeError, ValueError):
                     record = None
-                m = chosen.get(fingerprint(value_paths(record), mappings)) if isinstance(record, dict) else None
+                m = _layout(record, chosen, mappings) if isinstance(record, dict) else None
                 if m is None:
                     out.append((conv_id, None, None, None, "unknown"))
                 else:
@@ -162,6 +185,17 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), opening, r"$1\\")
 
 
+def as_layouts(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations (conv_id, turn, role, text) as JSON records in the layouts of message lists and
+    speaker lists, by the parity of a hash, with further fields that are null: what exchanges of data bring."""
+    said = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    whole = turns.groupBy("conv_id").agg(said.alias("said"))
+    back = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt")])
+    messages = F.to_json(F.struct(F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"), F.lit(None).cast("string").alias("completion")), {"ignoreNullFields": "false"})
+    speakers = F.to_json(F.struct(F.transform("said", lambda t: F.struct(F.coalesce(back[t["role"]], t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")))
+    return whole.select("conv_id", F.when(F.xxhash64("conv_id") % 2 == 0, messages).otherwise(speakers).alias("record"))
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask) of turns (conv_id, turn, role, text), in the order of turn, role and text.
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.names import free
 from gleanery.llm.scratch import Scratch
 from gleanery.llm.text_units import constants, mix
 
@@ -127,7 +128,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, passes: int = 2) -> Language
     """A model from docs (doc_id, text, lang); rows whose text or lang is null teach nothing.
 
     Document frequencies come from all rows. The fit takes about ``rows`` rows of each language: those whose hash of
-    doc_id lies below rows / count of the language; it runs in one task, on that bounded sample alone.
+    doc_id lies below rows / count of the language; it runs in one task, on that bounded sample alone. Rows that repeat
+    teach each; an empty table gives a model without languages.
     """
     docs = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     scratch = Scratch(docs.sparkSession, "language-id")
@@ -144,7 +146,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, passes: int = 2) -> Language
 
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows / found[k]))])
-    sample = scratch.keep(docs.where(part < share[F.col("lang")]).orderBy(F.xxhash64("doc_id")).limit(2 * rows * len(languages)), "sample")
+    sample = docs.where(part < share[F.col("lang")])
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text, lang) -> (by, bucket, x, label): features of each text, and what orders the rows."""
@@ -167,8 +169,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, passes: int = 2) -> Language
         at = np.flatnonzero(w.any(axis=1))
         yield pd.DataFrame({"bucket": np.append(at, -1), "w": [*(w[i] for i in at), np.array([t])]})
 
-    # features of the bounded sample, at most BUCKETS of a text, meet in one task
-    features_of = sample.select("text", "lang").mapInArrow(weighed, "by binary, bucket array<int>, x array<double>, label int")
+    # the texts' features are computed where the texts are; those of the bounded sample then meet in one task
+    features_of = scratch.keep(sample.select("text", "lang").mapInArrow(weighed, "by binary, bucket array<int>, x array<double>, label int"), "sample")
     got = features_of.coalesce(1).mapInPandas(fit, "bucket long, w array<double>").collect()  # at most BUCKETS + 1 rows
     table, divisor = np.zeros((BUCKETS, len(languages))), 1.0
     for r in got:
@@ -186,6 +188,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Only ``text`` is read, whole. Null texts, texts without a letter and all texts under a model without languages get
     ``und`` and score 0. Ties go to the language that sorts first. Clashing columns lang_pred and score are replaced.
+    Rows that repeat get the same guess each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.divisor))  # BUCKETS rows
 
@@ -205,4 +208,6 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     told = F.pandas_udf(guess, "lang_pred string, score double")
-    return docs.drop("lang_pred", "score").withColumn("_told", told(F.col("text"))).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_told.lang_pred", "_told.score")
+    rest = docs.drop("lang_pred", "score")
+    name = free(docs.columns, "told")
+    return rest.withColumn(name, told(F.col("text"))).select(*rest.columns, f"{name}.lang_pred", f"{name}.score")

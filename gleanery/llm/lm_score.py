@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.llm.names import free
 from gleanery.llm.scratch import Scratch
 from gleanery.llm.text_units import Words, constants, mix, slices
 
@@ -200,11 +201,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, counted: Column
     scratch, carried = Scratch(docs.sparkSession, "lm-score"), docs.drop(*names)
     size = carried.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
     parts = max(LEAST_PARTS, 1 << max(0, -(-size // PART_BYTES) - 1).bit_length())
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK_BYTES)))).alias("_block")
-    ids = target.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK_BYTES))))
+    block, known, chosen = (free(carried.columns, n) for n in ("block", "counts", "id"))
+    ids = target.select(F.col("doc_id").alias(chosen)).where(F.col(chosen).isNotNull()).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     counts = F.coalesce(F.lit(True) if counted is None else counted, F.lit(False))
-    texts = carried.select("*", counts.alias("_counts")).join(ids, F.col("doc_id") == F.col("_id"), "left").select(block, "text", F.col("_counts").alias("counts"), F.col("_id").isNotNull().alias("target"))
+    texts = carried.select("doc_id", "text", counts.alias(known)).join(ids, F.col("doc_id") == F.col(chosen), "left")
+    texts = texts.select(number.alias("_block"), "text", F.col(known).alias("counts"), F.col(chosen).isNotNull().alias("target"))
     blobs = texts.groupBy("_block").applyInArrow(_counted(parts), _BLOBS)
     told = scratch.keep(blobs.groupBy("part").applyInArrow(_told, _TOLD), "told")
     whole = told.agg(F.sum("target_tokens"), F.sum("tokens"), F.sum("words")).first()
@@ -219,4 +222,4 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, counted: Column
         return pa.table([*(rows.column(c) for c in own), *columns], [*own, *names])
 
     kinds = [T.StructField(n, T.LongType() if n == "n_words" else T.DoubleType()) for n in names]
-    return carried.select("*", block).groupBy("_block").cogroup(told.select("_block", "part", "n", "t").groupBy("_block")).applyInArrow(task, T.StructType([*carried.schema.fields, *kinds]))
+    return carried.withColumn(block, number).groupBy(block).cogroup(told.select("_block", "part", "n", "t").groupBy("_block")).applyInArrow(task, T.StructType([*carried.schema.fields, *kinds]))

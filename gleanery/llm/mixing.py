@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.llm.names import free
 from gleanery.llm.scratch import Scratch
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -27,6 +28,10 @@ DIGIT, DEPTH, BITS = 10, 3, 63
 BROADCAST_SOURCES = 100_000
 
 
+#: Columns that are added to what is drawn.
+COLUMNS = ("mix_epoch", "mix_block", "mix_position", "mix_weight")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a count of its tokens; 0 for null."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")).cast("long")
@@ -125,26 +130,27 @@ def mixture(docs: DataFrame, budget: int | None = None, repetition: float = 4.0,
     tokens and go with the documents at their places; sources without tokens are not drawn. Repeated rows go together.
     An empty table gives no rows.
     """
-    docs = docs.drop("mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_key", "mix_plan", "mix_source")
+    docs = docs.drop(*COLUMNS)
     own = docs.columns
+    key_name, plan_name, source_name = (free([*own, *COLUMNS], n) for n in ("key", "plan", "of_source"))
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.xxhash64("doc_id", "text")
     sized = scratch.keep(docs.select("source", key.alias("key"), tokens(F.col("text")).alias("n_tokens")), "sized")
     plan = scratch.keep(source_plan(sized, budget, repetition, entropy), "plan")
     cuts = epoch_cuts(sized, plan, seed)
-    told = plan.select(F.col("source").alias("mix_source"), "weight", "epochs", "whole").join(_bounded(cuts), _same("mix_source", "source"), "left")
-    told = scratch.keep(told.select("mix_source", F.struct("weight", "epochs", "whole", "cut").alias("mix_plan")), "told")
+    told = plan.select(F.col("source").alias(source_name), "weight", "epochs", "whole").join(_bounded(cuts), _same(source_name, "source"), "left")
+    told = scratch.keep(told.select(source_name, F.struct("weight", "epochs", "whole", "cut").alias(plan_name)), "told")
     scratch.drop("sized")
-    of = F.col("mix_plan")
-    in_last = F.coalesce(place(F.col("mix_key"), of["whole"], seed) <= of["cut"], F.lit(False))
+    of = F.col(plan_name)
+    in_last = F.coalesce(place(F.col(key_name), of["whole"], seed) <= of["cut"], F.lit(False))
     copies = of["whole"] + in_last.cast("long")
-    met = docs.withColumn("mix_key", key).join(_bounded(told), _same("source", "mix_source"))
+    met = docs.withColumn(key_name, key).join(_bounded(told), _same("source", source_name))
     met = met.where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    at = place(F.col("mix_key"), F.col("mix_epoch"), seed)
+    at = place(F.col(key_name), F.col("mix_epoch"), seed)
     met = met.withColumn("mix_block", F.shiftright(at, BITS - DIGIT)).withColumn("mix_position", (F.col("mix_epoch") + at / F.lit(float(1 << BITS))) / of["epochs"])
     return met.select(*own, F.col("mix_epoch").cast("int"), F.col("mix_block").cast("int"), F.least("mix_position", F.lit(1.0)).alias("mix_position"), of["weight"].alias("mix_weight"))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
     """The rows dealt over tasks by a hash and each task's in the order of the mixture, without the columns of it."""
-    return mixed.repartition(F.xxhash64("mix_epoch", "doc_id")).sortWithinPartitions("mix_position").drop("mix_epoch", "mix_block", "mix_position", "mix_weight")
+    return mixed.repartition(F.xxhash64("mix_epoch", "doc_id")).sortWithinPartitions("mix_position").drop(*COLUMNS)

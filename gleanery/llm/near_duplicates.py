@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
+from gleanery.llm.names import free
 from gleanery.llm.scratch import Scratch
 from gleanery.llm.text_units import Words, constants, mix, slices
 
@@ -388,10 +389,11 @@ def drop_near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their group; of rows that repeat a doc_id, the one of the
     greatest text, which was judged. All rows with a null doc_id stay."""
     found = near_duplicates(docs, share)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone, row = free(docs.columns, "gone"), free(docs.columns, "row")
+    out = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(out, F.col("doc_id") == F.col(gone), "left_anti")
     if not _repeats(docs):
         return left
     # a struct, as texts that are null are to be ordered too
-    judged = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("text")).alias("_row")).select("_row.*")
+    judged = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("text")).alias(row)).select(f"{row}.*")
     return left.where("doc_id IS NULL").union(judged)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +119,16 @@ FROM s GROUP BY conv_id
 """
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records in several layouts, each read by its own fingerprint, and written and read as
+    op8 does. A conversation is one record, of some hundred turns at most."""
+    records = chat_format.as_layouts(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat_format.read_back(chat_format.formatted(chat_format.turns_from_json(records)))
+
+
+LAYOUTS_SQL = re.sub(r"UNION ALL SELECT -1, 0.*?\),\ns AS", "),\ns AS", OP8_SQL, flags=re.S)
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -147,5 +158,5 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(_read(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op8_chat_format": op8_chat_format, "op9_pack": op9_pack, "op10_mix_sources": op10_mix_sources, "op11_embedding_duplicates": op11_embedding_duplicates, "op12_hard_negatives": op12_hard_negatives, "op13_centroid_clusters": op13_centroid_clusters}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_embedding_duplicates": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_centroid_clusters": OP13_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"chat_layouts": chat_layouts, "op1_decontaminate": op1_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprint": op6_fingerprint, "op7_token_count": op7_token_count, "op8_chat_format": op8_chat_format, "op9_pack": op9_pack, "op10_mix_sources": op10_mix_sources, "op11_embedding_duplicates": op11_embedding_duplicates, "op12_hard_negatives": op12_hard_negatives, "op13_centroid_clusters": op13_centroid_clusters}
+ORACLES: dict[str, str] = {"chat_layouts": LAYOUTS_SQL, "op1_decontaminate": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_embedding_duplicates": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_centroid_clusters": OP13_SQL}
