@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, mixing, near_duplicates, toxicity
+from gleanery.llm.names import free, set_aside
 from gleanery.llm.queries import pack_documents
 from gleanery.llm.scratch import Scratch
 
@@ -20,9 +21,8 @@ from gleanery.llm.scratch import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score of toxicity is below the threshold. Null and empty texts, which tell nothing, stay; rows
     that repeat are judged each, alike."""
-    scored = toxicity.toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    score = free(docs.columns, "score")
+    return toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as before, drawn to flatter weights of the sources, in mixed order. A null source is a source; null
     and empty texts go with the documents at their places; rows that repeat go together."""
-    return mixing.in_mixed_order(mixing.mixture(docs))
+    rows, restored = set_aside(docs, *mixing.COLUMNS)
+    return restored(mixing.in_mixed_order(mixing.mixture(rows)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
