@@ -32,8 +32,8 @@ LEAST_DEPTH = 3
 NEIGHBOURS = 4
 #: Sums of the tally that orders shingles by how often they occur, a power of two: 4 bytes each in every task.
 SLOTS = 1 << 20
-#: Rows whose shingles a task holds at once.
-ROWS = 256
+#: Rows whose shingles a task holds at once, and of a batch of whole texts.
+ROWS, BATCH = 256, 1024
 #: Ids of candidates are broadcast up to so many (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -235,7 +235,7 @@ def _crowded(crowds: DataFrame, groups: DataFrame, docs: DataFrame, share: int,
     rare = texts.mapInArrow(_rarest(spark.sparkContext.broadcast(tally), share), "shingle long, doc_id long, component long, n int, at int, early boolean")
     by, of = Window.partitionBy("shingle"), Window.partitionBy("shingle", "component")
     told = rare.repartition("shingle").withColumn("c", F.count("*").over(of)).withColumn("main", F.max(F.struct("c", "component")).over(by)["component"])
-    told = scratch.keep(told.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low != high").drop("c", "low", "high"), "rare")
+    told = scratch.keep(told.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low != high").drop("c", "low", "high"), "rare", BATCH)
     small, large = (told.select("shingle", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "n", "at", "early")]) for side in ("a", "b"))
     small = small.where("early_a")
     need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
@@ -313,7 +313,7 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     """near_duplicates() of documents with different ids."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
-    signed = scratch.keep(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, same binary, signature binary"), "signed")
+    signed = scratch.keep(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, same binary, signature binary"), "signed", BATCH)
     known = signed.where("doc_id IS NOT NULL AND same IS NOT NULL")
     classes = scratch.keep(known.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature")), "classes")
     ones = classes.select("doc_id", "signature")
@@ -330,7 +330,7 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
     crowds = found.where("depth = -1").select("tree", "prefix", F.col("a").alias("doc_id"))
 
     chosen = scratch.keep(_best(pairs), "chosen")
-    links = scratch.keep(_confirmed(chosen, docs, share), "links")
+    links = scratch.keep(_confirmed(chosen, docs, share), "links", BATCH)
     groups = scratch.keep(components(links), "groups")
 
     rest = _between(pairs, groups).join(chosen, ["a", "b"], "left_anti")
@@ -344,7 +344,7 @@ def _groups(docs: DataFrame, share: int) -> DataFrame:
         nonlocal groups
         if pairs.isEmpty():
             return
-        fresh = scratch.keep(_confirmed(pairs, docs, share), f"links_{name}")
+        fresh = scratch.keep(_confirmed(pairs, docs, share), f"links_{name}", BATCH)
         if not fresh.isEmpty():
             stars = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = scratch.keep(components(stars.union(fresh)), f"groups_{name}")

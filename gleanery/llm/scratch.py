@@ -53,10 +53,17 @@ class Scratch:
         for made in _owners:
             made.append(self.root)
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write ``frame`` and read it back: later steps restart from files, whichever executor is lost."""
-        at = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(at)
+    def keep(self, frame: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write ``frame`` and read it back: later steps restart from files, whichever executor is lost. ``batch``: rows
+        of an Arrow batch at most while it is written, where Python tasks take whole texts."""
+        at, conf = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(conf)
+        if batch is not None:
+            self.spark.conf.set(conf, str(min(batch, int(before)) if int(before) > 0 else batch))
+        try:
+            frame.write.mode("overwrite").parquet(at)
+        finally:
+            self.spark.conf.set(conf, before)
         return self.spark.read.schema(frame.schema).parquet(at)
 
     def drop(self, *names: str) -> None:
