@@ -12,19 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def slugs(texts: pd.Series) -> pd.Series:
+    plain = texts.map(lambda t: unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower())
+    return plain.map(lambda t: re.sub("[^a-z0-9]+", "-", t).strip("-"))
+
+
 def slug(text: Column) -> Column:
     """ASCII letters and digits of the decomposed text in lower case, other runs as a hyphen."""
+    return F.pandas_udf(slugs, "string")(text)
 
-    def slugs(texts: pd.Series) -> pd.Series:
-        plain = texts.map(lambda t: unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower())
-        return plain.map(lambda t: re.sub("[^a-z0-9]+", "-", t).strip("-"))
 
-    return F.pandas_udf(slugs, "string")(text)
+def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
 def block_ratio(a: Column, b: Column) -> Column:
     """Twice the characters in matching blocks over all characters: 1 for equal strings."""
-    return F.pandas_udf(lambda x, y: pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)]), "double")(a, b)
+    return F.pandas_udf(ratios, "double")(a, b)
 
 
 def corrected(words: Column, vocabulary: list[str], known: dict[str, str], least: float = 0.72) -> Column:

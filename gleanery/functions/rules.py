@@ -30,11 +30,6 @@ def classified(text: Column, table: Mapping[str, Sequence[str]], default: str) -
     return first_rule([(name, any_term(text, terms)) for name, terms in table.items()], default)
 
 
-def matching_classes(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    """All classes of a table of terms one of which stands in the text, in the order of the table."""
-    return F.filter(F.array(*[F.when(any_term(text, terms), F.lit(name)) for name, terms in table.items()]), F.isnotnull)
-
-
 def conflicting(history: Column, current: Column, default: str) -> Column:
     """Whether two classes tell of different topics: neither is the default, and they differ."""
     return (history != default) & (current != default) & (history != current)

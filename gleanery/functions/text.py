@@ -128,12 +128,15 @@ def with_redactions(frame: DataFrame, text: str, kinds=SECRETS) -> DataFrame:
     return frame
 
 
-#: Tags around what a model writes before its answer; one that is not closed goes to the end.
-REASONING = r"(?is)<\s*(think|reasoning|thought)\s*>.*?(?:<\s*/\s*\1\s*>|$)"
+#: Tags around what a model writes before its answer.
+REASONING = ("think", "reasoning", "thought")
 
 
 def without_reasoning(text: Column) -> Column:
-    return stripped(F.regexp_replace(text, REASONING, ""))
+    """Without what stands in tags of reasoning, in either case; one that is not closed goes to the end."""
+    for tag in REASONING:
+        text = F.regexp_replace(text, rf"(?is)<\s*{tag}\s*>.*?(<\s*/\s*{tag}\s*>|\z)", "")
+    return stripped(text)
 
 
 def lines_kept(text: Column, keep) -> Column:
@@ -151,10 +154,14 @@ def sanitized(text: Column, markers: list[str]) -> Column:
     return redacted(without_leaks(without_markdown(without_reasoning(text)), markers))
 
 
+#: Signs of Markdown that make no difference when lines are compared, and those that do at their ends.
+SIGNS, ENDS = "*_`#>[](){}|", " :-"
+
+
 def plain_line(line: Column) -> Column:
     """A line as it is compared: without signs of Markdown, in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"[*_`#>\[\](){}|]", " "), r"\s+", " ")
-    return F.lower(F.regexp_replace(bare, r"^[ :-]+|[ :-]+$", ""))
+    words = F.filter(F.split(F.translate(F.lower(line), SIGNS, " " * len(SIGNS)), r"\s+"), lambda w: w != "")
+    return F.trim(F.array_join(words, " "), F.lit(ENDS))
 
 
 def without_chrome(text: Column, chrome: list[str], prefixes: list[str] = (), calls: list[str] = (), most: int = 90) -> Column:
@@ -175,14 +182,6 @@ def without_chrome(text: Column, chrome: list[str], prefixes: list[str] = (), ca
     return stripped(F.array_join(F.aggregate(kept, start, step, lambda a: a["lines"]), "\n"))
 
 
-def term_hits(text: Column, terms: list[str]) -> Column:
-    """How many of the terms stand in the lower-cased text."""
-    total = F.lit(0)
-    for t in terms:
-        total = total + has_term(text, t).cast("int")
-    return total
-
-
 def phrase_count(text: Column, phrase: Column) -> Column:
     """How often a phrase's words stand in a row in the text; occurrences do not overlap."""
     spaced = lambda x: F.concat(F.lit(" "), F.array_join(tokens(x), "  "), F.lit(" "))
@@ -212,9 +211,12 @@ def neutral(text: Column, delimiters: list[str]) -> Column:
 
 
 def salvaged(text: Column, field: str) -> Column:
-    """The text of a field of JSON that may be cut off: up to its closing quote, or as far as it goes."""
+    """The text of a field of JSON that may be cut off, stand in a fence or among other words: up to its closing quote,
+    or as far as it goes, escapes resolved but for one that is cut off; empty where there is no such field."""
     raw = F.regexp_extract(text, f'(?s)"{field}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)', 1)
-    return F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    whole = F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u[0-9A-Fa-f]{0,3}$", "$1")
+    read = F.from_json(F.concat(F.lit('{"v": "'), whole, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    return F.coalesce(read["v"], whole)
 
 
 def sentences(text: Column) -> Column:

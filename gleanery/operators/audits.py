@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import tokens
+from gleanery.functions.text import normalized, tokens
 
 
 def share(holds: Column, digits: int = 4) -> Column:
@@ -28,6 +28,52 @@ def target_ranks(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("target"), F.coalesce(~F.max(F.when(F.col("rank") == 1, hit)), F.lit(True)).alias("noisy"))
 
 
+def retrieval_metrics(rows: DataFrame, *by: str) -> DataFrame:
+    """(by..., n, labelled, hit_rate, target_rate, hit_1, hit_3, mrr, noisy_1, not_found, median_ms, p95_ms,
+    answered_right, answered_wrong, refused_right, refused_wrong) of questions (found, labelled, target, noisy,
+    not_expected, ms): rates of retrieval, over the labelled ones where they ask for a target; latency by the middle and
+    by the nearest rank; and of the questions of which it is known whether an answer is expected (not_expected: null is
+    not known), how many got one and should have."""
+    found, labelled, target = F.col("found"), F.coalesce("labelled", F.lit(False)), F.col("target")
+    of = lambda holds, all_of: F.round(F.coalesce(F.count_if(holds & all_of) / F.nullif(F.count_if(all_of), F.lit(0)), F.lit(0.0)), 4)
+    wanted, known = ~F.coalesce("not_expected", F.lit(False)), F.col("not_expected").isNotNull()
+    mrr = F.round(F.coalesce(F.sum(F.when(labelled, F.coalesce(1.0 / target, F.lit(0.0)))) / F.nullif(F.count_if(labelled), F.lit(0)), F.lit(0.0)), 6)
+    told = [
+        F.count("*").alias("n"),
+        F.count_if(labelled).alias("labelled"),
+        of(found, wanted).alias("hit_rate"),
+        of(target.isNotNull(), labelled).alias("target_rate"),
+        of(target == 1, labelled).alias("hit_1"),
+        of(target <= 3, labelled).alias("hit_3"),
+        mrr.alias("mrr"),
+        of(F.coalesce("noisy", F.lit(False)), labelled).alias("noisy_1"),
+        share(~found).alias("not_found"),
+        F.round(F.expr("percentile(ms, 0.5)"), 6).alias("median_ms"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").cast("double").alias("p95_ms"),
+        F.count_if(known & found & wanted).alias("answered_right"),
+        F.count_if(known & found & ~wanted).alias("answered_wrong"),
+        F.count_if(known & ~found & ~wanted).alias("refused_right"),
+        F.count_if(known & ~found & wanted).alias("refused_wrong"),
+    ]
+    return rows.groupBy(*by).agg(*told) if by else rows.agg(*told)
+
+
+def top_questions(messages: DataFrame, as_of: str, curated: Sequence[str] = (), days: int = 30, least: int = 12, k: int = 6) -> DataFrame:
+    """(rank, question, n): the questions that users have asked most often in the last days (messages: role, text, at;
+    ``least`` characters at least), shown as first asked; ties by the question. Where there are fewer than k, curated
+    ones that are not among them follow in their order, with 0."""
+    spark = messages.sparkSession
+    since = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - days * 86400
+    said = F.trim(F.coalesce("text", F.lit("")))
+    asked = messages.where((F.col("role") == "user") & (F.char_length(said) >= least) & (F.unix_timestamp(F.col("at").cast("timestamp")) >= since))
+    counted = asked.groupBy(normalized(F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min_by(said, F.struct("at", said.alias("t"))).alias("question"))
+    most = counted.orderBy(F.desc("n"), "key").limit(k)
+    more = spark.createDataFrame([(i, q) for i, q in enumerate(curated)], "place int, question string").withColumn("key", normalized(F.col("question"))).groupBy("key").agg(F.min(F.struct("place", "question")).alias("c")).select("key", "c.*")
+    every = most.select("key", "question", "n", F.lit(-1).alias("place")).unionByName(more.join(most.select("key"), "key", "left_anti").select("key", "question", F.lit(0).cast("long").alias("n"), "place"))
+    # at most k and the curated ones
+    return every.withColumn("rank", F.row_number().over(Window.orderBy("place", F.desc("n"), "key"))).where(F.col("rank") <= k).select("rank", "question", "n")
+
+
 def benchmark_summary(runs: DataFrame) -> DataFrame:
     """(category, layer, n, hit_rate, correct_intent, p95_ms, p99_ms) of runs (category, layer, rank, intent,
     wanted_intent, ms, control), control rows left out: overall, by category, and by category and layer."""
@@ -85,6 +131,32 @@ def json_sizes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sized.groupBy("column").agg(F.count("*").alias("n"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("largest"), F.sum("n").alias("total"))
 
 
+def coverage(rows: DataFrame, kinds: Mapping[str, Column], states: Mapping[str, Column], areas: Mapping[str, Sequence[str]], text: Column) -> DataFrame:
+    """(kind, value, n): how many rows there are of each value of each of ``kinds`` (a null one is ``unknown``), in which
+    of ``states`` (kind ``state``), and how many mention a marker of each area (kind ``area``). One scan: the groupings
+    are grouping sets of one aggregation, whose row for all carries what is counted of the whole."""
+    named = rows.select(*[F.coalesce(c.cast("string"), F.lit("unknown")).alias(f"k_{k}") for k, c in kinds.items()], *[F.coalesce(c, F.lit(False)).cast("int").alias(f"s_{k}") for k, c in states.items()], F.lower(text).alias("text"))
+    met = lambda markers: F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains("text", m))
+    named = named.select("*", *[F.coalesce(met(m), F.lit(False)).cast("int").alias(f"a_{k}") for k, m in areas.items()]).drop("text")
+    columns = [f"k_{k}" for k in kinds]
+    whole = [c for c in named.columns if c not in columns]
+    by = named.groupingSets([[], *[[c] for c in columns]], *columns).agg(F.grouping_id(*columns).alias("set"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in whole])
+    full = (1 << len(columns)) - 1
+    own = [F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("value"), F.col("n").alias("n")) for k in kinds]
+    total = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("value"), F.coalesce(f"{kind[0]}_{k}", F.lit(0)).cast("long").alias("n")) for kind, of in (("state", states), ("area", areas)) for k in of]
+    every = F.array(F.struct(F.lit("all").alias("kind"), F.lit("all").alias("value"), F.col("n").alias("n")), *total)
+    told = F.when(F.col("set") == full, every)
+    for i, row in enumerate(own):  # the bit of a column that is grouped by is 0, the first one highest
+        told = told.when(F.col("set") == full - (1 << (len(columns) - 1 - i)), F.array(row))
+    return by.select(F.explode(told).alias("t")).select("t.*")
+
+
+def missing_areas(found: DataFrame, areas: Sequence[str]) -> DataFrame:
+    """One row: the areas of coverage() that nothing mentions, in their order."""
+    met = found.where("kind = 'area' AND n > 0").agg(F.collect_set("value").alias("met"))
+    return met.select(F.array_except(F.array(*[F.lit(a) for a in areas]), "met").alias("missing"))
+
+
 def index_audit(rows: DataFrame, sample: int = 50) -> DataFrame:
     """(host, n, indexed, pending, failed, excluded, share, samples) of rows (url, host, state): counts by host, and of
     each the first failed URLs, ``sample`` at most."""

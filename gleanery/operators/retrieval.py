@@ -3,6 +3,7 @@ ranked is ranked by query, with ties broken by id."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -101,6 +102,27 @@ def heuristic_boost(source_type: Column, confidence: Column) -> Column:
     return F.when(source_type.isin("html", "pdf"), 0.15).when(source_type.isin("image", "audio", "video"), -0.1).otherwise(0.0) + 0.2 * sure - F.when(sure < 0.5, 0.25).otherwise(0.0)
 
 
+def reranked(contexts: DataFrame, model_scores: DataFrame | None = None, top: int = 20, weight: float = 0.8) -> DataFrame:
+    """(query_id, id, relevance, score, reranked, rank) of contexts (query_id, id, score, source_type, confidence,
+    authority, freshness): first by score, what the source adds, authority and freshness. Where a query has scores of a
+    model (query_id, id, model) for all of its first ``top``, these are ranked anew by weight * model + rest * score
+    scaled among them, with what the source adds, authority and freshness, and stand before the others."""
+    boost = heuristic_boost(F.col("source_type"), F.col("confidence")) - F.when(F.col("confidence").isNull(), 0.1).otherwise(0.0)
+    trust = lambda relevance: F.round(trust_aware(relevance, F.col("authority"), F.coalesce("freshness", F.lit(1.0))), 6)
+    plain = contexts.withColumn("boost", boost).withColumn("relevance", F.col("score") + F.col("boost"))
+    first = ranked(plain.withColumn("final", trust(F.col("relevance"))), ["query_id"], F.desc("final"), F.col("id"))
+    if model_scores is None:
+        return first.select("query_id", "id", F.round("relevance", 6).alias("relevance"), F.col("final").alias("score"), F.lit(False).alias("reranked"), "rank")
+    head = first.where(F.col("rank") <= top).join(model_scores, ["query_id", "id"], "left")
+    whole = head.groupBy("query_id").agg((F.count("model") == F.count("*")).alias("told"))
+    head = min_max(head, "query_id", "score", "scaled").withColumn("again", weight * F.col("model") + (1 - weight) * F.col("scaled") + F.col("boost"))
+    every = first.join(head.select("query_id", "id", "again"), ["query_id", "id"], "left").join(whole, "query_id")
+    anew = F.col("told") & F.col("again").isNotNull()
+    every = every.withColumn("reranked", anew).withColumn("relevance", F.when(anew, F.col("again")).otherwise(F.col("relevance"))).withColumn("final", F.when(anew, trust(F.col("again"))).otherwise(F.col("final")))
+    out = ranked(every.drop("rank"), ["query_id"], F.desc("reranked"), F.desc("final"), F.col("id"))
+    return out.select("query_id", "id", F.round("relevance", 6).alias("relevance"), F.col("final").alias("score"), "reranked", "rank")
+
+
 def faq_match(queries: DataFrame, faqs: DataFrame, threshold: float = 0.62, k: int = 2) -> DataFrame:
     """(query_id, faq_id, dice, score, rank): the k best of the FAQs (faq_id, question) that equal a query (query_id,
     text) when normalised (14) or reach a Dice coefficient of their words (12). Candidates share a word."""
@@ -132,3 +154,16 @@ def pinned_merge(layers: list[tuple[DataFrame, bool]], k: int) -> DataFrame:
 def confidence_ladder(top_score: Column, official: Column, n: Column) -> Column:
     """How far the best contexts of a query can be relied on."""
     return F.when((top_score >= 12) & (official >= 1), 0.95).when(top_score >= 10, 0.85).when((official >= 2) & (n >= 3), 0.7).when(official >= 1, 0.55).when(n >= 1, 0.4).otherwise(0.2)
+
+
+def sufficiency(contexts: DataFrame, structured: Sequence[str]) -> DataFrame:
+    """(query_id, confidence, sufficient) of ranked contexts (query_id, rank, score, source_type, demoted, authority):
+    how far they can be relied on, and whether nothing else needs to be looked for. A structured first row that is not
+    demoted is enough, .95 from 12 points on and .85 below; so are two of official hosts, the first among them, .7; an
+    official first row alone .55; any .4; others .2."""
+    official = F.col("authority") >= 0.5
+    by = contexts.groupBy("query_id").agg(F.min_by(F.struct("score", F.col("source_type").isin(*structured).alias("kind"), F.coalesce("demoted", F.lit(False)).alias("demoted"), official.alias("official")), "rank").alias("top"), F.count_if(official).alias("official"))
+    top = F.col("top")
+    sure = F.coalesce(top["kind"], F.lit(False)) & ~top["demoted"]
+    told = F.when(sure & (top["score"] >= 12), 0.95).when(sure, 0.85).when(top["official"] & (F.col("official") >= 2), 0.7).when(top["official"], 0.55).when(F.col("official") >= 1, 0.4).otherwise(0.2)
+    return by.select("query_id", told.alias("confidence"), (told >= 0.7).alias("sufficient"))

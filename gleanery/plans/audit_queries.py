@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.operators import audits as A
 from gleanery.operators.ingest import pruned_metadata
-from gleanery.plans.common import STOPWORDS, Family, read, sql_in, sql_text
+from gleanery.plans.common import AS_OF, STOPWORDS, Family, read, sql_in, sql_text
 from gleanery.plans.evaluation_queries import _ENTAIL, _entailed
 from gleanery.plans.search_queries import _KEYWORD, _keyword
 
@@ -41,6 +41,37 @@ def retrieval_evaluation(spark, sf_dir):
     return _targets(spark, sf_dir).agg(F.count("*").alias("n"), A.share(F.col("target").isNotNull()).alias("hit_rate"), A.share(F.col("target") == 1).alias("hit_1"), A.share(F.col("noisy")).alias("noisy_1"), A.mean(F.coalesce(1.0 / F.col("target"), F.lit(0.0))).alias("mrr"))
 
 
+# questions of the benchmark: latency by length, an answer expected where the text is long enough
+_ASKED = f"""{_TARGETS}, q AS (SELECT item_id % 3 AS kind, tr.query_id IS NOT NULL AS found, item_id % 5 > 0 AS labelled, CASE WHEN item_id % 5 > 0 THEN target END AS target, noisy, CASE WHEN item_id % 4 > 0 THEN length(text) < 200 END AS not_expected, length(text) AS ms FROM benchmark LEFT JOIN tr ON tr.query_id = item_id)"""
+_METRICS = """count(*) AS n, count(*) FILTER (labelled) AS labelled, coalesce(round(count(*) FILTER (found AND NOT coalesce(not_expected, false)) / nullif(count(*) FILTER (NOT coalesce(not_expected, false)), 0), 4), 0)::DOUBLE AS hit_rate,
+coalesce(round(count(target) / nullif(count(*) FILTER (labelled), 0), 4), 0)::DOUBLE AS target_rate, coalesce(round(count(*) FILTER (target = 1) / nullif(count(*) FILTER (labelled), 0), 4), 0)::DOUBLE AS hit_1, coalesce(round(count(*) FILTER (target <= 3) / nullif(count(*) FILTER (labelled), 0), 4), 0)::DOUBLE AS hit_3,
+coalesce(round(sum(CASE WHEN labelled THEN coalesce(1.0::DOUBLE / target, 0) END) / nullif(count(*) FILTER (labelled), 0), 6), 0)::DOUBLE AS mrr, coalesce(round(count(*) FILTER (labelled AND coalesce(noisy, false)) / nullif(count(*) FILTER (labelled), 0), 4), 0)::DOUBLE AS noisy_1, round(count(*) FILTER (NOT found) / count(*), 4)::DOUBLE AS not_found,
+round(quantile_cont(ms, 0.5), 6)::DOUBLE AS median_ms, quantile_disc(ms, 0.95)::DOUBLE AS p95_ms, count(*) FILTER (found AND not_expected = false) AS answered_right, count(*) FILTER (found AND not_expected) AS answered_wrong, count(*) FILTER (NOT found AND not_expected) AS refused_right, count(*) FILTER (NOT found AND not_expected = false) AS refused_wrong"""
+
+
+@query(f"{_ASKED} SELECT kind, {_METRICS} FROM q GROUP BY 1")
+def retrieval_metrics(spark, sf_dir):
+    """Rates, latencies and the matrix of abstentions by kind of question."""
+    i, size = F.col("item_id"), F.char_length("text")
+    asked = read(spark, sf_dir, "benchmark").select(i.alias("query_id"), (i % 3).alias("kind"), (i % 5 > 0).alias("labelled"), F.when(i % 4 > 0, size < 200).alias("not_expected"), size.alias("ms"))
+    met = asked.join(_targets(spark, sf_dir).withColumn("found", F.lit(True)), "query_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return A.retrieval_metrics(met.withColumn("target", F.when(F.col("labelled"), F.col("target"))), "kind")
+
+
+_CURATED = ["What is the license?", "who may use it", "What is the License?"]
+
+
+@query(f"""WITH m AS (SELECT role, trim(text) AS said, trim(lower(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS key, TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR * (conv_id * 24 + turn) AS stamp FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN left(text, 13) ELSE text END AS text FROM conversations)),
+c AS (SELECT key, count(*) AS n, arg_min(said, (stamp, said)) AS question FROM m WHERE role = 'user' AND length(said) >= 12 AND stamp >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1 ORDER BY n DESC, key LIMIT 40),
+e AS (SELECT question, n, -1 AS place, key FROM c UNION ALL SELECT q, 0, i, trim(lower(q)) FROM (VALUES (0, 'What is the license?'), (1, 'who may use it')) AS t(i, q) WHERE trim(lower(q)) NOT IN (SELECT key FROM c))
+SELECT CAST(rank AS INTEGER) AS rank, question, n FROM (SELECT *, row_number() OVER (ORDER BY place, n DESC, key) AS rank FROM e) WHERE rank <= 40""")
+def top_questions_recent(spark, sf_dir):
+    """The questions asked most in thirty days, filled up with curated ones: a top-k report."""
+    at = F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=F.col("conv_id") * 24 + F.col("turn"))
+    told = read(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.substring("text", 1, 13)).otherwise(F.col("text")))
+    return A.top_questions(told.select("role", "text", at.alias("at")), AS_OF, _CURATED, k=40)
+
+
 _RUNS = "SELECT o_orderpriority AS category, o_orderstatus AS layer, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 7 + 1 END AS rank, 'i' || (o_orderkey % 3) AS intent, CASE WHEN o_orderkey % 9 > 0 THEN 'i' || (o_custkey % 3) END AS wanted_intent, CAST(floor(o_totalprice) AS BIGINT) AS ms, o_orderkey % 11 = 0 AS control FROM orders"
 
 
@@ -109,6 +140,49 @@ def json_sizes(spark, sf_dir):
     return A.json_sizes(docs, ["source", "doc_id", "lang"])
 
 
+# what has been found of pages, by eight groupings
+AREAS = {"listing": ["?page="], "language": ["/es/", "/de/"], "spam": ["spam-farm", "casino"], "nowhere": ["no such marker"], "mobile": ["//m."]}
+_COVER = r"""p AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang FROM pages),
+c AS (SELECT host, scheme, nullif(lang, '') AS language, regexp_extract(host, '[^.]+$') AS top, CASE WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' END AS form, CASE WHEN length(html) < 1500 THEN 'short' WHEN length(html) < 6000 THEN 'middle' ELSE 'long' END AS size,
+CASE WHEN regexp_matches(url, '\.html$') THEN 'html' END AS suffix, regexp_extract(host, '^[^.]+') AS first, length(html) < 1500 AS low, contains(url, '#') AS anchored, lower(url) AS t FROM p)"""
+
+
+def _kinds():
+    url, text = F.col("url"), F.col("html")
+    host = F.lower(F.regexp_extract(url, "^[a-z]+://([^/?#:]*)", 1))
+    size = F.when(F.char_length(text) < 1500, "short").when(F.char_length(text) < 6000, "middle").otherwise("long")
+    form = F.when(F.contains(url, F.lit("?")), "query").when(F.contains(url, F.lit("#")), "fragment")
+    return {
+        "host": host,
+        "scheme": F.regexp_extract(url, "^([a-z]+):", 1),
+        "language": F.nullif(F.regexp_extract(url, "^[a-z]+://[^/]*/([a-z]+)/", 1), F.lit("")),
+        "top": F.regexp_extract(host, "[^.]+$", 0),
+        "form": form,
+        "size": size,
+        "suffix": F.when(url.rlike(r"\.html$"), "html"),
+        "first": F.regexp_extract(host, "^[^.]+", 0),
+    }
+
+
+_BY = ("host", "scheme", "language", "top", "form", "size", "suffix", "first")
+
+
+@query(f"""WITH {_COVER}, n AS (SELECT {', '.join(f"coalesce({k}, 'unknown') AS {k}" for k in _BY)} FROM c),
+g AS (SELECT {', '.join(_BY)}, grouping({', '.join(_BY)}) AS s, count(*) AS n FROM n GROUP BY GROUPING SETS ((), {', '.join(f'({k})' for k in _BY)}))
+SELECT CASE s {' '.join(f"WHEN {255 - (1 << (7 - i))} THEN '{k}'" for i, k in enumerate(_BY))} ELSE 'all' END AS kind, CASE s {' '.join(f"WHEN {255 - (1 << (7 - i))} THEN {k}" for i, k in enumerate(_BY))} ELSE 'all' END AS value, n FROM g
+UNION ALL SELECT 'state', 'low_content', count(*) FILTER (low) FROM c UNION ALL SELECT 'state', 'anchored', count(*) FILTER (anchored) FROM c
+""" + " ".join(f"UNION ALL SELECT 'area', '{a}', count(*) FILTER ({' OR '.join(f'contains(t, {sql_text(m)})' for m in ms)}) FROM c" for a, ms in AREAS.items()))
+def coverage_report(spark, sf_dir):
+    """Eight groupings, states and areas by one aggregation."""
+    states = {"low_content": F.char_length("html") < 1500, "anchored": F.contains("url", F.lit("#"))}
+    return A.coverage(read(spark, sf_dir, "pages"), _kinds(), states, AREAS, F.col("url"))
+
+
+@query(f"WITH {_COVER} SELECT array_to_string(list_filter([" + ", ".join(f"CASE WHEN (SELECT count(*) FROM c WHERE {' OR '.join(f'contains(t, {sql_text(m)})' for m in ms)}) = 0 THEN '{a}' END" for a, ms in AREAS.items()) + "], lambda x: x IS NOT NULL), ',') AS missing")
+def missing_areas(spark, sf_dir):
+    return A.missing_areas(A.coverage(read(spark, sf_dir, "pages"), _kinds(), {}, AREAS, F.col("url")), list(AREAS)).select(F.array_join("missing", ",").alias("missing"))
+
+
 _STATE = "CASE page_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'excluded' ELSE 'indexed' END"
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
 

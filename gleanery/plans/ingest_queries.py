@@ -84,21 +84,32 @@ def ledger_registry_status(spark, sf_dir):
     return _ledger(spark, sf_dir).agg(F.count("*").alias("urls"), F.count_if(F.col("last_crawl").isNull()).alias("never"), F.count_if(due).alias("due"), F.count_if(F.col("frequency") == "daily").alias("daily"), F.min("last_crawl").alias("oldest"), F.max("last_crawl").alias("newest"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'new' WHEN page_id % 6 = 1 THEN 'hash_changed' WHEN page_id % 6 IN (2, 3) THEN 'last_modified_changed' ELSE 'unchanged' END AS decision FROM pages""")
+# known are hashes of pages in which the first word of one kind was written otherwise, and times by the form of the URL
+_CHANGE = """c AS (SELECT page_id, CASE WHEN length(html) % 6 > 0 THEN sha256(regexp_replace(html, 'the', 'The')) END AS known, CASE WHEN NOT contains(url, '#') THEN sha256(html) END AS new,
+CASE WHEN contains(url, '?') THEN DATE '2024-01-02' WHEN length(url) % 2 = 0 THEN DATE '2024-01-01' END AS seen, CASE WHEN length(html) % 4 > 0 THEN DATE '2024-01-02' END AS told FROM pages)"""
+
+
+@query(f"""WITH {_CHANGE} SELECT page_id, CASE WHEN known IS NULL THEN 'new' WHEN new <> known THEN 'hash_changed' WHEN new IS NULL AND told IS NOT NULL AND (seen IS NULL OR told > seen) THEN 'last_modified_changed' ELSE 'unchanged' END AS decision FROM c""")
 def ledger_change_detection(spark, sf_dir):
-    kind, digest, early, late = F.col("page_id") % 6, F.sha2("html", 256), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
-    known = F.when(kind != 0, F.when(kind == 1, F.lit("other")).otherwise(digest))
-    new = F.when(~kind.isin(2, 3, 4), digest)
-    return read(spark, sf_dir, "pages").select("page_id", I.detected_change(known, new, F.when(kind != 3, early), F.when(kind.isin(2, 3), late)).alias("decision"))
+    """Decisions on pages by the hashes of what is known and of what has come, and by times where there is no hash."""
+    n, day = F.char_length("html"), lambda d: F.lit(f"2024-01-0{d}").cast("timestamp")
+    known = F.when(n % 6 > 0, F.sha2(F.regexp_replace("html", "^((?s:.)*?)the", "$1The"), 256))
+    new = F.when(~F.contains("url", F.lit("#")), F.sha2("html", 256))
+    seen = F.when(F.contains("url", F.lit("?")), day(2)).when(F.char_length("url") % 2 == 0, day(1))
+    return read(spark, sf_dir, "pages").select("page_id", I.detected_change(known, new, seen, F.when(n % 4 > 0, day(2))).alias("decision"))
+
+
+_RECORD = """r AS (SELECT c_custkey, md5(c_name || c_mktsegment) AS known, c_acctbal > 0 AS tried, c_acctbal > 2000 AS ok, md5(c_name || replace(c_mktsegment, 'BUILDING', 'HOUSE')) AS new FROM customer)"""
 
 
-@query("""SELECT c_custkey AS url, CASE WHEN tried AND ok AND changes THEN 'n' ELSE 'o' END AS content_hash, CASE WHEN tried THEN 2 ELSE 1 END AS last_crawl, CASE WHEN tried AND ok AND changes THEN 2 ELSE 1 END AS last_changed, CASE WHEN tried AND ok THEN 0 WHEN tried THEN 2 ELSE 1 END AS failures FROM (
-SELECT c_custkey, c_custkey % 2 = 0 AS tried, c_custkey % 4 = 0 AS ok, c_custkey % 8 = 0 AS changes FROM customer)""")
+@query(f"""WITH {_RECORD} SELECT c_custkey AS url, CASE WHEN changes THEN new ELSE known END AS content_hash, CASE WHEN tried THEN 2 ELSE 1 END AS last_crawl, CASE WHEN changes THEN 2 ELSE 1 END AS last_changed, CASE WHEN tried AND ok THEN 0 WHEN tried THEN 2 ELSE 1 END AS failures
+FROM (SELECT *, tried AND ok AND new <> known AS changes FROM r)""")
 def ledger_record(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"))
-    ledger = customers.select("url", F.lit("o").alias("content_hash"), F.lit(1).alias("last_crawl"), F.lit(1).alias("last_changed"), F.lit(1).alias("failures"))
-    fetches = customers.where("url % 2 = 0").select("url", (F.col("url") % 4 == 0).alias("ok"), F.when(F.col("url") % 8 == 0, "n").otherwise("o").alias("new_hash"), F.lit(2).alias("at"))
-    return I.recorded(ledger, fetches)
+    """A ledger of customers, known by a digest, after fetches of some."""
+    customers = read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "url")
+    ledger = customers.select("url", F.md5(F.concat("c_name", "c_mktsegment")).alias("content_hash"), F.lit(1).alias("last_crawl"), F.lit(1).alias("last_changed"), F.lit(1).alias("failures"))
+    digest = F.md5(F.concat("c_name", F.replace("c_mktsegment", F.lit("BUILDING"), F.lit("HOUSE"))))
+    return I.recorded(ledger, customers.where("c_acctbal > 0").select("url", (F.col("c_acctbal") > 2000).alias("ok"), digest.alias("new_hash"), F.lit(2).alias("at")))
 
 
 @query(f"""SELECT reason, count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS n_words FROM (SELECT w, CASE WHEN source IN ('src3', 'src7') THEN 'untrusted' WHEN lang = 'es' THEN 'out_of_scope' WHEN len(w) < 25 THEN 'too_short' WHEN seen > 1 AND doc_id > first THEN 'duplicate' ELSE 'accepted' END AS reason

@@ -122,6 +122,46 @@ def heuristic_rerank(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.round(0.5 + R.heuristic_boost(kind, sure), 6).alias("score"))
 
 
+# articles of a size are the candidates of a query; sources, confidences and dates come with them
+_CANDIDATES = """c AS (SELECT p_size AS query_id, p_partkey AS id, p_retailprice / 1000 AS score, CASE p_type WHEN 'ECONOMY' THEN 'html' WHEN 'PROMO' THEN 'audio' ELSE 'text' END AS source_type, CASE WHEN p_type <> 'SMALL' THEN length(p_name) / 15.0 END::DOUBLE AS confidence,
+CASE WHEN contains(p_brand, '1') THEN 0.9 ELSE 0.25 END AS authority, CASE WHEN contains(p_name, 'r') THEN 0.4 END AS freshness FROM part),
+b AS (SELECT *, CASE source_type WHEN 'html' THEN 0.15 WHEN 'audio' THEN -0.1 ELSE 0 END + CASE WHEN confidence IS NULL THEN 0 ELSE 0.2::DOUBLE * confidence - CASE WHEN confidence < 0.5 THEN 0.25 ELSE 0 END END AS boost FROM c),
+f AS (SELECT *, score + boost AS relevance, round(score + boost + 1.0 * authority + 0.5 * coalesce(freshness, 1.0), 6) AS final FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM f)"""
+
+
+def _candidates(spark, sf_dir):
+    kind = F.when(F.col("p_type") == "ECONOMY", "html").when(F.col("p_type") == "PROMO", "audio").otherwise("text")
+    sure, fresh = F.when(F.col("p_type") != "SMALL", F.char_length("p_name") / 15.0), F.when(F.contains("p_name", F.lit("r")), 0.4)
+    return read(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"), kind.alias("source_type"), sure.alias("confidence"), F.when(F.contains("p_brand", F.lit("1")), 0.9).otherwise(0.25).alias("authority"), fresh.alias("freshness"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT query_id, id, round(relevance, 6)::DOUBLE AS relevance, final::DOUBLE AS score, false AS reranked, CAST(rank AS INTEGER) AS rank FROM r")
+def trust_rerank(spark, sf_dir):
+    """Retrieval scores with what the source adds, authority and freshness."""
+    return R.reranked(_candidates(spark, sf_dir))
+
+
+@query(f"""WITH {_CANDIDATES}, h AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, bool_and(query_id % 5 <> 0 OR id % 2 = 0) OVER w AS told FROM r WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
+a AS (SELECT query_id, id, 0.8::DOUBLE * (length(p_name) / 20.0)::DOUBLE + (1 - 0.8::DOUBLE) * CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END + boost AS again FROM h JOIN part ON p_partkey = id WHERE told),
+m AS (SELECT r.query_id, r.id, again IS NOT NULL AS reranked, round(coalesce(again, relevance), 6) AS relevance, CASE WHEN again IS NULL THEN final ELSE round(again + 1.0 * authority + 0.5 * coalesce(freshness, 1.0), 6) END AS score FROM r LEFT JOIN a USING (query_id, id))
+SELECT query_id, id, relevance::DOUBLE AS relevance, score::DOUBLE AS score, reranked, CAST(row_number() OVER (PARTITION BY query_id ORDER BY reranked DESC, score DESC, id) AS INTEGER) AS rank FROM m""")
+def trust_model_rerank(spark, sf_dir):
+    """The first twenty of a query by a model's scores, where it has told all of them."""
+    part = read(spark, sf_dir, "part").where("p_size % 5 <> 0 OR p_partkey % 2 = 0")
+    model = part.select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("id"), (F.char_length("p_name") / 20.0).alias("model"))
+    return R.reranked(_candidates(spark, sf_dir), model)
+
+
+@query(f"""WITH {_CANDIDATES}, n AS (SELECT query_id, count(*) FILTER (authority >= 0.5) AS n FROM r GROUP BY 1),
+t AS (SELECT query_id, n, CASE WHEN source_type IN ('html', 'audio') AND NOT coalesce(confidence < 0.6, false) THEN CASE WHEN score * (12 / 0.95::DOUBLE) >= 12 THEN 0.95 ELSE 0.85 END END AS s, authority >= 0.5 AS o FROM r JOIN n USING (query_id) WHERE rank = 1)
+SELECT query_id, coalesce(s, CASE WHEN o AND n >= 2 THEN 0.7 WHEN o THEN 0.55 WHEN n >= 1 THEN 0.4 ELSE 0.2 END)::DOUBLE AS confidence, coalesce(s, CASE WHEN o AND n >= 2 THEN 0.7 ELSE 0 END) >= 0.7 AS sufficient FROM t""")
+def retrieval_sufficiency(spark, sf_dir):
+    """Whether what was found is enough to look no further."""
+    first = R.reranked(_candidates(spark, sf_dir)).select("query_id", "id", "rank")
+    rows = first.join(_candidates(spark, sf_dir), ["query_id", "id"]).withColumn("demoted", F.col("confidence") < 0.6)
+    return R.sufficiency(rows.withColumn("score", F.col("score") * (12 / 0.95)), ["html", "audio"])
+
+
 @query(f"""WITH f AS (SELECT item_id AS faq_id, text FROM benchmark), q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN regexp_replace(text, '[^ ]+ [^ ]+ ', '') ELSE text || ' ' || text || ' again' END AS text FROM benchmark),
 fw AS (SELECT faq_id, list_distinct({_WORDS}) AS w, trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS n FROM f),
 qw AS (SELECT query_id, list_distinct({_WORDS}) AS w, trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS n FROM q),

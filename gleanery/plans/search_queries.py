@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import intents as I
 from gleanery.functions import text as T
 from gleanery.functions.rules import any_term, reveals_secret
+from gleanery.operators import conversation as C
 from gleanery.operators import search as R
 from gleanery.operators import substrings as S
 from gleanery.operators.retrieval import ranked
@@ -71,8 +74,15 @@ def _chunks(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("title"), url.alias("url"), "path", "host", status.alias("status"), F.when(F.col("n_chars") > 3000, "pdf").otherwise("html").alias("source_type"))
 
 
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
 def _keyword(spark, sf_dir, k):
-    return R.keyword_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), RULES, k)
+    """The index of a folder's chunks is written once in a session, for all queries that search them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = R.chunk_grams(_chunks(spark, sf_dir))
+    return R.keyword_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), RULES, k, grams=_indexes[key])
 
 
 @query(f"{_KEYWORD} SELECT item_id AS query_id, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10")
@@ -228,3 +238,71 @@ def projected_contexts(spark, sf_dir):
 def capped_by_source(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1") & any_term(F.col("text"), ["the", "und"]))
     return ranked(docs, ["source"], F.desc("n_chars"), F.col("doc_id")).where("rank <= 20").select("doc_id", "rank")
+
+
+# ordered rules over what users ask and over URLs
+INTENTS = (
+    I.Rule("empty", equal=("",), confidence=0.5),
+    I.Rule("license", any_of=("license", "apache license", "by-nc"), none_of=("password",), confidence=0.9, priority=3),
+    I.Rule("short", any_of=("la", "the", "der", "of nd"), most_words=12, confidence=0.75, priority=1),
+    I.Rule("greeting", equal=("hello there", "un ou"), confidence=0.85),
+    I.Rule("spanish", any_of=("que", "los", "una"), none_of=("the", "nicht"), confidence=0.8, priority=2),
+    I.Rule("english", any_of=("the", "of", "and"), confidence=0.7),
+)
+PAGES = (
+    I.Rule("spam", url=("spam-farm", "casino"), priority=-1),
+    I.Rule("listing", url=("?page=",), no_url=(".org/",), priority=10),
+    I.Rule("mobile page", url=("//m.",), no_url=("utm_",), priority=30),
+    I.Rule("article", any_of=("the", "la", "der"), url=("/en/", "/de/"), priority=80),
+)
+OTHER = I.Rule("other", confidence=0.6)
+
+
+def _sql_rules(rules, default, of: str, url: str | None = None) -> str:
+    """The same rules over the words ``of`` with a space around each, n of them, as one CASE for a field."""
+
+    def holds(r) -> str:
+        spaced = lambda terms: [" " + " ".join(__import__("re").findall(r"[^\W]+", t.lower())) + " " for t in terms]
+        has = lambda terms: "(" + " OR ".join(f"contains({of}, {sql_text(t)})" for t in spaced(terms)) + ")"
+        at = lambda parts: "(" + " OR ".join(f"contains(lower({url}), {sql_text(p.lower())})" for p in parts) + ")"
+        told = [has(r.any_of)] * bool(r.any_of) + [f"NOT {has(r.none_of)}"] * bool(r.none_of) + [f"{of} IN {sql_in(spaced(r.equal))}"] * bool(r.equal)
+        told += [at(r.url)] * bool(r.url) + [f"NOT {at(r.no_url)}"] * bool(r.no_url) + [f"n <= {r.most_words}"] * (r.most_words is not None)
+        return " AND ".join(told)
+
+    case = lambda field: "CASE " + " ".join(f"WHEN {holds(r)} THEN {field(r)}" for r in rules) + f" ELSE {field(default)} END"
+    return f"{case(lambda r: sql_text(r.name))} AS name, {case(lambda r: float(r.confidence))}::DOUBLE AS confidence, CAST({case(lambda r: r.priority)} AS INTEGER) AS priority"
+
+
+_SPACED = "SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS spaced, len(w) AS n FROM (SELECT *, coalesce({words}, []) AS w FROM {table})"
+
+
+@query(f"""WITH c AS ({_SPACED.format(words=_WORDS, table="(SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN left(text, 40) ELSE text END AS text FROM conversations WHERE role = 'user' UNION ALL SELECT DISTINCT -conv_id - 1, 0, ' Hello,  there! ' FROM conversations UNION ALL SELECT -100000, 0, NULL)")})
+SELECT conv_id, turn, {_sql_rules(INTENTS, OTHER, 'spaced')} FROM c""")
+def intent_rules(spark, sf_dir):
+    """Intents of questions by ordered rules with exclusions and confidences."""
+    told = read(spark, sf_dir, "conversations")
+    asked = told.where("role = 'user'").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"))
+    more = told.select((-F.col("conv_id") - 1).alias("conv_id")).distinct().select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit(" Hello,  there! ").alias("text"))
+    blank = spark.sql("SELECT -100000L AS conv_id, 0L AS turn, CAST(NULL AS STRING) AS text")
+    return I.classified(asked.unionByName(more).unionByName(blank), "text", INTENTS, OTHER).select("conv_id", "turn", "name", "confidence", "priority")
+
+
+@query(f"""WITH c AS ({_SPACED.format(words="regexp_extract_all(lower(html), " + sql_text(T.TOKENIZERS['word']) + ")", table="pages")}) SELECT page_id, {_sql_rules(PAGES, OTHER, 'spaced', 'url')} FROM c""")
+def page_type_rules(spark, sf_dir):
+    """Kinds and priorities of pages by their URLs and words."""
+    return I.classified(read(spark, sf_dir, "pages"), "html", PAGES, OTHER, url="url").select("page_id", "name", "confidence", "priority")
+
+
+_STRONG, _WEAK, _SPECIFIC = ["thing", "tion for"], ["la", "of", "und"], ["license", "spanish"]
+
+
+@query(f"""WITH c AS ({_SPACED.format(words=_WORDS, table="(SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 2 = 0 THEN regexp_extract(text, '^([^ ]+ ){0,3}[^ ]+') ELSE text END AS text FROM conversations WHERE role = 'user')")}),
+i AS (SELECT conv_id, turn, text, {_sql_rules(INTENTS, OTHER, 'spaced')} FROM c WHERE trim(text) <> ''), b AS (SELECT *, lag(name) OVER (PARTITION BY conv_id ORDER BY turn) AS before, len(regexp_extract_all(lower(text), {sql_text(T.TOKENIZERS['unspaced'])})) AS k FROM i),
+d AS (SELECT *, CASE WHEN before IS NULL THEN 0.0 WHEN name IN {sql_in(_SPECIFIC)} AND name <> before THEN 0.1 WHEN {_sql_any(_STRONG, 'text')} THEN 0.9 WHEN {_sql_any(_WEAK, 'text')} AND k <= 5 AND name IN ('other', before) THEN 0.8 WHEN k <= 4 AND name IN ('other', before) THEN 0.78 ELSE 0.3 END::DOUBLE AS sure FROM b)
+SELECT conv_id, turn, name AS intent, before, sure AS confidence, CASE sure WHEN 0 THEN 'no_history' WHEN 0.1 THEN 'other_intent' WHEN 0.9 THEN 'leaning' WHEN 0.8 THEN 'short_and_weakly_leaning' WHEN 0.78 THEN 'short_of_one_topic' ELSE 'uncertain' END AS reason, sure >= 0.75 AS followup,
+coalesce(name <> before AND name <> 'other' AND before <> 'other', false) AS intent_changed FROM d""")
+def followup_decisions(spark, sf_dir):
+    """Whether a question goes on from the one before it, by the whole ladder; every other one is cut to four words."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.regexp_extract("text", "^([^ ]+ ){0,3}[^ ]+", 0)).otherwise(F.col("text")))
+    intents = I.classified(turns, "text", INTENTS, OTHER).withColumnRenamed("name", "intent")
+    return C.followup_decisions(intents, _SPECIFIC, _STRONG, _WEAK, general="other")

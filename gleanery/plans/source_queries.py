@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.functions import fuzzy
+from gleanery.functions import fuzzy, registry
 from gleanery.functions import text as T
+from gleanery.functions.urls import host, host_in
 from gleanery.operators import normalizing as Z
 from gleanery.plans.common import Family, read
-from gleanery.sources import files, html
+from gleanery.sources import files, html, sitemaps
 
 FAMILY = Family()
 query = FAMILY.query
@@ -69,6 +70,59 @@ def udf_difflib_normalize(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("corrected"))
 
 
+# a page's table of its links, with one inside a cell of each row
+_LINKS = """r AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)"""
+
+
+def _tabled(spark, sf_dir):
+    cells = F.transform(html.links(F.col("html")), lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td><table><tr><td>in</td></tr><tr><td> "), F.char_length(x).cast("string"), F.lit("</td></tr></table></td><td>after</td></tr>")))
+    table = F.concat(F.lit("<table><tr><th>link</th><th>inner</th><th>next</th></tr>"), F.array_join(cells, ""), F.lit("</table>"))
+    return read(spark, sf_dir, "pages").select("page_id", F.concat("html", table).alias("html"))
+
+
+@query(f"""WITH {_LINKS} SELECT page_id, 0 AS table_index, 'link, inner, next' AS columns, CAST(len(l) AS INTEGER) AS n_rows, coalesce(array_to_string(list_transform(l[1:25], lambda x: 'link: ' || trim(x) || '; inner: ; next: after'), chr(10)), '') AS summary FROM r
+UNION ALL SELECT page_id, CAST(i AS INTEGER), 'in', 1, 'in: ' || length(l[i]) FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM r)""")
+def udtf_tables_in_sql(spark, sf_dir):
+    """A table function in SQL, beside each row; tables inside tables are their own."""
+    registry.register(spark)
+    _tabled(spark, sf_dir).createOrReplaceTempView("tabled_pages")
+    return spark.sql("SELECT page_id, table_index, array_join(columns, ', ') AS columns, n_rows, summary FROM tabled_pages, LATERAL html_tables(html)")
+
+
+def _counter():
+    """A model of one letter each: how often vowels follow each other."""
+    pairs = [a + b for a in "aeiou" for b in "aeiou"]
+    return lambda texts: texts.map(lambda t: [float((t or "").count(p)) for p in pairs])
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'ae', ''))) / 2)::DOUBLE AS ae, ((length(text) - length(replace(text, 'oi', ''))) / 2)::DOUBLE AS oi FROM documents")
+def udf_model_in_sql(spark, sf_dir):
+    """A function of SQL whose model each task loads once."""
+    registry.register(spark, vowel_pairs=(_counter, "array<double>"))
+    read(spark, sf_dir, "documents").createOrReplaceTempView("model_documents")
+    return spark.sql("SELECT doc_id, v[1] AS ae, v[17] AS oi FROM (SELECT doc_id, vowel_pairs(text) AS v FROM model_documents)")
+
+
+# site maps of the pages: an index of four maps, one of them itself, and one that is no XML
+_MAPS = """m AS (SELECT page_id, 'https://maps.example.org/m' || (length(html) % 3) || '.xml' AS map, url FROM pages)"""
+
+
+def _maps(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("https://maps.example.org/m"), (F.char_length("html") % 3).cast("string"), F.lit(".xml")).alias("map"), F.concat(F.lit("<url><loc><![CDATA["), "url", F.lit("]]></loc></url>")).alias("e"), "page_id")
+    own = pages.groupBy("map").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "e"))), lambda x: x["e"]), "").alias("e"))
+    own = own.select("map", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "e", F.lit("</urlset>")).alias("content"))
+    listed = "".join(f"<sitemap><loc>https://maps.example.org/{n}</loc></sitemap>" for n in ("index.xml", "m0.xml", "m1.xml", "none.xml", "torn.xml", "m2.xml"))
+    return own.unionByName(spark.createDataFrame([("https://maps.example.org/index.xml", f"<?xml version='1.0'?><sitemapindex>{listed}</sitemapindex>"), ("https://maps.example.org/torn.xml", "<urlset><url><loc>https://a.example.org/</loc>")], "map string, content string"))
+
+
+@query(f"""WITH {_MAPS} SELECT url, min(map) AS map FROM m WHERE regexp_matches(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '(^|\\.)example\\.(org|net)$') AND NOT regexp_matches(lower(regexp_extract(url, '^[^?#]*')), '\\.xml$') GROUP BY 1""")
+def sitemap_walk(spark, sf_dir):
+    """Pages in scope by a walk through maps that name each other."""
+    maps = _maps(spark, sf_dir)
+    in_scope = lambda u: host_in(host(u), "example.org") | host_in(host(u), "example.net")
+    return sitemaps.walk(spark, ["https://maps.example.org/index.xml"], lambda urls: maps.where(F.col("map").isin(urls)), in_scope)
+
+
 #: Common words of the sample, and names among its phrases.
 PLAIN = Z.Vocabulary(
     slang={"teh": "the", "wht": "what", "nd": "and"},

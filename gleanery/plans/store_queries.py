@@ -14,25 +14,31 @@ query = FAMILY.query
 _WORDS = f"regexp_extract_all(lower(text), {sql_text(T.TOKENIZERS['word'])})"
 
 
-@query("""SELECT url, action, touched FROM (SELECT 'd' || doc_id AS url, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 4 = 1 THEN 'same' WHEN doc_id % 4 = 2 THEN 'changed' ELSE 'kept' END AS action, CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 2 END::BIGINT AS touched FROM documents)""")
+# sources of all languages but one are known, by the hash of a text in which one ending was another; one source brings nothing
+_UPSERT = """d AS (SELECT 'd' || doc_id AS url, text, lang = 'es' AS unknown, source = 'src3' AS silent, sha256(text) AS h, sha256(replace(text, 'tion', 'TION')) AS o FROM documents)"""
+
+
+def _upserted(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    known = docs.where("lang <> 'es'")
+    old = known.select("url", content_hash(F.replace("text", F.lit("tion"), F.lit("TION"))).alias("content_hash"), F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("touched"))
+    new = docs.where("source <> 'src3'").select("url", "text", F.lit(2).cast("long").alias("at"))
+    return old, S.upserted_sources(old, known.select("url", F.lit(0).alias("chunk_index"), F.lit("old").alias("chunk_text")), new, 300, 50)
+
+
+@query(f"""WITH {_UPSERT} SELECT url, CASE WHEN silent THEN o ELSE h END AS content_hash, CASE WHEN unknown THEN 'new' WHEN silent THEN 'kept' WHEN o = h THEN 'same' ELSE 'changed' END AS action, CASE WHEN silent THEN 1 ELSE 2 END::BIGINT AS touched FROM d WHERE NOT (unknown AND silent)""")
 def source_upsert(spark, sf_dir):
     """Sources after an upsert, told by what has become of their text."""
-    docs, i = read(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), F.col("doc_id") % 4
-    old = docs.where(i != 0).select("url", content_hash(F.col("text")).alias("content_hash"), F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("touched"))
-    new = docs.where(i != 3).select("url", F.when(i == 2, F.concat("text", F.lit(" x"))).otherwise(F.col("text")).alias("text"), F.lit(2).cast("long").alias("at"))
-    after, _ = S.upserted_sources(old, docs.select("url", F.lit(0).alias("chunk_index"), F.lit("old").alias("chunk_text")), new, 300, 50)
+    old, (after, _) = _upserted(spark, sf_dir)
     met = after.join(old.select("url", F.col("content_hash").alias("before")), "url", "left")
     action = F.when(F.col("before").isNull(), "new").when(F.col("touched") == 1, "kept").when(F.col("before") == F.col("content_hash"), "same").otherwise("changed")
-    return met.select("url", action.alias("action"), "touched")
+    return met.select("url", "content_hash", action.alias("action"), "touched")
 
 
-@query("""SELECT 'd' || doc_id AS url, CASE WHEN doc_id % 4 IN (1, 3) THEN 1 ELSE CASE WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 250.0) + 1 END END::BIGINT AS n_chunks FROM (SELECT doc_id, len(regexp_extract_all(text || CASE WHEN doc_id % 4 = 2 THEN ' x' ELSE '' END, '[^ \\t\\n\\r\\f]+')) AS n FROM documents) WHERE doc_id % 4 IN (1, 3) OR n > 0""")
+@query(f"""WITH {_UPSERT} SELECT url, CASE WHEN NOT unknown AND (silent OR o = h) THEN 1 WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 250.0) + 1 END::BIGINT AS n_chunks FROM (SELECT *, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS n FROM d WHERE NOT (unknown AND silent)) WHERE n > 0 OR NOT unknown AND (silent OR o = h)""")
 def source_upsert_chunks(spark, sf_dir):
     """Chunks after the same upsert: replaced for new and changed texts, kept for the others."""
-    docs, i = read(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), F.col("doc_id") % 4
-    old = docs.where(i != 0).select("url", content_hash(F.col("text")).alias("content_hash"), F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("touched"))
-    new = docs.where(i != 3).select("url", F.when(i == 2, F.concat("text", F.lit(" x"))).otherwise(F.col("text")).alias("text"), F.lit(2).cast("long").alias("at"))
-    _, chunks = S.upserted_sources(old, docs.select("url", F.lit(0).alias("chunk_index"), F.lit("old").alias("chunk_text")), new, 300, 50)
+    _, (_, chunks) = _upserted(spark, sf_dir)
     return chunks.groupBy("url").agg(F.count("*").alias("n_chunks"))
 
 

@@ -170,12 +170,14 @@ def text_context_block(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), text).alias("block"))
 
 
-@query(r"""SELECT conv_id, turn, text AS answer FROM conversations WHERE NOT contains(text, '\')""")
+@query(r"""SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' é/' || chr(9) || '\n\\' || chr(10) ELSE '' END AS answer FROM conversations""")
 def text_salvaged_json(spark, sf_dir):
-    """Answers read back from JSON that is cut off in the middle."""
-    said = read(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("\\")))
-    cut = F.regexp_replace(F.to_json(F.struct(F.lit(1).alias("n"), F.col("text").alias("answer"))), '"}$', "")
-    return said.select("conv_id", "turn", F.replace(F.replace(F.replace(T.salvaged(cut, "answer"), F.lit("\\t"), F.lit("\t")), F.lit("\\r"), F.lit("\r")), F.lit("\\/"), F.lit("/")).alias("answer"))
+    """Answers read back from JSON that is cut off in the middle, some within an escape."""
+    odd = F.when(F.col("turn") % 2 == 0, F.lit(" é/\t\\n\\\\\n")).otherwise("")
+    said = read(spark, sf_dir, "conversations").withColumn("said", F.concat(F.coalesce("text", F.lit("")), odd))
+    cut = F.regexp_replace(F.to_json(F.struct(F.lit(1).alias("n"), F.col("said").alias("answer"))), '"}$', "")
+    torn = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), F.replace(cut, F.lit("é"), F.lit("\\u00e9")), F.lit("\\u00"))).otherwise(cut)
+    return said.select("conv_id", "turn", T.salvaged(torn, "answer").alias("answer"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(' ' || array_to_string({_WORDS}, '  ') || ' ', ' of  the ')) AS n FROM documents")

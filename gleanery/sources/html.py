@@ -18,6 +18,7 @@ _BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "article", "sect
 #: Elements of a head; any other begins the body.
 _HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "html"}
 PAGE = "title string, meta map<string, string>, open_graph map<string, string>, schema_org array<string>, headings array<string>, links array<string>, body string"
+TABLE = "table_index int, columns array<string>, n_rows int, summary string"
 #: Headings and links of a page that are kept.
 MOST_HEADINGS, MOST_LINKS = 50, 300
 
@@ -40,7 +41,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.title, self.meta, self.graph, self.schema, self.headings, self.links = "", {}, {}, [], [], []
         self.body, self.main = [""], [""]
-        self.skipped, self.inside, self.tables, self.cell = None, "", [], False
+        self.skipped, self.inside, self.tables = None, "", []
+        self.open: list[list] = []  # tables that are not closed yet, the innermost last: [rows, whether in a cell]
         self.in_head, self.mains, self.data = False, 0, None
 
     def handle_starttag(self, tag, attrs):
@@ -63,11 +65,12 @@ class _Page(HTMLParser):
             self.mains += 1
         elif tag == "table":
             self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.tables[-1][-1].append("")
-            self.cell = True
+            self.open.append([self.tables[-1], False])
+        elif tag == "tr" and self.open:
+            self.open[-1][0].append([])
+        elif tag in ("td", "th") and self.open and self.open[-1][0]:
+            self.open[-1][0][-1].append("")
+            self.open[-1][1] = True
         self._break(tag)
 
     def handle_endtag(self, tag):
@@ -77,8 +80,10 @@ class _Page(HTMLParser):
             self.skipped, self.data = None, None
         elif tag == "head":
             self.in_head = False
-        elif tag in ("td", "th"):
-            self.cell = False
+        elif tag in ("td", "th") and self.open:
+            self.open[-1][1] = False
+        elif tag == "table" and self.open:
+            self.open.pop()
         if tag == self.inside:
             self.inside = ""
         self._break(tag)
@@ -101,8 +106,8 @@ class _Page(HTMLParser):
             return
         if self.inside:
             self.headings[-1] += data
-        if self.cell and self.tables and self.tables[-1] and self.tables[-1][-1]:
-            self.tables[-1][-1][-1] += data
+        if self.open and self.open[-1][1]:
+            self.open[-1][0][-1][-1] += data
         if not self.in_head:
             self.body[-1] += data
             if self.mains:
@@ -166,18 +171,27 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(task, f"page_id long, {PAGE}")
 
 
+def _summaries(html: str | None, rows: int) -> Iterator[tuple[int, list[str], int, str]]:
+    for i, table in enumerate(t for t in _parsed(html).tables if t):
+        head, body = [_squeezed(c) for c in table[0]], table[1:]
+        told = ["; ".join(f"{h}: {_squeezed(c)}" for h, c in zip(head, r, strict=False)) for r in body[:rows]]
+        yield i, head, len(body), "\n".join(told)
+
+
 def tables(pages: DataFrame, rows: int = 25) -> DataFrame:
     """(page_id, table_index, columns, n_rows, summary): each table of a page; its first row names the columns, and up
-    to ``rows`` of the others are told in the summary."""
+    to ``rows`` of the others are told in the summary. A table inside another is one of its own, after it."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for page_id, html in zip(frame["page_id"], frame["html"], strict=True):
-                for i, table in enumerate(t for t in _parsed(html).tables if t):
-                    head, body = [_squeezed(c) for c in table[0]], table[1:]
-                    told = ["; ".join(f"{h}: {_squeezed(c)}" for h, c in zip(head, r, strict=False)) for r in body[:rows]]
-                    out.append((page_id, i, head, len(body), "\n".join(told)))
+            out = [(page_id, *t) for page_id, html in zip(frame["page_id"], frame["html"], strict=True) for t in _summaries(html, rows)]
             yield pd.DataFrame(out, columns=["page_id", "table_index", "columns", "n_rows", "summary"])
 
-    return pages.select("page_id", "html").mapInPandas(task, "page_id long, table_index int, columns array<string>, n_rows int, summary string")
+    return pages.select("page_id", "html").mapInPandas(task, f"page_id long, {TABLE}")
+
+
+class TablesOf:
+    """A table function of SQL: html_tables(html, rows) gives the rows of tables() for one page."""
+
+    def eval(self, html: str, rows: int = 25) -> Iterator[tuple[int, list[str], int, str]]:
+        yield from _summaries(html, rows)
