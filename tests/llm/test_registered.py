@@ -1,7 +1,9 @@
 """The registered queries of the subpackage, over whole tables: against their SQL, a library, or a plain version."""
 
 import hashlib
+import math
 import os
+import re
 import sys
 from collections import Counter
 
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanery.llm import mixing, packing, queries, toxicity
+from gleanery.llm import language_id, mixing, packing, queries, toxicity
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_documents import brute_groups, generalised  # noqa: E402
@@ -24,7 +26,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "benchmark", "conversations", "labels", "embeddings"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return connection
 
@@ -48,6 +50,83 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(tuple, frame.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in wanted.fetchall()), key=str)
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) & MASK
+    return x ^ (x >> 31)
+
+
+def plain_hash(codes, factors):
+    return plain_mix((sum(c * int(f) for c, f in zip(codes, factors, strict=False)) + len(codes)) & MASK)
+
+
+def plain_grams(text):
+    codes = [ord(c) for c in text.lower()]
+    return Counter((plain_hash(codes[i : i + n], language_id._FACTOR) >> 48) & (language_id.BUCKETS - 1) for n in (1, 2, 3) for i in range(len(codes) - n + 1))
+
+
+def test_language_scores_equal_their_definition(spark, docs):
+    """Inverse document frequencies of all training texts, and each text's softmax of weights on its TF-IDF n-grams."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", language_id.is_held_out(F.col("doc_id"), 5, 0))
+    model = language_id.train(frame.where("NOT held_out"))
+    taught, df = [t for i, t, lang, _ in docs if lang and t is not None and not held_out(i, 5, 0)], Counter()
+    for t in taught:
+        df.update(plain_grams(t).keys())
+    for b in [*list(df)[:500], 7, 65_535]:
+        assert model.table[b, -1] == pytest.approx(math.log((1 + len(taught)) / (1 + df[b])) + 1)
+    got = {r["doc_id"]: r for r in language_id.predict(frame, model).collect()}
+    for i, text, _, _ in docs[:60]:
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        counts = plain_grams(text)
+        x = {b: n * (math.log((1 + len(taught)) / (1 + df[b])) + 1) for b, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        scores = [sum(v / norm * model.table[b, k] / model.table[b, -1] for b, v in x.items()) / model.divisor for k in range(len(model.languages))]
+        total = sum(math.exp(v - max(scores)) for v in scores)
+        best = max(range(len(scores)), key=lambda k: scores[k])
+        assert got[i]["lang_pred"] == model.languages[best] and got[i]["score"] == pytest.approx(1 / total, abs=1e-9)
+
+
+def plain_toxicity(text, model, known):
+    """A word's log-ratio, character by character from the longest n-gram that is known; then the features' logistic."""
+    words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text or "")
+    ratios = []
+    for w in words:
+        codes, total = [ord(c) for c in toxicity._PAD * (toxicity.ORDER - 1) + w.lower() + toxicity._END], 0.0
+        for end in range(toxicity.ORDER, len(codes) + 1):
+            r = 0.0
+            for n, grams, rests in known:
+                own = codes[end - n : end]
+                key = plain_hash(own, toxicity._FACTOR)
+                r = grams[key] if key in grams else r + rests.get(plain_hash(own[:-1], toxicity._FACTOR), 0.0)
+            total += r
+        ratios.append((total, len(w) + 1))
+    x = sorted((t / n for t, n in ratios), reverse=True)[: toxicity.STRONGEST]
+    x += [0.0] * (toxicity.STRONGEST - len(x))
+    x += [sum(t for t, _ in ratios) / sum(n for _, n in ratios), math.log1p(len(words))] if words else [0.0, 0.0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*x, 1.0], model.weights, strict=True))))
+
+
+def toxicity_by_definition(spark, rows, labels):
+    """{doc_id: score} of rows (doc_id, text), from the model's tables."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(frame.where(~toxicity.is_held_out(F.col("doc_id"), 4, 2)), labels)
+    known = [(n, dict(zip(grams.tolist(), ratios.tolist(), strict=True)), dict(zip(contexts.tolist(), rests.tolist(), strict=True))) for n, grams, ratios, contexts, rests in model.levels]
+    return {i: plain_toxicity(t, model, known) for i, t in rows}
+
+
+def test_toxicity_scores_equal_their_definition(spark, docs):
+    some = [(i, t) for i, t, _, _ in docs] + [(10_001, None), (10_002, ""), (10_003, "ÉTÉ you Fool-fool")]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wanted = toxicity_by_definition(spark, some, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark.createDataFrame(some, "doc_id long, text string"), labels).collect()}
+    assert {i: pytest.approx(v, abs=1e-6) for i, v in wanted.items()} == got
+
+
 def test_language_query(spark, docs):
     got = {r["doc_id"]: r for r in queries.op3_language_id(spark, SF).collect()}
     assert len(got) == len(docs) and all(r["held_out"] == held_out(i, 5, 0) and 0 <= r["score"] <= 1 for i, r in got.items())
@@ -110,28 +189,44 @@ def test_pack_query(spark, docs):
     assert joined == {i: [*library.encode_ordinary(t), packing.END] for i, t, _, _ in docs if t}
 
 
-def test_mixing_query(spark, docs):
-    """Whole epochs of every document of a source, and of the next one those first in its permutation that still fit."""
-    frame = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = queries.op10_mix_sources(spark, SF).collect()
+def drawn_by_definition(spark, rows):
+    """{doc_id: times} of rows (doc_id, text, source): weights by a power of the sources' shares that brings their
+    entropy half-way to the uniform one, whole epochs of every document, and of the next one those first in its
+    permutation that still fit."""
+    size, total = {i: len((t or "").split()) for i, t, _ in rows}, Counter()
+    for i, _, s in rows:
+        total[s] += size[i]
+    total = {s: n for s, n in total.items() if n}
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    entropy = lambda w: -sum(p * math.log(p) for p in w.values())
+    power = lambda a: {s: p**a / sum(q**a for q in share.values()) for s, p in share.items()}
+    wanted = (entropy(share) + math.log(len(share))) / 2
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        w = power(a)
+        fits = entropy(w) <= wanted and all(w[s] * sum(total.values()) <= 4.0 * total[s] for s in w)
+        low, high = (low, a) if fits else (a, high)
+    weight, out = power(high), Counter()
     key = F.xxhash64("doc_id", "text")
-    sized = frame.select("source", key.alias("key"), mixing.word_count(F.col("text")).alias("n_tokens"))
-    plan = {r["source"]: r for r in mixing.source_plan(sized, None, 4.0, None).collect()}
-    places = {e: {r["doc_id"]: r["p"] for r in frame.select("doc_id", mixing.place(key, F.lit(e), 0).alias("p")).collect()} for e in {r["whole"] for r in plan.values()}}
-    size = {i: len((t or "").split()) for i, t, _, _ in docs}
-    words = {r["doc_id"]: r["n_tokens"] for r in rows}
-    wanted = Counter()
-    for source, p in plan.items():
-        own = [i for i, _, _, s in docs if s == source]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for s, n in total.items():
+        drawn = math.floor(weight[s] * sum(total.values()) + 1e-9)
+        whole, left, own = drawn // n, drawn % n, [i for i, _, t in rows if t == s]
         for i in own:
-            wanted[i] += p["whole"]
-        left = p["rest"]
-        for i in sorted(own, key=places[p["whole"]].get):
-            left -= words.get(i, size[i])
+            out[i] += whole
+        at = {r["doc_id"]: r["p"] for r in frame.select("doc_id", mixing.place(key, F.lit(whole), 0).alias("p")).collect()}
+        for i in sorted(own, key=at.get):
+            left -= size[i]
             if left < 0:
                 break
-            wanted[i] += 1
-    assert Counter(r["doc_id"] for r in rows) == +wanted
+            out[i] += 1
+    return +out
+
+
+def test_mixing_query(spark, docs):
+    rows = queries.op10_mix_sources(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in rows) == drawn_by_definition(spark, [(i, t, s) for i, t, _, s in docs])
 
 
 def test_pipeline_stages(spark, duck):
@@ -140,7 +235,7 @@ def test_pipeline_stages(spark, duck):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "near-duplicates", "decontamination", "mixing", "packing"]
     clean = stages["toxicity"](spark, before, SF).cache()
-    scored = {r["doc_id"]: r["score"] for r in toxicity.toxicity(before.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    scored = toxicity_by_definition(spark, [tuple(r) for r in before.select("doc_id", "text").collect()], spark.read.parquet(f"{SF}/labels.parquet"))
     kept = [r for r in clean.collect()]
     assert clean.columns == before.columns and {r["doc_id"] for r in kept} == {i for i, s in scored.items() if s < toxicity.THRESHOLD}
     single = stages["near-duplicates"](spark, clean, SF).cache()
@@ -152,7 +247,7 @@ def test_pipeline_stages(spark, duck):
     assert {r["doc_id"] for r in pure.collect()} == {i for (i,) in connection.sql(f"SELECT doc_id FROM ({queries.OP1_SQL}) WHERE NOT contaminated").fetchall()}
     mixed = stages["mixing"](spark, pure, SF).cache()
     assert mixed.columns == before.columns
-    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(r["doc_id"] for r in mixing.mixture(pure).collect())
+    assert Counter(r["doc_id"] for r in mixed.collect()) == drawn_by_definition(spark, [tuple(r) for r in pure.select("doc_id", "text", "source").collect()])
     packed = packing.unpacked(stages["packing"](spark, mixed, SF)).where("part = 0").collect()
     assert Counter(r["doc_id"] for r in packed) == Counter(r["doc_id"] for r in mixed.where("text <> ''").collect())
 
