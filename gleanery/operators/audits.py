@@ -268,3 +268,9 @@ def dataset_statistics(rows: DataFrame, by: str) -> DataFrame:
     out = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(words), 4).alias("mean_words"), F.round(F.countDistinct("question") / F.count("*"), 4).alias("distinct_share"))
     total = rows.agg(F.count("*").alias("_all"))
     return out.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("_all"), 4)).drop("_all")  # one row is broadcast
+
+
+def deltas(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before, after, delta) of the keys that two runs (key, value) have both measured."""
+    met = before.select(key, F.col(value).alias("before")).join(after.select(key, F.col(value).alias("after")), key)
+    return met.withColumn("delta", F.col("after") - F.col("before"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokens
 from gleanery.operators.retrieval import ranked
+from gleanery.operators.steps import written
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,13 @@ def card(fields: Mapping[str, Column]) -> Column:
     return F.concat(told, F.lit("."))
 
 
+def alias_table(rows: DataFrame) -> DataFrame:
+    """(alias, id, phrase): the aliases of rows (id, aliases) in lower case, and whether they are several words; an alias
+    that is null or blank is none."""
+    each = rows.select("id", F.explode("aliases").alias("alias")).where(F.trim("alias") != "")
+    return each.select(F.lower(F.trim("alias")).alias("alias"), "id", F.trim("alias").rlike(r"\s").alias("phrase")).distinct()
+
+
 def _has(words: Sequence[str]) -> Column:
     """Whether the question (``plain``) has one of the words or phrases."""
     spaced = F.concat(F.lit(" "), F.col("plain"), F.lit(" "))
@@ -80,11 +88,10 @@ def named_entities(questions: DataFrame, entities: DataFrame, rules: EntityRules
     words = F.split("plain", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.struct(i.alias("at"), (i + n).alias("end"), F.array_join(F.slice(words, i, n), " ").alias("phrase")))))
     met = questions.where(F.length("plain") > 0).select("query_id", F.explode(runs).alias("r")).select("query_id", "r.*").join(every, "phrase")
-    spans = met.select("query_id", "at", "end").distinct()
-    inner, outer = spans.alias("i"), spans.alias("o")
-    inside = (F.col("i.query_id") == F.col("o.query_id")) & (F.col("o.at") <= F.col("i.at")) & (F.col("o.end") >= F.col("i.end")) & (F.col("o.end") - F.col("o.at") > F.col("i.end") - F.col("i.at"))
-    kept = inner.join(outer, inside, "left_anti")
-    return met.join(kept, ["query_id", "at", "end"], "left_semi").select("query_id", "kind", "entity_id").distinct()
+    # a question's runs are few, whatever the number of entities that they name
+    spans = met.groupBy("query_id").agg(F.collect_set(F.struct("at", "end")).alias("spans"))
+    inside = F.exists("spans", lambda o: (o["at"] <= F.col("at")) & (o["end"] >= F.col("end")) & (o["end"] - o["at"] > F.col("end") - F.col("at")))
+    return met.join(spans, "query_id").where(~inside).select("query_id", "kind", "entity_id").distinct()
 
 
 def entity_search(questions: DataFrame, entities: DataFrame, rules: EntityRules) -> DataFrame:
@@ -92,8 +99,9 @@ def entity_search(questions: DataFrame, entities: DataFrame, rules: EntityRules)
     for each question (query_id, text); ties by the order of kinds, then by name and id. An entity is told once."""
     asked = questions.select("query_id", plain(F.col("text")).alias("plain"))
     opened = F.filter(F.array(*[F.when(_has(x.gate), F.lit(x.kind)) for x in rules.lookups]), F.isnotnull)
-    asked = asked.withColumn("open", opened)
+    asked = written(asked.withColumn("open", opened), "questions")
     named = named_entities(asked, entities, rules)
+    named = written(named, "named")
     kinds = named.groupBy("query_id").agg(F.collect_set("kind").alias("named"))
     asked = asked.join(kinds, "query_id", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
     score = F.when(F.coalesce("confidence", F.lit(0.5)) >= rules.sure, rules.high).otherwise(rules.low)

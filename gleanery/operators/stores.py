@@ -209,3 +209,9 @@ def from_http_date(text: Column) -> Column:
     month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.regexp_extract(text, r"^[A-Za-z]{3}, [0-9]{2} ([A-Za-z]{3}) ", 1))
     part = lambda i: F.regexp_extract(text, r"^[A-Za-z]{3}, ([0-9]{2}) [A-Za-z]{3} ([0-9]{4}) ([0-9:]{8}) GMT$", i)
     return F.try_to_timestamp(F.concat(part(2), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), part(1), F.lit(" "), part(3)), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def fanned_out(rows: DataFrame, column: str, kind: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of a JSON list (``kind``: its type) in a column, each with the keys of the row that holds it; a list that
+    is null or no JSON gives none."""
+    return rows.select(*keys, F.inline(F.from_json(column, kind)))

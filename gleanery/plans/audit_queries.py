@@ -317,9 +317,9 @@ def dataset_statistics(spark, sf_dir):
 
 @query("""SELECT a.o_orderkey, a.ms AS before, b.ms AS after, b.ms - a.ms AS delta FROM (SELECT o_orderkey, o_custkey % 90 AS ms FROM orders) a JOIN (SELECT l_orderkey, sum(l_quantity)::BIGINT AS ms FROM lineitem GROUP BY 1) b ON l_orderkey = o_orderkey""")
 def latency_deltas(spark, sf_dir):
-    a = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 90).alias("before"))
-    b = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("after"))
-    return a.join(b, "o_orderkey").withColumn("delta", F.col("after") - F.col("before"))
+    a = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 90).alias("ms"))
+    b = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("ms"))
+    return A.deltas(a, b, "o_orderkey", "ms")
 
 
 @query("""SELECT doc_id, CASE WHEN length(m) > 60 THEN 1 ELSE 3 END::INTEGER AS n_keys FROM (SELECT doc_id, repeat('x', CAST(doc_id % 100 AS INTEGER)) AS m FROM documents)""")

@@ -216,22 +216,23 @@ def trusted_contexts(spark, sf_dir):
 @query(f"""SELECT doc_id, {_sql_any(['exploit', 'steal'], 'text')} OR ({_sql_any(['password', 'license'], 'text')} AND NOT {_sql_any(['reset', 'the'], 'text')}) AS refuse, {_sql_any(['dial', 'call us'], 'text')} OR regexp_matches(text, '[0-9]{{4,}}') AS answers FROM documents""")
 def refused_requests(spark, sf_dir):
     text = F.col("text")
-    answers = any_term(text, ["dial", "call us"]) | text.rlike("[0-9]{4,}")
+    answers = R.answers(text, ["dial", "call us"], "[0-9]{4,}")
     return read(spark, sf_dir, "documents").select("doc_id", reveals_secret(text, ["exploit", "steal"], ["password", "license"], ["reset", "the"]).alias("refuse"), answers.alias("answers"))
 
 
 @query("""SELECT conv_id, turn, length(text) BETWEEN 1 AND 400 AS accepted, CASE WHEN conv_id % 3 = 0 THEN 'h' || conv_id WHEN conv_id % 3 = 1 THEN 's' || conv_id ELSE 'anonymous' END AS client FROM conversations""")
 def question_guard(spark, sf_dir):
     i = F.col("conv_id").cast("string")
-    client = F.coalesce(F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("h"), i)), F.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("s"), i)), F.lit("anonymous"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").between(1, 400).alias("accepted"), client.alias("client"))
+    host, session = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("h"), i)), F.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("s"), i))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", R.question_allowed(F.col("text")).alias("accepted"), R.client_key(host, session).alias("client"))
 
 
 @query("""SELECT doc_id, text IS NOT NULL AS own, coalesce(text, 'none') AS shown, coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, lang) AS title FROM documents""".replace("text IS NOT NULL AS own, coalesce(text, 'none') AS shown, ", ""))
 def projected_contexts(spark, sf_dir):
     """Fields of a chunk, those of its metadata where they are missing."""
-    meta = F.create_map(F.lit("title"), F.col("lang"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("source")), meta["title"]).alias("title"))
+    own = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", own.alias("title"), F.create_map(F.lit("title"), F.col("lang")).alias("meta"))
+    return R.projected(rows, ["title"]).select("doc_id", "title")
 
 
 @query(f"SELECT doc_id, rank FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents WHERE source IN {sql_in(['src0', 'src1'])} AND len(list_intersect({_WORDS}, {sql_list(['the', 'und'])})) > 0) WHERE rank <= 20")

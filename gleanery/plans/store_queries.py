@@ -186,7 +186,7 @@ def keyed_fanout(spark, sf_dir):
     """One JSON list of each row as rows."""
     nation = read(spark, sf_dir, "nation")
     listed = F.to_json(F.array(F.struct(F.lit("home").alias("kind"), F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example/")).alias("url")), F.struct(F.lit("map").alias("kind"), F.concat(F.lit("https://maps.example/"), F.col("n_nationkey").cast("string")).alias("url"))))
-    return nation.select("n_nationkey", "n_name", F.inline(F.from_json(listed, "array<struct<kind: string, url: string>>")))
+    return S.fanned_out(nation.withColumn("listed", listed), "listed", "array<struct<kind: string, url: string>>", ["n_nationkey", "n_name"])
 
 
 @query("""SELECT n_nationkey, c_custkey, c_acctbal FROM (SELECT n_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) AS i FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE i <= 20""")

@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import fuzzy
+from gleanery.functions import mining as M
 from gleanery.functions import rules as K
 from gleanery.functions import text as T
 from gleanery.operators import stores as S
 from gleanery.operators import patterns as P
 from gleanery.operators.evidence import top_evidence
+from gleanery.operators.entities import alias_table
 from gleanery.operators.graph import cooccurrence
 from gleanery.plans.common import STOPWORDS, Family, read, sql_in, sql_list, sql_text
 
@@ -145,6 +147,31 @@ def text_chrome_lines(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_chrome(framed, ["skip to content", "back to top"], ["select language"], ["register now"]).alias("clean"))
 
 
+_FIELDS = {
+    "heads": M.name_pattern(["dean of", "head"], ["Prof.", "Dr."]),
+    "grades": M.grade_pattern(["accredited", "grade"], ["A", "B", "Very Good"]),
+    "places": M.address_pattern(["Rue de", "Jalan"]),
+    "emails": M.email_pattern(["mail2.example.com", "mail3.example.com", "mail5.example.com"]),
+}
+_CARD = """translate(source, '0123456789', 'abcdefghij')"""
+_TOLD = f"""SELECT doc_id, text || chr(10) || 'The Dean of all ' || lang || ': Prof. Dr. ' || upper(lang[1]) || lang[2:] || ' ' || upper({_CARD}[1]) || {_CARD}[2:] || ' the rest. Head - Anna' || chr(10) || 'accredited with grade ' || CASE WHEN lang = 'en' THEN 'A' ELSE 'Very Good' END || ', Rue de L' || lang || ' No. ' || doc_id || ' x, ' AS text FROM documents"""
+
+
+_FIRSTS = lambda l: f"array_to_string(list_filter({l}, lambda x, i: list_position({l}, x) = i), '|')"
+
+
+@query(f"""SELECT doc_id, {', '.join(_FIRSTS(f"l_{k}") + f" AS {k}" for k in (*_FIELDS, "phones"))} FROM (SELECT doc_id, {', '.join(f"list_transform(regexp_extract_all(text, {sql_text(p)}, 1), lambda x: trim(x)) AS l_{k}" for k, p in _FIELDS.items())},
+list_filter(list_transform(regexp_extract_all(text, {sql_text(M._NUMBER)}, 1), lambda x: regexp_replace(x, '[^0-9+]', '', 'g')), lambda x: regexp_matches(x, {sql_text(r'^\+1[2-9][0-9]{9}$')})) AS l_phones FROM ({_TOLD}))""")
+def text_field_mining(spark, sf_dir):
+    """Names, grades, addresses, telephone numbers and e-mail addresses, checked and in one form."""
+    docs, first = read(spark, sf_dir, "documents"), lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+    card = F.translate("source", "0123456789", "abcdefghij")
+    grade = F.when(F.col("lang") == "en", "A").otherwise("Very Good")
+    parts = ["text", F.lit("\nThe Dean of all "), "lang", F.lit(": Prof. Dr. "), first(F.col("lang")), F.lit(" "), first(card), F.lit(" the rest. Head - Anna\naccredited with grade "), grade, F.lit(", Rue de L"), "lang", F.lit(" No. "), F.col("doc_id").cast("string"), F.lit(" x, ")]
+    found = M.mined(docs.select("doc_id", F.concat(*parts).alias("text")), "text", _FIELDS, r"^\+1[2-9][0-9]{9}$")
+    return found.select("doc_id", *[F.array_join(c, "|").alias(c) for c in (*_FIELDS, "phones")])
+
+
 EXPANSIONS = {"password": ["reset", "account"], "license": ["apache license"], "the": ["that"], "with": ["by-nc", "nd", "html"], "from": ["e-mail", "of nd"]}
 _EXPANDED = f"""WITH r AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), {sql_text(T.TOKENIZERS['hyphenated'])}), lambda t: length(t) > 2) AS raw FROM benchmark),
 c AS (SELECT item_id, CASE WHEN len(list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)})) > 0 THEN list_filter(raw, lambda t: t NOT IN {sql_in(STOPWORDS)}) ELSE raw END AS w FROM r),
@@ -349,6 +376,5 @@ def text_noise_kinds(spark, sf_dir):
 @query("""WITH a AS (SELECT n_nationkey, unnest([n_name, 'land of ' || n_name]) AS alias FROM nation) SELECT lower(alias) AS alias, n_nationkey AS id, contains(alias, ' ') AS phrase FROM a""")
 def text_alias_tables(spark, sf_dir):
     """Aliases of one word and of several, each to what it stands for."""
-    every = F.explode(F.array(F.col("n_name"), F.concat(F.lit("land of "), "n_name"))).alias("alias")
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", every)
-    return rows.select(F.lower("alias").alias("alias"), F.col("n_nationkey").alias("id"), (F.size(F.split("alias", " ")) > 1).alias("phrase"))
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_name"), F.concat(F.lit("land of "), "n_name")).alias("aliases"))
+    return alias_table(rows)

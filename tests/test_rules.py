@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleanery.functions import intents, text, urls
-from gleanery.operators import audits, conversation, retrieval, stores
+from gleanery.functions import intents, mining, text, urls
+from gleanery.operators import audits, conversation, entities, retrieval, search, stores
 
 R = intents.Rule
 RULES = (R("fee", any_of=("biaya", "uang kuliah"), none_of=("gratis",), confidence=0.9), R("kip", any_of=("kip-k",), priority=4), R("hello", equal=("Hi  there",), confidence=0.8), R("short", most_words=1), R("map", url=("/MAP",), no_url=("old",)))
@@ -106,3 +106,32 @@ def test_batches_by_a_hash(spark):
     rows = spark.range(95).select(F.col("id"), F.lit("x").alias("text"))
     sizes = [r["count"] for r in stores.batched(rows, 10, "id").groupBy("batch").count().collect()]
     assert sum(sizes) == 95 and len(sizes) == 10 and stores.batched(rows.limit(0), 10, "id").count() == 0
+
+
+def test_fields_are_mined(spark):
+    patterns = {"dean": mining.name_pattern(["dekan", "dean"]), "grade": mining.grade_pattern(["akreditasi", "terakreditasi"], ["A", "B", "Unggul", "Baik Sekali"]), "email": mining.email_pattern(["umb.example"]), "address": mining.address_pattern(["Jl.", "Jalan"], ["No.", "Nomor"])}
+    cases = [
+        ("Dekan Fakultas Teknik: Prof. Dr. Budi Santoso dan", ["Prof. Dr. Budi Santoso"], [], [], [], []),
+        ("dekan adalah Anna Maria Li\nDean - Anna Maria Li", ["Anna Maria Li"], [], [], [], []),
+        ("Terakreditasi Unggul; akreditasi: B, akreditasi Biasa", [], ["Unggul", "B"], [], [], []),
+        ("tulis a.b@umb.example atau x@other.example", [], [], ["a.b@umb.example"], [], []),
+        ("di Jl. Meruya Selatan No. 1 Jakarta, Indonesia", [], [], [], ["Jl. Meruya Selatan No. 1 Jakarta"], []),
+        ("Telp (021) 584-0816, +62 812 3456 7890 atau 12", [], [], [], [], ["0215840816", "+6281234567890"]),
+        (None, [], [], [], [], []),
+    ]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    got = mining.mined(frame, "t", patterns, r"^(\+62|62|0)[1-9][0-9]{6,13}$").orderBy("i").collect()
+    assert [(r["t"], r["dean"], r["grade"], r["email"], r["address"], r["phones"]) for r in got] == cases
+
+
+def test_small_operators(spark):
+    rows = spark.createDataFrame([(1, None, {"title": "m", "host": "h"}), (2, "own", {"title": "m"})], "id int, title string, meta map<string,string>")
+    assert [tuple(r) for r in search.projected(rows, ["title", "host"]).select("id", "title", "host").orderBy("id").collect()] == [(1, "m", "h"), (2, "own", None)]
+    one = spark.range(1).select(search.question_allowed(F.lit(None).cast("string")), search.question_allowed(F.lit("x" * 401)), search.client_key(F.lit(""), F.lit("s")), search.client_key(F.lit(None).cast("string"), F.lit(None).cast("string")), search.answers(F.lit("call us"), ["dial", "call us"], "[0-9]{4,}"), search.answers(F.lit(None).cast("string"), ["dial"], "x"))
+    assert tuple(one.first()) == (False, False, "s", "anonymous", True, False)
+    listed = spark.createDataFrame([(1, '[{"a": 1}, {"a": 2}]'), (2, "torn"), (3, None), (4, "[]")], "k int, j string")
+    assert sorted(map(tuple, stores.fanned_out(listed, "j", "array<struct<a: int>>", ["k"]).where("a IS NOT NULL").collect())) == [(1, 1), (1, 2)]
+    aliases = spark.createDataFrame([(1, ["A b", " c ", None, ""])], "id int, aliases array<string>")
+    assert sorted(map(tuple, entities.alias_table(aliases).collect())) == [("a b", 1, True), ("c", 1, False)]
+    a, b = (spark.createDataFrame(x, "k int, ms int") for x in ([(1, 5), (2, 6)], [(1, 9), (3, 1)]))
+    assert [tuple(r) for r in audits.deltas(a, b, "k", "ms").collect()] == [(1, 5, 9, 4)]
