@@ -29,6 +29,26 @@ def chunked(docs: DataFrame, size: int, overlap: int, least: int = 1, title: str
     return cut.select("doc_id", "chunk_index", F.size("c").alias("n_words"), (F.concat(F.col(title), F.lit("\n"), body) if title else body).alias("chunk_text"))
 
 
+def segment_chunks(segments: DataFrame, size: int = 900, overlap: int = 120, least: int = 25, pages: tuple[int, int] = (700, 1000)) -> DataFrame:
+    """(all columns but text, chunk_index, n_words, chunk_text) of segments (text, source_type, title, heading and any
+    others that tell where they stand): windows of ``size`` words, for HTML (and where the type is null) within
+    ``pages``, that overlap by so many. A last window of fewer than ``least`` words goes to the one before it. A chunk
+    begins with the title and heading unless its text does. Segments of fewer than ``least`` words give none."""
+    own = [c for c in segments.columns if c not in ("text", "chunk_index", "n_words", "chunk_text")]
+    html = F.coalesce("source_type", F.lit("html")) == "html"
+    wide = F.when(html, min(max(size, pages[0]), pages[1])).otherwise(size)
+    step = F.greatest(wide - overlap, F.lit(1))
+    took = segments.withColumn("_w", F.regexp_extract_all("text", F.lit(TOKENIZERS["unspaced"]), F.lit(0))).where(F.size("_w") >= least)
+    n = F.size("_w")
+    count = F.when(n <= wide, 1).otherwise(F.ceil((n - wide) / step) + 1).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("_w", i * step + 1, wide))
+    tail = (F.size(windows) > 1) & (F.size(F.element_at(windows, -1)) < least)
+    merged_ = F.when(tail, F.concat(F.slice(windows, 1, F.size(windows) - 2), F.array(F.concat(F.element_at(windows, -2), F.element_at(windows, -1))))).otherwise(windows)
+    cut = took.select(*own, F.posexplode(merged_).alias("chunk_index", "_c"))
+    body, before = F.array_join("_c", " "), F.concat_ws(" - ", F.nullif("title", F.lit("")), F.nullif("heading", F.lit("")))
+    return cut.select(*own, "chunk_index", F.size("_c").alias("n_words"), F.when((before == "") | F.startswith(body, before), body).otherwise(F.concat(before, F.lit("\n"), body)).alias("chunk_text"))
+
+
 def upsert_plan(current: DataFrame, incoming: DataFrame, key: str, hashed: str) -> DataFrame:
     """(key, action): insert, touch (same content), replace, keep (not in the incoming rows)."""
     met = current.select(key, F.col(hashed).alias("old")).join(incoming.select(key, F.col(hashed).alias("new")), key, "full")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import entities as E
+from gleanery.operators import layers as L
 from gleanery.plans.common import Family, read, sql_in, sql_list, sql_text
 
 FAMILY = Family()
@@ -101,3 +102,34 @@ SELECT query_id, entity_id, kind, name, card, score, CAST(rank AS INTEGER) AS ra
 def entity_search(spark, sf_dir):
     """Six lookups in one plan."""
     return E.entity_search(_questions(spark, sf_dir), _entities(spark, sf_dir), RULES)
+
+
+# customers are the questions, by their segment; urgent orders, items, orders and what is left the layers
+_LAYERS = """q AS (SELECT c_custkey AS query_id, c_mktsegment AS intent FROM customer), h(intent, label, allowed) AS (VALUES ('BUILDING', 'F', true), ('BUILDING', 'O', false), ('MACHINERY', 'P', true), ('FURNITURE', 'R', false)),
+f AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS id, o_totalprice / 30000 AS score, o_orderstatus AS label, 0.9 AS authority, true AS fits, 0 AS layer FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000),
+e AS (SELECT o_custkey AS query_id, 'a' || o_orderkey AS id, CASE WHEN l_linestatus = 'F' THEN l_quantity / 5 ELSE least(l_quantity / 5, 2.0) END AS score, l_returnflag AS label, CASE WHEN l_discount > 0.05 THEN 0.5 ELSE 0.2 END AS authority, l_linestatus = 'F' AS fits, 1 AS layer
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN q ON q.query_id = o_custkey WHERE l_tax > 0.05 AND intent IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, id) <= 2),
+v AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS id, o_totalprice / 50000 AS score, o_orderstatus AS label, CASE WHEN o_orderpriority < '3' THEN 0.9 ELSE 0.2 END AS authority, true AS fits, 2 AS layer FROM orders WHERE o_orderpriority <> '5-LOW' AND o_totalprice > 50000),
+w AS (SELECT o_custkey AS query_id, 'w' || o_orderkey AS id, 4.0 AS score, o_orderstatus AS label, 0.3 AS authority, true AS fits, 3 AS layer FROM orders WHERE o_orderpriority = '5-LOW'),
+x AS (SELECT u.*, layer < 2 AND fits AS pinned, round(CASE WHEN layer < 2 AND fits THEN score ELSE score + CASE WHEN allowed THEN 3 WHEN NOT allowed THEN -6 ELSE 0 END END, 6)::DOUBLE AS final FROM (FROM f UNION ALL FROM e UNION ALL FROM v UNION ALL FROM w) u JOIN q USING (query_id) LEFT JOIN h USING (intent, label)),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, final DESC, layer, id) AS rank FROM (SELECT * FROM x WHERE layer < 3 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY layer) = 1) QUALIFY rank <= 6)"""
+_SUFFICIENT = "SELECT r.query_id, CASE WHEN layer < 2 AND fits THEN CASE WHEN final >= 12 THEN 0.95 ELSE 0.85 END WHEN authority >= 0.5 AND n >= 2 THEN 0.7 WHEN authority >= 0.5 THEN 0.55 WHEN n >= 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS confidence FROM {0} r JOIN (SELECT query_id, count(*) FILTER (authority >= 0.5) AS n FROM {0} GROUP BY 1) USING (query_id) WHERE rank = 1"
+
+
+@query(f"""WITH {_LAYERS}, s1 AS ({_SUFFICIENT.format('m1')}), y AS (SELECT * FROM x WHERE layer < 3 OR query_id NOT IN (SELECT query_id FROM s1 WHERE confidence >= 0.7)),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, final DESC, layer, id) AS rank FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY layer) = 1) QUALIFY rank <= 6), s2 AS ({_SUFFICIENT.format('m2')})
+SELECT query_id, id, ['faq', 'entity', 'indexed', 'web'][layer + 1] AS source_type, final AS score, pinned, confidence, confidence >= 0.7 AS sufficient, CAST(rank AS INTEGER) AS rank FROM m2 JOIN s2 USING (query_id)""")
+def orchestrated_layers(spark, sf_dir):
+    """All layers of evidence, their gates, hosts and pins, and the last resort of questions with too little, in one plan."""
+    orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    row = lambda f, letter, score, label, authority, fits=F.lit(None).cast("boolean"): f.select(F.col("o_custkey").alias("query_id"), F.concat(F.lit(letter), F.col("o_orderkey").cast("string")).alias("id"), score.alias("score"), F.col(label).alias("label"), authority.alias("authority"), fits.alias("fits"))
+    price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
+    urgent = row(orders.where((priority == "1-URGENT") & (price > 300_000)), "o", price / 30_000, "o_orderstatus", F.lit(0.9))
+    of_items = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey")).where("l_tax > 0.05")
+    entities = row(of_items, "a", F.col("l_quantity") / 5, "l_returnflag", F.when(F.col("l_discount") > 0.05, 0.5).otherwise(0.2), F.col("l_linestatus") == "F")
+    indexed = row(orders.where((priority != "5-LOW") & (price > 50_000)), "o", price / 50_000, "o_orderstatus", F.when(priority < "3", 0.9).otherwise(0.2))
+    web = row(orders.where(priority == "5-LOW"), "w", F.lit(4.0), "o_orderstatus", F.lit(0.3))
+    hosts = spark.sql("SELECT * FROM VALUES ('BUILDING', 'F', true), ('BUILDING', 'O', false), ('MACHINERY', 'P', true), ('FURNITURE', 'R', false) AS t(intent, label, allowed)")
+    layers = [L.Layer("faq", urgent, pinned=True, structured=True), L.Layer("entity", entities, pinned=True, structured=True, intents=("BUILDING", "MACHINERY", "AUTOMOBILE"), most=2), L.Layer("indexed", indexed)]
+    questions = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("intent"))
+    return L.orchestrated(questions, layers, hosts, 6, L.Layer("web", web))

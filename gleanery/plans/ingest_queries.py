@@ -21,6 +21,20 @@ def ingest_chunks(spark, sf_dir):
     return I.chunked(read(spark, sf_dir, "documents"), 200, 40).select("doc_id", "chunk_index", "n_words", I.content_hash(F.col("chunk_text")).alias("chunk_sha256"))
 
 
+@query(f"""WITH s AS (SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS heading, CASE WHEN n_chars > 9000 THEN 'pdf' WHEN lang <> 'fr' THEN 'html' END AS source_type, {_W} AS w FROM documents),
+z AS (SELECT *, CASE WHEN coalesce(source_type, 'html') = 'html' THEN 700 ELSE 300 END AS size FROM s WHERE len(w) >= 25),
+c AS (SELECT *, unnest(generate_series(0, CASE WHEN len(w) <= size THEN 0 ELSE CAST(ceil((len(w) - size) / (size - 120)::DOUBLE) AS BIGINT) END)) AS i FROM z),
+d AS (SELECT *, list_slice(w, i * (size - 120) + 1, i * (size - 120) + size) AS x, max(i) OVER (PARTITION BY doc_id) AS last FROM c),
+e AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM d), f AS (SELECT *, CASE WHEN i = last - 1 AND len(next) < 25 THEN x || next ELSE x END AS y FROM e WHERE i = 0 OR len(x) >= 25),
+g AS (SELECT *, array_to_string(y, ' ') AS body, title || CASE WHEN heading = '' THEN '' ELSE ' - ' || heading END AS before FROM f)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(y) AS INTEGER) AS n_words, sha256(CASE WHEN starts_with(body, before) THEN body ELSE before || chr(10) || body END) AS chunk_sha256 FROM g""")
+def segment_chunks(spark, sf_dir):
+    """Chunks with their titles, by the kind of source; short tails go to the chunk before them."""
+    kind = F.when(F.col("n_chars") > 9000, "pdf").when(F.col("lang") != "fr", "html")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("heading"), kind.alias("source_type"))
+    return I.segment_chunks(rows, 300, 120).select("doc_id", "chunk_index", "n_words", I.content_hash(F.col("chunk_text")).alias("chunk_sha256"))
+
+
 @query("SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def ingest_hash_dedup(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(I.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanery.functions import intents, mining, text, urls
-from gleanery.operators import audits, conversation, entities, retrieval, search, stores
+from gleanery.operators import audits, conversation, entities, ingest, layers, retrieval, search, stores
 
 R = intents.Rule
 RULES = (R("fee", any_of=("biaya", "uang kuliah"), none_of=("gratis",), confidence=0.9), R("kip", any_of=("kip-k",), priority=4), R("hello", equal=("Hi  there",), confidence=0.8), R("short", most_words=1), R("map", url=("/MAP",), no_url=("old",)))
@@ -135,3 +135,51 @@ def test_small_operators(spark):
     assert sorted(map(tuple, entities.alias_table(aliases).collect())) == [("a b", 1, True), ("c", 1, False)]
     a, b = (spark.createDataFrame(x, "k int, ms int") for x in ([(1, 5), (2, 6)], [(1, 9), (3, 1)]))
     assert [tuple(r) for r in audits.deltas(a, b, "k", "ms").collect()] == [(1, 5, 9, 4)]
+
+
+def test_layers_are_gated_demoted_moved_and_pinned(spark):
+    schema = "query_id int, id string, score double, label string, authority double, fits boolean"
+    faq = spark.createDataFrame([(1, "f", 14.0, "x", 0.9, None)], schema)
+    entity = spark.createDataFrame([(1, "e", 10.0, "x", 0.2, False), (2, "e", 10.0, "x", 0.2, True), (2, "e2", 7.0, "x", 0.2, None), (3, "e", 10.0, "x", 0.2, True)], schema)
+    index = spark.createDataFrame([(1, "f", 99.0, "x", 0.9, None), (1, "a", 3.0, "good", 0.9, None), (1, "b", 5.0, "bad", 0.9, None), (3, "c", 1.0, "good", 0.9, None), (4, "d", 1.0, None, 0.1, None)], schema)
+    web = spark.createDataFrame([(q, f"w{q}", 2.0, "x", 0.3, None) for q in (1, 2, 3, 4, 5)], schema)
+    hosts = spark.createDataFrame([("fee", "good", True), ("fee", "bad", False)], "intent string, label string, allowed boolean")
+    questions = spark.createDataFrame([(1, "fee"), (2, "fee"), (3, "other"), (4, "fee"), (5, "fee"), (6, "fee")], "query_id int, intent string")
+    made = [layers.Layer("faq", faq, pinned=True, structured=True), layers.Layer("entity", entity, pinned=True, structured=True, intents=("fee",), most=1), layers.Layer("index", index)]
+    got = {}
+    for r in layers.orchestrated(questions, made, hosts, 4, layers.Layer("web", web)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"], r["pinned"], r["confidence"]))
+    assert got == {
+        1: [("f", 14.0, True, 0.95), ("a", 6.0, False, 0.95), ("e", 2.0, False, 0.95), ("b", -1.0, False, 0.95)],
+        2: [("e", 10.0, True, 0.85)],
+        3: [("w3", 2.0, False, 0.4), ("c", 1.0, False, 0.4)],
+        4: [("w4", 2.0, False, 0.2), ("d", 1.0, False, 0.2)],
+        5: [("w5", 2.0, False, 0.2)],
+    }
+    assert {r["query_id"] for r in layers.orchestrated(questions, made, hosts, 4).collect()} == {1, 2, 3, 4}
+
+
+def plain_chunks(words, size, overlap, least):
+    out = []
+    for start in range(0, len(words), max(size - overlap, 1)):
+        now = words[start : start + size]
+        if len(now) < least and out:
+            out[-1] = out[-1] + now
+            break
+        out.append(now)
+        if start + size >= len(words):
+            break
+    return out if len(words) >= least else []
+
+
+def test_segments_are_cut_with_titles_and_tails(spark):
+    rows, wanted = [], {}
+    for i, (n, kind, title, heading) in enumerate([(30, "pdf", "T", "H"), (9, "pdf", "T", None), (10, "pdf", None, None), (64, "pdf", "", "H"), (70, None, "w0", ""), (135, "html", "T", None), (40, "pdf", "w0 w1", None), (0, "pdf", "T", "H")]):
+        words = [f"w{k}" for k in range(n)]
+        rows.append((i, " \n".join(words), kind, title, heading, i * 2))
+        before = " - ".join(x for x in (title, heading) if x)
+        told = [" ".join(c) for c in plain_chunks(words, 20 if kind == "pdf" else 60, 5, 10)]
+        wanted |= {(i, k, i * 2): c if not before or c.startswith(before) else f"{before}\n{c}" for k, c in enumerate(told)}
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source_type string, title string, heading string, page_number int")
+    got = ingest.segment_chunks(frame, 20, 5, 10, (60, 80)).collect()
+    assert {(r["doc_id"], r["chunk_index"], r["page_number"]): r["chunk_text"] for r in got} == wanted
