@@ -286,7 +286,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     # the tables
     wide = balls.where("alpha > 0").select("ball", "embedding").mapInArrow(_coded(models), "ball long, width int, code binary")
-    wide = wide.join(balls.select("ball", "alpha"), "ball").select("ball", "alpha", "code")
+    # what members are joined with is written before, so that a ball of many members can be split over tasks
+    wide = scratch.keep(wide.join(balls.select("ball", "alpha"), "ball").select("ball", "alpha", "code"), "wide")
     dealt = members.select("embedding", "ball").join(wide, "ball", "left").select("embedding", "ball", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), "code")
     dealt = scratch.keep(dealt.mapInArrow(_dealt(models), _DEALT), "dealt")
     dealt = dealt.where("alpha = 0").union(dealt.where("alpha > 0").dropDuplicates(["width", "place", "key", "ball"]))
@@ -324,7 +325,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     none = F.lit(0).cast("long")
     facts = balls.select("ball", "size").join(to_ball, "ball", "left").join(groups.withColumnRenamed("node", "ball"), "ball", "left")
-    facts = facts.select("ball", (F.col("size") - 1 + F.coalesce("more", none)).alias("of_ball"), F.coalesce("component", "ball").alias("component_id"))
+    facts = scratch.keep(facts.select("ball", (F.col("size") - 1 + F.coalesce("more", none)).alias("of_ball"), F.coalesce("component", "ball").alias("component_id")), "facts")
     # one join by ball, whose largest partitions Spark can split
     told = members.select("rep", "ball").join(facts, "ball").join(to_one, "rep", "left")
     told = told.select("rep", (F.col("of_ball") + F.coalesce("more_one", none)).alias("n_links"), "component_id")
