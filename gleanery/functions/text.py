@@ -275,8 +275,3 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
 def chunks(words: Column, size: int, overlap: int) -> Column:
     """Overlapping windows of an array of words."""
     return F.transform(F.sequence(F.lit(0), (chunk_count(F.size(words), size, overlap) - 1).cast("int")), lambda i: F.slice(words, i * (size - overlap) + 1, size))
-
-
-def matching_terms(text: Column, terms: list[str]) -> Column:
-    """The terms that stand in the text, as an array in the order given."""
-    return F.filter(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]), lambda t: t.isNotNull())

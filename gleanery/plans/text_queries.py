@@ -300,7 +300,8 @@ GAZETTEER = ["the", "nation", "license", "apache license", "password"]
 
 @query("SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {sql_text(f'(^|{T.GAP}){t.replace(chr(32), chr(91) + chr(32) + chr(92) + chr(116) + chr(92) + chr(110) + chr(93) + chr(43))}({T.GAP}|$)')}) THEN '{t}' END" for t in GAZETTEER) + "], lambda t: t IS NOT NULL)) AS entity FROM documents")
 def text_entities(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.matching_terms(F.col("text"), GAZETTEER)).alias("entity"))
+    terms = spark.createDataFrame([(t,) for t in GAZETTEER], "term string")
+    return P.occurrences(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), terms).select(F.col("id").alias("doc_id"), F.col("term").alias("entity"))
 
 
 # a gazetteer of the sample: frequent words, phrases of the benchmark, and names with other characters
