@@ -126,8 +126,8 @@ def severities(alerts: DataFrame, levels: Sequence[str]) -> DataFrame:
 
 
 def json_sizes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, mean, largest, total): characters of each column as JSON."""
-    sized = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.char_length(F.to_json(F.struct(F.col(c).alias("v")))).alias("n")) for c in columns])).alias("s")).select("s.*")
+    """(column, n, mean, largest, total): characters of each column as JSON; a null is written as one."""
+    sized = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.char_length(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})).alias("n")) for c in columns])).alias("s")).select("s.*")
     return sized.groupBy("column").agg(F.count("*").alias("n"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("largest"), F.sum("n").alias("total"))
 
 

@@ -136,8 +136,7 @@ def alert_severities(spark, sf_dir):
 
 @query("""SELECT col AS "column", count(*) AS n, round(avg(c), 4)::DOUBLE AS mean, max(c)::INTEGER AS largest, sum(c)::BIGINT AS total FROM (SELECT 'source' AS col, length(to_json({v: source})) AS c FROM documents UNION ALL SELECT 'doc_id', length(to_json({v: doc_id})) FROM documents UNION ALL SELECT 'lang', length(to_json({v: lang})) FROM documents) GROUP BY 1""")
 def json_sizes(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
-    return A.json_sizes(docs, ["source", "doc_id", "lang"])
+    return A.json_sizes(read(spark, sf_dir, "documents"), ["source", "doc_id", "lang"])
 
 
 # what has been found of pages, by eight groupings
@@ -241,11 +240,11 @@ def claim_gate(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id AS answer_id, turn AS claim, text, unnest([turn - 1, turn + 1, 99]) AS id, unnest([0, 1, 2]) AS pos FROM conversations WHERE role = 'assistant')
-SELECT answer_id, claim, coalesce(string_agg(left(v.text, 50), chr(10) ORDER BY pos), '') AS premise FROM c LEFT JOIN conversations v ON v.conv_id = answer_id AND v.turn = id GROUP BY 1, 2""")
+SELECT answer_id, claim, coalesce(string_agg(v.text, chr(10) ORDER BY pos), '') AS premise FROM c LEFT JOIN conversations v ON v.conv_id = answer_id AND v.turn = id GROUP BY 1, 2""")
 def claim_contexts(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     claims = turns.where("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim"), "text", F.array(F.col("turn") - 1, F.col("turn") + 1, F.lit(99)).alias("cited"))
-    return A.claim_contexts(claims, turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("id"), F.substring("text", 1, 50).alias("context"))).drop("text")
+    return A.claim_contexts(claims, turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("id"), F.col("text").alias("context"))).drop("text")
 
 
 @query("""SELECT lang AS question, other AS source, CASE WHEN lang = 'auto' OR other = 'auto' OR lang = other THEN 0.0 ELSE 0.15 END::DOUBLE AS penalty, n FROM (SELECT coalesce(lang, 'auto') AS lang, CASE WHEN doc_id % 4 = 0 THEN 'auto' WHEN doc_id % 4 = 1 THEN 'en' ELSE coalesce(lang, 'auto') END AS other, count(*) AS n FROM documents GROUP BY 1, 2)""")
@@ -331,9 +330,9 @@ def metadata_prune_long(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(cut).alias("n_keys"))
 
 
-@query("""WITH u AS (SELECT trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS question, text, conv_id, turn FROM conversations WHERE role = 'user' AND length(text) >= 12 AND conv_id % 10 < 9)
+@query("""WITH u AS (SELECT trim(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS question, text, conv_id, turn FROM conversations WHERE role = 'user' AND length(text) >= 12)
 SELECT question, count(*) AS n, arg_min(text, conv_id * 1000 + turn) AS shown FROM u GROUP BY 1 ORDER BY n DESC, question LIMIT 20""")
 def top_questions(spark, sf_dir):
     """The most asked questions of a window, long enough, shown as first asked."""
-    asked = read(spark, sf_dir, "conversations").where("role = 'user' AND char_length(text) >= 12 AND conv_id % 10 < 9")
+    asked = read(spark, sf_dir, "conversations").where("role = 'user' AND char_length(text) >= 12")
     return asked.groupBy(T.normalized(F.col("text")).alias("question")).agg(F.count("*").alias("n"), F.min_by("text", F.struct("conv_id", "turn")).alias("shown")).orderBy(F.desc("n"), "question").limit(20)

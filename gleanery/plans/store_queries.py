@@ -143,11 +143,12 @@ def accepted_scores(spark, sf_dir):
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
 
 
-@query(f"""SELECT host, CASE WHEN host = 'www.example.com' THEN 0 ELSE 1 END AS place FROM (SELECT {_HOST} AS host FROM pages WHERE page_id % 2 = 0 UNION SELECT {_HOST} FROM pages WHERE page_id % 3 = 0 UNION SELECT 'www.example.com' UNION SELECT source FROM documents) WHERE host <> ''""")
+@query(f"""SELECT host, CASE WHEN host = 'www.example.com' THEN 0 ELSE 1 END AS place FROM (SELECT {_HOST} AS host FROM pages WHERE starts_with(url, 'https:') UNION SELECT {_HOST} FROM pages WHERE NOT starts_with(url, 'https:') UNION SELECT 'www.example.com' UNION SELECT source FROM documents) WHERE host <> ''""")
 def distinct_hosts(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1)).alias("host"))
+    pages = read(spark, sf_dir, "pages").select("url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1)).alias("host"))
+    safe = F.startswith("url", F.lit("https:"))
     root = spark.createDataFrame([("www.example.com",)], "host string")
-    return S.hosts_of([pages.where("page_id % 2 = 0"), pages.where("page_id % 3 = 0"), root, read(spark, sf_dir, "documents").select(F.col("source").alias("host"))], "www.example.com")
+    return S.hosts_of([pages.where(safe), pages.where(~safe), root, read(spark, sf_dir, "documents").select(F.col("source").alias("host"))], "www.example.com")
 
 
 @query("""SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS kinds FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING bool_and(o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))""")
