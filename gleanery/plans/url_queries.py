@@ -17,7 +17,7 @@ _ODD = {
     0: "/%61dmin/x", 1: "//a///b/?source=2&utm_id=3&REF=x+y", 2: ":443/Berita/;p=1?b=%2A~&a&fbclid=1#frag", 3: "/x?action=yith-woocompare-add-product&id=398", 4: "/author/private/.git", 5: "/style.CSS?v=1", 6: "/", 7: ":8080/a%20b/?q=%zz",
 }
 _BASE = r"regexp_replace(url, '^([a-z]+://[^/?#]*).*$', '\1')"
-_VARIED = f"SELECT page_id, CASE page_id % 10 {' '.join(f'WHEN {i} THEN {_BASE} || ' + chr(39) + odd + chr(39) for i, odd in _ODD.items())} WHEN 8 THEN 'https://web.archive.org/web/20200101000000/' || url ELSE url END AS url FROM pages"
+_VARIED = f"SELECT page_id, CASE page_id % 10 {' '.join(f'WHEN {i} THEN {_BASE} || ' + chr(39) + odd + chr(39) for i, odd in _ODD.items())} WHEN 8 THEN 'https://web.archive.org/web/20200101000000/' || url ELSE url END AS url FROM pages UNION ALL SELECT -page_id - 1, url FROM pages"
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
 _AUTHORITY = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _HOST = f"regexp_extract({_AUTHORITY}, '^(?:.*@)?([^:]*)', 1)"
@@ -44,9 +44,11 @@ _PARTS, _NORMAL = _sql_parts(), _sql_normal()
 
 
 def _varied(spark, sf_dir):
+    """The URLs of all pages, odd forms in place of most, and again (under negative ids) as they are."""
     base = F.regexp_replace("url", "^([a-z]+://[^/?#]*).*$", "$1")
     url = F.coalesce(*[F.when(F.col("page_id") % 10 == i, F.concat(base, F.lit(odd))) for i, odd in _ODD.items()], F.when(F.col("page_id") % 10 == 8, F.concat(F.lit("https://web.archive.org/web/20200101000000/"), "url")), "url")
-    return read(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", url.alias("url")).unionByName(pages.select((-F.col("page_id") - 1).alias("page_id"), "url"))
 
 
 @query(f"SELECT page_id, normalized FROM ({_sql_normal(f'({_VARIED})')})")
@@ -76,7 +78,7 @@ def url_scope_partition(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT page_id, url AS archived, host, regexp_extract(url, '/web/[0-9]+[a-z_]*?/(https?://.+)$', 1) AS url FROM ({_sql_parts(f'({_VARIED})')}))
-SELECT page_id, CASE WHEN n.host IN ('web.archive.org', 'archive.org') AND n.url <> '' THEN m.normalized ELSE archived END AS live FROM n JOIN ({_sql_normal()}) m USING (page_id)""")
+SELECT page_id, CASE WHEN n.host IN ('web.archive.org', 'archive.org') AND n.url <> '' THEN m.normalized ELSE archived END AS live FROM n LEFT JOIN ({_sql_normal()}) m USING (page_id)""")
 def url_archive_live(spark, sf_dir):
     return _varied(spark, sf_dir).select("page_id", U.live_candidate(F.col("url")).alias("live"))
 

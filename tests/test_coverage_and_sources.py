@@ -145,14 +145,14 @@ def test_entities_by_longest_match_guards_and_order(spark):
         lookups=(
             entities.Lookup("faculty", ("dekan", "fakultas", "teknik"), {"teknik": "Fakultas Teknik", "feb": "Fakultas Ekonomi"}, default=2, quiet=("program",)),
             entities.Lookup("program", ("prodi", "kaprodi", "informatika", "akreditasi", "teknik"), {"informatika": "Teknik Informatika"}),
-            entities.Lookup("campus", ("lokasi",), {"me": "Meru"}, contains=True, default=1),
+            entities.Lookup("campus", ("lokasi",), {"me": "Mela"}, contains=True, default=1),
         ),
         guards=(("faculty", "program", ("dekan", "fakultas")),),
         demotions=((("biaya",), ()),),
         orders=((("kaprodi",), ("program", "faculty")),),
         order=("faculty", "program"),
     )
-    table = spark.createDataFrame([("f1", "faculty", "Fakultas Teknik", "c", 0.9), ("f2", "faculty", "Fakultas Ekonomi", "c", None), ("p1", "program", "Teknik Informatika", "c", 0.9), ("p2", "program", "Teknik", "c", 0.9), ("c1", "campus", "Meruya", "c", 0.9), ("c2", "campus", "Bekasi", "c", 0.9)], "entity_id string, kind string, name string, card string, confidence double")
+    table = spark.createDataFrame([("f1", "faculty", "Fakultas Teknik", "c", 0.9), ("f2", "faculty", "Fakultas Ekonomi", "c", None), ("p1", "program", "Teknik Informatika", "c", 0.9), ("p2", "program", "Teknik", "c", 0.9), ("c1", "campus", "Melati", "c", 0.9), ("c2", "campus", "Bekasi", "c", 0.9)], "entity_id string, kind string, name string, card string, confidence double")
     texts = ["Dekan fakultas?", "Kaprodi Teknik Informatika", "dekan dan kaprodi Teknik Informatika di FEB", "biaya prodi teknik", "lokasi me", "lokasi", "", None, "nothing"]
     rows = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
     got = {}

@@ -109,13 +109,13 @@ def test_batches_by_a_hash(spark):
 
 
 def test_fields_are_mined(spark):
-    patterns = {"dean": mining.name_pattern(["dekan", "dean"]), "grade": mining.grade_pattern(["akreditasi", "terakreditasi"], ["A", "B", "Unggul", "Baik Sekali"]), "email": mining.email_pattern(["umb.example"]), "address": mining.address_pattern(["Jl.", "Jalan"], ["No.", "Nomor"])}
+    patterns = {"dean": mining.name_pattern(["dekan", "dean"]), "grade": mining.grade_pattern(["akreditasi", "terakreditasi"], ["A", "B", "Unggul", "Baik Sekali"]), "email": mining.email_pattern(["campus.example"]), "address": mining.address_pattern(["Jl.", "Jalan"], ["No.", "Nomor"])}
     cases = [
         ("Dekan Fakultas Teknik: Prof. Dr. Budi Santoso dan", ["Prof. Dr. Budi Santoso"], [], [], [], []),
         ("dekan adalah Anna Maria Li\nDean - Anna Maria Li", ["Anna Maria Li"], [], [], [], []),
         ("Terakreditasi Unggul; akreditasi: B, akreditasi Biasa", [], ["Unggul", "B"], [], [], []),
-        ("tulis a.b@umb.example atau x@other.example", [], [], ["a.b@umb.example"], [], []),
-        ("di Jl. Meruya Selatan No. 1 Jakarta, Indonesia", [], [], [], ["Jl. Meruya Selatan No. 1 Jakarta"], []),
+        ("tulis a.b@campus.example atau x@other.example", [], [], ["a.b@campus.example"], [], []),
+        ("di Jl. Melati Selatan No. 1 Jakarta, Indonesia", [], [], [], ["Jl. Melati Selatan No. 1 Jakarta"], []),
         ("Telp (021) 584-0816, +62 812 3456 7890 atau 12", [], [], [], [], ["0215840816", "+6281234567890"]),
         (None, [], [], [], [], []),
     ]
