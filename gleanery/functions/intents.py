@@ -7,6 +7,7 @@ in a row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,9 +36,8 @@ class Rule:
 
 
 def _spaced(terms: Sequence[str]) -> list[str]:
-    import re
-
-    return [f" {' '.join(re.findall(r'[^\W]+', t.lower()))} " for t in terms]
+    """Terms as their words with a space on both sides."""
+    return [f" {' '.join(re.findall(r'\w+', t.lower()))} " for t in terms]
 
 
 def _one_of(values: Sequence[str], holds) -> Column:

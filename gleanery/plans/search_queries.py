@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,7 +265,7 @@ def _sql_rules(rules, default, of: str, url: str | None = None) -> str:
     """The same rules over the words ``of`` with a space around each, n of them, as one CASE for a field."""
 
     def holds(r) -> str:
-        spaced = lambda terms: [" " + " ".join(__import__("re").findall(r"[^\W]+", t.lower())) + " " for t in terms]
+        spaced = lambda terms: [" " + " ".join(re.findall(r"\w+", t.lower())) + " " for t in terms]
         has = lambda terms: "(" + " OR ".join(f"contains({of}, {sql_text(t)})" for t in spaced(terms)) + ")"
         at = lambda parts: "(" + " OR ".join(f"contains(lower({url}), {sql_text(p.lower())})" for p in parts) + ")"
         told = [has(r.any_of)] * bool(r.any_of) + [f"NOT {has(r.none_of)}"] * bool(r.none_of) + [f"{of} IN {sql_in(spaced(r.equal))}"] * bool(r.equal)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls as U
