@@ -265,3 +265,23 @@ def test_even_sample_places(spark, rows):
         own = sorted(k for x, k in rows if x == s)
         places = range(len(own)) if len(own) <= 3 else [int(i * len(own) / 3) for i in range(3)]
         assert sorted(r["k"] for r in got if r["s"] == s) == [own[i] for i in places]
+
+
+def test_sentences_keep_their_digits(spark):
+    from gleanery.functions.text import sentences
+
+    frame = spark.createDataFrame([("0 a 0. 148.9 b! 22 c 2?  3 \n 4 d 4",)], "text string")
+    assert frame.select(sentences(F.col("text")).alias("s")).first()["s"] == ["0 a 0.", "148.9 b!", "22 c 2?", "3", "4 d 4"]
+
+
+def test_of_equal_rows_of_an_id_one_that_fits_is_taken(spark):
+    from gleanery.operators.layers import Layer, orchestrated
+
+    rows = "query_id int, id string, score double, label string, authority double, fits boolean"
+    hosts = spark.createDataFrame([], "intent string, label string, allowed boolean")
+    asked = spark.createDataFrame([(1, "x")], "query_id int, intent string")
+    for order in (1, -1):
+        both = [(1, "a", 9.4, "N", 0.2, False), (1, "a", 2.0, "Z", 0.2, True)][::order]
+        for most in (1, 2):
+            told = orchestrated(asked, [Layer("entity", spark.createDataFrame(both, rows).coalesce(1), True, True, most=most)], hosts, 6).collect()
+            assert [(r["id"], r["score"], r["pinned"]) for r in told] == [("a", 2.0, True)]
