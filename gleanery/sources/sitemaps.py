@@ -33,12 +33,12 @@ def entries(maps: DataFrame) -> DataFrame:
     return out.where("url <> ''").withColumn("kind", F.when(F.lower(path(F.col("url"))).endswith(".xml"), "index").otherwise(F.col("kind")))
 
 
-def walk(spark: SparkSession, starts: list[str], read: Callable[[list[str]], DataFrame], in_scope: Callable[[Column], Column], most_maps: int = 100, most_urls: int = 100_000) -> DataFrame:
+def walk(spark: SparkSession, starts: list[str], read: Callable[[list[str]], DataFrame], in_scope: Callable[[Column], Column], most_maps: int = 100, most_urls: int | None = None) -> DataFrame:
     """(url, map): the pages in scope that a walk from the maps ``starts`` finds, each under the map that named it first.
 
     ``read`` gives the maps of some URLs as a table (map, content); a map that can't be read has nothing. Maps are read
     level by level, in the order in which they are named, each once, and ``most_maps`` at most, so the driver holds no
-    more than their URLs; the pages stay in tables. Of these the first ``most_urls`` are kept.
+    more than their URLs; the pages stay in tables. Of these all are kept, or the first ``most_urls``.
     """
     seen: list[str] = []
     level, found = list(dict.fromkeys(starts)), None
@@ -54,4 +54,4 @@ def walk(spark: SparkSession, starts: list[str], read: Callable[[list[str]], Dat
     if found is None:
         return spark.createDataFrame([], "url string, map string")
     pages = found.where("kind = 'page'").groupBy("url").agg(F.min(F.struct("turn", "place", "map")).alias("at"))
-    return pages.orderBy("at").limit(most_urls).select("url", "at.map")
+    return (pages if most_urls is None else pages.orderBy("at").limit(most_urls)).select("url", "at.map")

@@ -171,3 +171,13 @@ def test_entities_by_longest_match_guards_and_order(spark):
 def test_cards_leave_out_what_has_no_value(spark):
     row = spark.createDataFrame([("A", None, " ", "x")], "a string, b string, c string, d string")
     assert row.select(entities.card({"A": F.col("a"), "B": F.col("b"), "C": F.col("c"), "D": F.col("d")})).first()[0] == "A: A. D: x."
+
+
+def test_a_walk_keeps_all_pages(spark):
+    """More pages than the 100,000 that a walk once kept."""
+    from gleanery.sources import sitemaps
+
+    urls = spark.range(100_500).select(F.concat(F.lit("<url><loc>https://a.org/"), F.col("id").cast("string"), F.lit("</loc></url>")).alias("e"))
+    made = urls.agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), ""), F.lit("</urlset>")).alias("content")).select(F.lit("https://a.org/m.xml").alias("map"), "content")
+    assert sitemaps.walk(spark, ["https://a.org/m.xml"], lambda _: made, lambda u: F.lit(True)).count() == 100_500
+    assert sitemaps.walk(spark, ["https://a.org/m.xml"], lambda _: made, lambda u: F.lit(True), most_urls=7).count() == 7
