@@ -18,8 +18,8 @@ from gleanery.operators.steps import written
 class Layer:
     """Rows (query_id, id, score, label, authority, fits) of one kind: ``label`` is their host's, ``fits`` whether they
     suit the question's intent (null: they do). The layer is asked for questions of ``intents``, of all if there are
-    none, and gives ``most`` rows a question. Pinned rows stand before others; rows of a structured layer that do not fit
-    score 2 at most and are not pinned."""
+    none, and gives ``most`` rows a question: the best, and of equal ones of an id one that fits first. Pinned rows stand
+    before others; rows of a structured layer that do not fit score 2 at most and are not pinned."""
 
     name: str
     rows: DataFrame
@@ -37,14 +37,15 @@ def _of(layer: Layer, place: int, questions: DataFrame) -> DataFrame:
     down = F.lit(layer.structured) & ~F.col("fits")
     rows = rows.withColumns({"demoted": down, "pinned": F.lit(layer.pinned) & ~down, "layer": F.lit(place), "source_type": F.lit(layer.name)})
     if layer.most is not None:
-        rows = ranked(rows, ["query_id"], F.desc("score"), F.col("id"), name="place").where(F.col("place") <= layer.most).drop("place")
+        rows = ranked(rows, ["query_id"], F.desc("score"), F.col("id"), F.desc("fits"), F.col("label"), F.col("authority"), name="place").where(F.col("place") <= layer.most).drop("place")
     return rows.drop("fits")
 
 
 def _merged(rows: DataFrame, k: int) -> DataFrame:
-    """Each id in the first layer that has it; pinned ones first, then by score."""
+    """Each id in the first layer that has it, its best row there (of equals, one that is not demoted); pinned ones
+    first, then by score."""
     rest = [c for c in rows.columns if c not in ("query_id", "id", "rank")]
-    first = rows.groupBy("query_id", "id").agg(F.min_by(F.struct(*rest), F.struct("layer", -F.col("score"))).alias("r")).select("query_id", "id", "r.*")
+    first = rows.groupBy("query_id", "id").agg(F.min_by(F.struct(*rest), F.struct("layer", -F.col("score"), "demoted", "label", "authority")).alias("r")).select("query_id", "id", "r.*")
     return ranked(first, ["query_id"], F.desc("pinned"), F.desc("score"), F.col("layer"), F.col("id")).where(F.col("rank") <= k)
 
 
