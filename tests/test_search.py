@@ -272,3 +272,17 @@ def test_keyword_search_reads_chunks_once_and_writes_no_index(spark, monkeypatch
     with freed(spark):
         again = search.keyword_search(spark.createDataFrame(asked, "query_id int, text string"), frame, search.SearchRules(), 5, grams=search.chunk_grams(frame)).collect()
     assert {tuple(x) for x in again} == {tuple(x) for x in got}
+
+
+def test_hamming_pairs_hold_two_blocks_at_once(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, r.getrandbits(20)) for i in range(500)] + [(500 + i, i) for i in range(40)] + [(900, 3), (901, None)]
+    first = {}
+    for i, h in rows[:-1]:
+        first.setdefault(h, i)
+    wanted = {(a, b, (g ^ h).bit_count()) for g, a in first.items() for h, b in first.items() if a < b and (g ^ h).bit_count() <= 9}
+    monkeypatch.setattr(trust, "HASH_BLOCK", 100)
+    found = trust.hamming_pairs(spark.createDataFrame(rows, "doc_id long, simhash long"), 9)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
