@@ -285,3 +285,15 @@ def test_of_equal_rows_of_an_id_one_that_fits_is_taken(spark):
         for most in (1, 2):
             told = orchestrated(asked, [Layer("entity", spark.createDataFrame(both, rows).coalesce(1), True, True, most=most)], hosts, 6).collect()
             assert [(r["id"], r["score"], r["pinned"]) for r in told] == [("a", 2.0, True)]
+
+
+def test_evidence_is_summed_in_parts_of_bounded_size(spark, monkeypatch):
+    from gleanery.operators import evidence
+
+    docs = spark.createDataFrame([(i, "a b " * (i % 7) + f"c{i % 3}") for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"a c{q % 3}") for q in range(10)], "query_id long, text string")
+    whole = set(map(tuple, evidence.top_evidence(asked, docs, 4).collect()))
+    monkeypatch.setattr(evidence, "PAIRS", 100)
+    found = evidence.top_evidence(asked, docs, 4)
+    assert set(map(tuple, found.collect())) == whole and len(whole) == 40
+    assert "20), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
