@@ -4,6 +4,7 @@ import re
 import sqlite3
 from collections import deque
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,21 @@ def test_a_walk_keeps_all_pages(spark):
     made = urls.agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("e"), ""), F.lit("</urlset>")).alias("content")).select(F.lit("https://a.org/m.xml").alias("map"), "content")
     assert sitemaps.walk(spark, ["https://a.org/m.xml"], lambda _: made, lambda u: F.lit(True)).count() == 100_500
     assert sitemaps.walk(spark, ["https://a.org/m.xml"], lambda _: made, lambda u: F.lit(True), most_urls=7).count() == 7
+
+
+class Taken:
+    """A table of pages that gives the function run on its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, _):  # noqa: N802
+        return task
+
+
+@pytest.mark.parametrize(("of", "columns"), [(html.parsed_pages, ["page_id", "url", "html"]), (html.tables, ["page_id", "html"])])
+def test_a_few_pages_of_a_batch_are_held_at_once(of, columns):
+    pages = [{"page_id": i, "url": f"https://h/{i}", "html": f"<title>{i}</title><table><tr><td>a</td></tr></table>"} for i in range(1000)]
+    task, whole = of(Taken()), pa.RecordBatch.from_pylist(pages).select(columns)
+    told = list(task(iter([whole, whole.slice(0, 0)])))
+    assert max(map(len, told)) <= 64 and [i for b in told for i in b.column("page_id").to_pylist()] == list(range(1000))
