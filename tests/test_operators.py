@@ -1,5 +1,6 @@
 """Literal cases of single operators, and properties."""
 
+import hashlib
 import itertools
 import random
 
@@ -56,6 +57,16 @@ def test_simhash_near_and_far(spark):
     assert (h[1] ^ h[2]).bit_count() < 14 < (h[1] ^ h[3]).bit_count()
 
 
+def test_simhash_shuffles_a_row_a_text_and_not_its_words(spark):
+    texts = [(1, "a b b c"), (2, None), (3, "- -"), (4, "a a b"), (1, "d d d")]
+    found = trust.simhash(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    words = {1: "a b b c d d d".split(), 4: "a a b".split()}
+    bits = {w: int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in "abcd"}
+    wanted = {i: sum(1 << k for k in range(trust.BITS) if 2 * sum(bits[w] >> k & 1 for w in ws) > len(ws)) for i, ws in words.items()}
+    assert {r["doc_id"]: r["simhash"] for r in found.collect()} == wanted
+
+
 def test_near_pairs_lose_none(spark):
     r = random.Random(5)
     base = [r.getrandbits(60) for _ in range(20)]
