@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,14 @@ def ranked(frame: DataFrame, by: list[str], *order: Column, name: str = "rank")
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-#: Queries and vectors of a block: a task holds one block of each.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+#: Queries and vectors of a block: a task holds one block of each, and the products of a few queries at once.
+QUERY_BLOCK, VECTOR_BLOCK, ASKED_AT_ONCE = 1024, 16384, 64
+
+
+def components(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one width, none null, as the rows of a matrix."""
+    flat = pc.list_flatten(column)
+    return np.asarray(flat, np.float64).reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -46,22 +53,26 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Data
     right = vectors.select("vec_id", F.col("embedding").alias("known"), dealt("vec_id", n_vectors).alias("v"), every(n_queries).alias("q"))
 
     def unit(column) -> np.ndarray:
-        rows = np.array(column.to_pylist(), np.float64)
+        rows = components(column)
         length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
     def met(asked: pa.Table, known: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(asked) and len(known):
             query, vector = asked.column("query_id").to_numpy(), known.column("vec_id").to_numpy()
             by = np.argsort(vector, kind="stable")
-            near = np.round(unit(asked.column("wanted")) @ unit(known.column("known"))[by].T, digits)
-            near[query[:, None] == vector[by]] = -np.inf
-            best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # of equals, the smallest id
-            row = np.repeat(np.arange(len(query)), best.shape[1])
-            held = near[row, best.ravel()] > -np.inf
-            out = [query[row][held], vector[by][best.ravel()][held], near[row, best.ravel()][held]]
-        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(pa.array, out), strict=True)))
+            wanted, held, vector = unit(asked.column("wanted")), unit(known.column("known"))[by].T, vector[by]
+            for i in range(0, len(query), ASKED_AT_ONCE):
+                own = query[i : i + ASKED_AT_ONCE]
+                near = np.round(wanted[i : i + ASKED_AT_ONCE] @ held, digits)
+                near[own[:, None] == vector] = -np.inf
+                best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # of equals, the smallest id
+                row, column = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
+                similar = near[row, column]
+                kept = similar > -np.inf
+                found.append((own[row][kept], vector[column][kept], similar[kept]))
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), (pa.array(np.concatenate(c)) for c in zip(*found, strict=True)), strict=True)))
 
     best = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(met, "query_id long, vec_id long, similarity double")
     return ranked(best, ["query_id"], F.desc("similarity"), F.col("vec_id")).where(F.col("rank") <= k)

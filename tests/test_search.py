@@ -2,13 +2,16 @@
 
 import random
 import re
+import tracemalloc
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from gleanery import plans
 from gleanery.operators import inverted, normalizing, patterns, retrieval, search, substrings, trust
@@ -306,3 +309,24 @@ def test_hamming_pairs_hold_two_blocks_at_once(spark, monkeypatch):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     got = [tuple(x) for x in found.collect()]
     assert len(got) == len(wanted) and set(got) == wanted
+
+
+def most_held(monkeypatch, made):
+    """Peak bytes of the task that ``made`` hands to a cogroup, as it meets 1,024 queries and 16,384 vectors."""
+    taken, own = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, task, schema: taken.append(task) or own(self, task, schema))
+    made()
+    of = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(np.random.default_rng(n).normal(size=n * 8)), 8).cast(pa.list_(pa.float64()))
+    asked, known = pa.table({"query_id": np.arange(1024), "wanted": of(1024)}), pa.table({"vec_id": np.arange(16384), "known": of(16384)})
+    tracemalloc.start()
+    told = taken[-1](asked, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, told
+
+
+def test_knn_holds_the_products_of_a_few_queries(spark, monkeypatch):
+    table = frame_of(spark, [(i, [float(i), 1.0, *[0.0] * 6]) for i in range(9)])
+    asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    peak, told = most_held(monkeypatch, lambda: retrieval.knn(asked, table.drop("label"), 10))
+    assert peak < 60_000_000 and len(told) == 10240
