@@ -18,17 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.scores import usable
-from gleanery.operators.retrieval import QUERY_BLOCK, VECTOR_BLOCK, ranked
+from gleanery.operators.retrieval import ASKED_AT_ONCE, VECTOR_BLOCK, components, ranked
 from gleanery.operators.steps import written
 
 #: Vectors that centroids are fitted on, at most about, and the rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
+#: Queries of a block, which meets a part of a list in a task: each row listed is shuffled once for each block.
+QUERY_BLOCK = 16384
 _SLACK = 1e-9
 
 
 def _units(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Vectors at length 1; one of no length stays zero."""
-    rows = np.array(column.to_pylist(), np.float64).reshape(-1, width)
+    rows = components(column).reshape(-1, width)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
@@ -101,7 +103,7 @@ def _probed(queries: DataFrame, file: InvertedFile, probes: int | None, least: f
     """(query_id, wanted, list, part): the lists that a query is to look through."""
     centroids, sizes = file.centroids, file.sizes
     width, numbers = centroids.shape[1], np.array(sorted(sizes), np.int64)
-    radius, parts = (np.array([sizes[int(i)][c] for i in numbers]) for c in (1, 0))
+    radius = np.array([sizes[int(i)][1] for i in numbers])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,15 +113,16 @@ def _probed(queries: DataFrame, file: InvertedFile, probes: int | None, least: f
                 at = np.argsort(-near, axis=1, kind="stable")[:, :probes].ravel()
             else:
                 row, at = np.nonzero(np.arccos(np.clip(near, -1.0, 1.0)) - radius <= np.arccos(least) + _SLACK)
-            times = parts[at]
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, np.int64)
-            row, at = np.repeat(row, times), np.repeat(at, times)
-            own = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([own.column("query_id"), own.column("embedding"), pa.array(numbers[at].astype(np.int32)), pa.array(part.astype(np.int64))], ["query_id", "wanted", "list", "part"])
+            starts = np.searchsorted(row, np.arange(len(near) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(numbers[at].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), lists], ["query_id", "wanted", "lists"])
 
     held = queries.where(usable(F.col("embedding")) & (F.size("embedding") == width) & F.exists("embedding", lambda x: x != 0))
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    return held.select("query_id", "embedding").mapInArrow(task, f"query_id {kinds['query_id']}, wanted {kinds['embedding']}, list int, part long")
+    # a row a query leaves Python; it meets its lists and their parts afterwards
+    told = held.select("query_id", "embedding").mapInArrow(task, f"query_id {kinds['query_id']}, wanted {kinds['embedding']}, lists array<int>").select("query_id", "wanted", F.explode("lists").alias("list"))
+    parts = F.element_at(F.create_map(*[F.lit(x) for k, (n, _) in sizes.items() for x in (k, n)]), F.col("list"))
+    return told.select("query_id", "wanted", "list", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
 
 
 def _looked_through(queries: DataFrame, file: InvertedFile, where: Column | None, probes: int | None, least: float | None, k: int | None, digits: int) -> DataFrame:
@@ -136,21 +139,27 @@ def _looked_through(queries: DataFrame, file: InvertedFile, where: Column | None
 
     def met(asked: pa.Table, known: pa.Table) -> pa.Table:
         query, vector = asked.column("query_id"), known.column("vec_id")
-        row = column = np.zeros(0, np.int64)
-        similarity = np.zeros(0)
+        rows, columns, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(asked) and len(known):
             order = np.argsort(vector.to_numpy(), kind="stable")
             vector = vector.take(pa.array(order))
-            near = _units(asked.column("wanted"), width) @ _units(known.column("known"), width)[order].T
-            near = np.where(query.to_numpy()[:, None] == vector.to_numpy(), -np.inf, near)
-            if k is not None:
-                column = np.argsort(-np.round(near, digits), axis=1, kind="stable")[:, :k]  # of equals, the smallest id
-                row, column = np.repeat(np.arange(len(near)), column.shape[1]), column.ravel()
-            else:
-                row, column = np.nonzero(near >= least)
-            similarity = near[row, column]
-            held = similarity > -np.inf
-            row, column, similarity = row[held], column[held], similarity[held]
+            wanted, held = _units(asked.column("wanted"), width), _units(known.column("known"), width)[order].T
+            asks, knows = query.to_numpy(), vector.to_numpy()
+            for i in range(0, len(asks), ASKED_AT_ONCE):
+                near = wanted[i : i + ASKED_AT_ONCE] @ held
+                if k is not None:
+                    near[asks[i : i + ASKED_AT_ONCE, None] == knows] = -np.inf
+                    column = np.argsort(-np.round(near, digits), axis=1, kind="stable")[:, :k]  # of equals, the smallest id
+                    row, column = np.repeat(np.arange(len(near)), column.shape[1]), column.ravel()
+                    own = near[row, column] > -np.inf
+                else:
+                    row, column = np.nonzero(near >= least)
+                    own = asks[i + row] != knows[column]
+                row, column = row[own], column[own]
+                rows.append(i + row)
+                columns.append(column)
+                found.append(near[row, column])
+        row, column, similarity = map(np.concatenate, (rows, columns, found))
         return pa.table({"query_id": query.take(pa.array(row)), "vec_id": vector.take(pa.array(column)), "similarity": pa.array(np.round(similarity, digits))})
 
     keys = ("list", "part", "block")

@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from gleanery import plans
@@ -330,3 +331,31 @@ def test_knn_holds_the_products_of_a_few_queries(spark, monkeypatch):
     asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
     peak, told = most_held(monkeypatch, lambda: retrieval.knn(asked, table.drop("label"), 10))
     assert peak < 60_000_000 and len(told) == 10240
+
+
+@pytest.mark.parametrize("of", ["within", "nearest"])
+def test_inverted_file_holds_the_products_of_a_few_queries(spark, monkeypatch, of):
+    table = frame_of(spark, [(i, [float(i), 1.0, *[0.0] * 6]) for i in range(9)])
+    file = inverted.inverted_file(table, inverted.fit_centroids(table, 2))
+    asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    peak, told = most_held(monkeypatch, lambda: inverted.within(asked, file, 0.9) if of == "within" else inverted.nearest(asked, file, 10, 2))
+    assert peak < 60_000_000 and len(told) > 1000
+
+
+def test_a_query_leaves_python_once_whatever_its_lists():
+    class Taken:
+        schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, task, _):  # noqa: N802
+            raise StopIteration(task)
+
+    file = inverted.InvertedFile(np.eye(8), None, {i: (40, 1.5) for i in range(8)})
+    with pytest.raises(StopIteration) as taken:
+        inverted._probed(Taken(), file, None, 0.1)
+    asked = pa.RecordBatch.from_pydict({"query_id": list(range(500)), "embedding": np.random.default_rng(1).normal(size=(500, 8)).tolist()})
+    assert [len(b) for b in taken.value.value(iter([asked]))] == [500]
