@@ -312,6 +312,27 @@ def test_hamming_pairs_hold_two_blocks_at_once(spark, monkeypatch):
     assert len(got) == len(wanted) and set(got) == wanted
 
 
+def test_hamming_pairs_take_two_bytes_a_row(spark, tmp_path):
+    """All pairs are many rows: told by distance, and by the first of a few documents, two columns repeat themselves."""
+    r = random.Random(7)
+    hashes = spark.createDataFrame([(i, r.getrandbits(24)) for i in range(5000)], "doc_id long, simhash long")
+    trust.hamming_pairs(hashes, 9).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 1_500_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2 * n
+
+
+def test_hamming_pairs_of_more_blocks_than_tasks(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(r.getrandbits(40), r.getrandbits(62) - 2**61) for _ in range(300)]
+    bits = lambda g, h: ((g ^ h) & (2**64 - 1)).bit_count()
+    monkeypatch.setattr(trust, "HASH_BLOCK", 25)
+    monkeypatch.setattr(trust, "HASH_PRODUCTS", 60)
+    monkeypatch.setattr(trust, "PAIR_TASKS", 5)
+    got = [tuple(x) for x in trust.hamming_pairs(spark.createDataFrame([*rows, (None, 5)], "doc_id long, simhash long"), 24).collect()]
+    wanted = {(a, b, bits(g, h)) for a, g in rows for b, h in rows if a < b and bits(g, h) <= 24}
+    assert len(got) == len(wanted) > 300 and set(got) == wanted
+
+
 def most_held(monkeypatch, made):
     """Peak bytes of the task that ``made`` hands to a cogroup, as it meets 1,024 queries and 16,384 vectors."""
     taken, own = [], PandasCogroupedOps.applyInArrow
