@@ -312,6 +312,16 @@ def test_hamming_pairs_hold_two_blocks_at_once(spark, monkeypatch):
     assert len(got) == len(wanted) and set(got) == wanted
 
 
+def test_simhash64_holds_the_words_of_one_text():
+    words = [f"w{i}" for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2000), pa.int64()), "words": pa.array([words] * 2000, pa.list_(pa.string()))})
+    tracemalloc.start()
+    told = list(trust._voted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(told[0].column("simhash").to_pylist())) == 1 and len(told[0]) == 2000 and peak < 5_000_000
+
+
 def test_hamming_pairs_take_two_bytes_a_row(spark, tmp_path):
     """All pairs are many rows: told by distance, and by the first of a few documents, two columns repeat themselves."""
     r = random.Random(7)
