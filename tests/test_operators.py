@@ -249,6 +249,12 @@ def test_pages(spark):
     assert got[2]["body"] == "no end of the head" and got[3]["body"] == "in main" and got[4]["body"] == "" and got[4]["links"] == []
 
 
+def test_all_headings_and_links_of_a_page(spark):
+    many = "".join(f'<h2>h{i}</h2><a href="/{i}">x</a>' for i in range(1000))
+    got = html.parsed_pages(spark.createDataFrame([(1, "https://h.example/", many)], "page_id long, url string, html string")).first()
+    assert got["headings"] == [f"h{i}" for i in range(1000)] and got["links"] == [f"https://h.example/{i}" for i in range(1000)]
+
+
 def test_transcripts(spark):
     vtt = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.500\nHello\nthere\n\n00:03.000 --> 00:04.000\nBye"
     got = files.transcript_segments(spark.createDataFrame([("a", vtt), ("b", "One.\n\nTwo.")], "path string, content string")).collect()
